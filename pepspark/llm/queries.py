@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pepspark.llm import leak, tokens
+from pepspark.llm import leak, residue, tokens
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -21,8 +21,17 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaked_items(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(_table(spark, d, "documents")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """With the kinds of residue found in each document."""
+    return residue.residue_documents(_table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_found)}
+    return {f.__name__: f for f in (p6_ids, p7_found, p8_found, p8_kinds)}
 
 
 def oracle_sql() -> dict[str, str]:
