@@ -111,7 +111,7 @@ def retention_time(seq: Column | str, rc: dict, raise_no_mod: bool = True) -> Co
         n = F.size(inner)
         return F.concat(F.transform(inner, lambda x, i: F.when(i == 0, F.concat(F.lit("nterm"), x)).when(i == n - 1, F.concat(F.lit("cterm"), x)).otherwise(x)), F.filter(g, lambda x: F.contains(x, F.lit("-"))))
 
-    total = F.aggregate(marked(groups), F.lit(0.0), lambda acc, g: acc + value(g))
+    total = F.aggregate(S.let(groups, marked), F.lit(0.0), lambda acc, g: acc + value(g))
     return total * (1 + F.lit(float(rc.get("lcp", 0))) * F.log(S.length(seq).cast("double"))) + F.lit(float(rc.get("const", 0)))
 
 

@@ -96,7 +96,7 @@ def valid(seq: Column | str, labels: Iterable[str] | None = None) -> Column:
 
 def fast_valid(seq: Column | str, alphabet: str = LABELS) -> Column:
     """Does the string consist of the letters of ``alphabet`` only?"""
-    return _col(seq).rlike(f"^[{alphabet}]*$")
+    return _col(seq).rlike(rf"^[{alphabet}]*\z")
 
 
 def is_term_group(label: Column | str) -> Column:
@@ -114,14 +114,18 @@ def count_of(seq: Column | str, letter: str) -> Column:
 
 def aa_composition(seq: Column | str, term_aa: bool = False, show_unmodified_termini: bool = False) -> Column:
     """map(group -> count) of a modX string; with ``term_aa`` the outer residues count as 'ntermX' and 'ctermX'."""
-    g = parse_modx(seq, show_unmodified_termini)
-    if term_aa:
+
+    def marked(g: Column) -> Column:
         inner = F.filter(g, lambda x: ~F.contains(x, F.lit("-")))
-        n = F.size(inner)
-        marked = F.transform(inner, lambda x, i: F.when(i == 0, F.concat(F.lit("nterm"), x)).when(i == n - 1, F.concat(F.lit("cterm"), x)).otherwise(x))
-        g = F.concat(marked, F.filter(g, lambda x: F.contains(x, F.lit("-"))))
-    keys = F.array_sort(F.array_distinct(g))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(g, lambda x: x == k))))
+        ends = F.filter(g, lambda x: F.contains(x, F.lit("-")))
+        return let(inner, lambda r: F.concat(F.transform(r, lambda x, i: F.when(i == 0, F.concat(F.lit("nterm"), x)).when(i == F.size(r) - 1, F.concat(F.lit("cterm"), x)).otherwise(x)), ends))
+
+    def counted(g: Column) -> Column:
+        keys = F.array_sort(F.array_distinct(g))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(g, lambda x: x == k))))
+
+    groups = parse_modx(seq, show_unmodified_termini)
+    return let(let(groups, marked) if term_aa else groups, counted)
 
 
 def rule_pattern(rule: str) -> str:

@@ -36,7 +36,7 @@ def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_val
     return a.join(b, [*on, "__bucket"]).filter(near).drop("__bucket")
 
 
-def nearest_join(probes: DataFrame, timeline: DataFrame, probe_value: str, line_value: str, probe_id: list[str], on: list[str] | None = None, width: float | None = None) -> DataFrame:
+def nearest_join(probes: DataFrame, timeline: DataFrame, probe_value: str, line_value: str, on: list[str] | None = None, width: float | None = None) -> DataFrame:
     """For each probe the row of the timeline with the nearest value; ties go to the smaller value.
 
     As-of in both directions by one sort: probes and timeline are put in one order per stretch of
@@ -112,10 +112,15 @@ def coverage_counts(proteins: DataFrame, peptides: DataFrame, protein_id: str, s
     """
     pep = peptides.select(F.col(peptide).alias("__pep")).filter(F.length("__pep") > 0).distinct().withColumn("__k", F.least(F.length("__pep"), F.lit(seed_length))).withColumn("__seed", F.substring(F.col("__pep"), F.lit(1), F.col("__k")))
     spots = proteins.select(F.col(protein_id), F.col(sequence).alias("__seq")).filter(F.length("__seq") > 0)
-    lengths = [r[0] for r in pep.select("__k").distinct().collect()]
-    if not lengths:
-        lengths = [seed_length]
-    grams = F.flatten(F.array(*[F.transform(F.when(F.length("__seq") >= k, F.sequence(F.lit(0), F.length("__seq") - k)).otherwise(F.array().cast("array<int>")), lambda i, k=k: F.struct(i.alias("at"), F.lit(k).alias("k"), F.substring(F.col("__seq"), i + 1, F.lit(k)).alias("seed"), F.substring(F.col("__seq"), i + 1, F.lit(256)).alias("rest"))) for k in sorted(lengths)]))
+    sizes = pep.agg(F.collect_set("__k"), F.max(F.length("__pep"))).first()
+    lengths, longest = sizes[0] or [seed_length], sizes[1] or seed_length  # at most seed_length different ones
+
+    def spots_of(k: int) -> Column:
+        seq = F.col("__seq")
+        at = F.when(F.length(seq) >= k, F.sequence(F.lit(0), F.length(seq) - k)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.substring(seq, i + 1, F.lit(k)).alias("seed"), F.substring(seq, i + 1, F.lit(longest)).alias("rest")))
+
+    grams = F.concat(*[spots_of(k) for k in sorted(lengths)])
     found = spots.select(protein_id, F.explode(grams).alias("g")).select(protein_id, F.col("g.at").alias("start"), F.col("g.k").alias("__k"), F.col("g.seed").alias("__seed"), F.col("g.rest").alias("__rest"))
     hits = found.join(pep, ["__k", "__seed"]).filter(F.startswith(F.col("__rest"), F.col("__pep")))
     return hits.select(protein_id, "start", F.length("__pep").alias("length"), F.col("__pep").alias("peptide"))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pepspark.functions import seq as S
 
+#: Tasks on which the sums of all tasks are added before the driver adds theirs.
+GRAM_SLOTS = 8
+
 
 def _sums(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
@@ -45,19 +50,28 @@ def linear_regression_perpendicular(df: DataFrame, x: str, y: str, by: list[str]
 def _gram(df: DataFrame, seq: str, rt: str, labels: list[str]) -> np.ndarray:
     """Sums of products of (counts, counts * ln length, 1) with each other and with RT: all that any lcp needs.
 
-    The result has (2 * labels + 2)^2 numbers whatever the number of rows.
+    Each task adds up its own (2 * labels + 2)^2 numbers; those are added on GRAM_SLOTS tasks and then here.
     """
-    ln = F.log(F.length(seq).cast("double"))
-    feats = [S.count_of(seq, a).cast("double") for a in labels]
-    feats = [*feats, *[f * ln for f in feats], F.lit(1.0), F.col(rt).cast("double")]
-    rows = df.filter(F.length(seq) > 0).filter(F.col(rt).isNotNull()).select(*[f.alias(f"f{i}") for i, f in enumerate(feats)])
-    k = len(feats)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    got = rows.agg(*[F.sum(F.col(f"f{i}") * F.col(f"f{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    g = np.zeros((k, k))
-    for i, j in pairs:
-        g[i, j] = g[j, i] = got[f"s{i}_{j}"] or 0.0
-    return g
+    k = 2 * len(labels) + 2
+    rows = df.filter(F.length(seq) > 0).filter(F.col(rt).isNotNull()).select(F.length(seq).cast("double").alias("n"), F.col(rt).cast("double").alias("rt"), *[S.count_of(seq, a).cast("double").alias(f"c{i}") for i, a in enumerate(labels)])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((k, k))
+        for batch in batches:
+            counts = np.column_stack([batch.column(i + 2).to_numpy() for i in range(len(labels))])
+            x = np.column_stack([counts, counts * np.log(batch.column(0).to_numpy())[:, None], np.ones(len(counts)), batch.column(1).to_numpy()])
+            g += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["g"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros(k * k)
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                g += np.frombuffer(b)
+        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], ["g"])
+
+    parts = rows.mapInArrow(products, "g binary").repartition(GRAM_SLOTS).mapInArrow(add, "g binary").collect()
+    return np.sum([np.frombuffer(r[0]) for r in parts] or [np.zeros(k * k)], axis=0).reshape(k, k)
 
 
 def _solve(g: np.ndarray, n: int, lcp: float) -> tuple[np.ndarray, float]:

@@ -214,7 +214,7 @@ def flatten_pepxml(queries: DataFrame, by: str = "query", sep: str | None = None
     return rows.select(
         *keep,
         *[F.col(f"h.{c}").alias(c) for c in ("hit_rank", "peptide", "modified_peptide", "calc_neutral_pep_mass", "massdiff", "num_tot_proteins", "num_missed_cleavages", "is_rejected", "search_score")],
-        *[joined(F.transform(proteins, lambda p, c=c: p[c].cast("string"))).alias(c) for c in ("protein", "protein_descr", "num_tol_term", "peptide_prev_aa", "peptide_next_aa")],
+        *[joined(proteins[c].cast("array<string>")).alias(c) for c in ("protein", "protein_descr", "num_tol_term", "peptide_prev_aa", "peptide_next_aa")],
         F.transform("h.modifications", lambda m: F.format_string("%.3f@%d", m["mass"], m["position"])).alias("modifications"),
         F.get(F.filter("h.analysis_result", lambda a: a["analysis"] == "peptideprophet"), F.lit(0))["probability"].alias("peptideprophet_probability"),
         F.get(F.filter("h.analysis_result", lambda a: a["analysis"] == "interprophet"), F.lit(0))["probability"].alias("interprophet_probability"),
@@ -321,7 +321,7 @@ def flatten_mzid(rows: DataFrame) -> DataFrame:
     """One row per result: its first item, evidences as lists, is_decoy if all evidences are decoys."""
     best = rows.groupBy("result_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "result_id"]), F.struct(F.coalesce("rank", F.lit(1 << 30)), "item_id")).alias("r")).select("result_id", "r.*")
     e = F.col("evidence")
-    return best.select(*[c for c in best.columns if c != "evidence"], *[F.transform(e, lambda x, c=c: x[c]).alias(c) for c in ("accession", "start", "end", "pre", "post")], F.forall(e, lambda x: F.coalesce(x["is_decoy"], F.lit(False))).alias("is_decoy"))
+    return best.select(*[c for c in best.columns if c != "evidence"], *[e[c].alias(c) for c in ("accession", "start", "end", "pre", "post")], F.forall(e, lambda x: F.coalesce(x["is_decoy"], F.lit(False))).alias("is_decoy"))
 
 
 _USER = "UserParam:array<struct<_type:string,_name:string,_value:string>>"
