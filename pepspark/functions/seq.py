@@ -154,7 +154,7 @@ def fragments_of(seq: Column | str, rule: str, exception: str | None = None) ->
 def _stops(marked: Column, mark: str) -> Column:
     parts = F.split(marked, "\\" + mark)
     ends = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p))
-    return F.aggregate(ends, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + n)))
+    return F.aggregate(ends, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
 
 
 def digest(
