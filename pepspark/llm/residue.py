@@ -111,6 +111,7 @@ def examples() -> dict[str, list[str]]:
 
 
 _DROPPED = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+_PAD = b"\0" * 24
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
@@ -126,6 +127,15 @@ def gram_buckets(buf: np.ndarray) -> np.ndarray:
     return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def whole_grams(buf: np.ndarray) -> np.ndarray:
+    """Which 5-grams lie in one text: none of their bytes is padding (0) or beyond the end."""
+    pad = np.concatenate([buf == 0, np.ones(GRAM - 1, bool)])
+    out = ~pad[: len(buf)]
+    for k in range(1, GRAM):
+        out &= ~pad[k : k + len(buf)]
+    return out
+
+
 def _counts(texts: list[str]) -> np.ndarray:
     raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
     return np.bincount(gram_buckets(raw), minlength=1 << BUCKET_BITS) if len(raw) else np.zeros(1 << BUCKET_BITS, np.int64)
@@ -139,7 +149,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for buf, _ in _slices(batch.column(0)):
-                total += np.bincount(gram_buckets(buf), minlength=size)
+                total += np.bincount(gram_buckets(buf)[whole_grams(buf)], minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64).tobytes()], pa.binary())], ["v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +164,17 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Parts of a text column as bytes, each text ended by a line feed: (buffer, begin of each text and end)."""
+    """Parts of a text column as bytes: (buffer, begin of each text and end).
+
+    Each text ends with a line feed and is parted from the next by padding as long as the longest
+    window, so that no result depends on which texts lie beside it.
+    """
     values = texts.to_pylist()
     lo = 0
     while lo < len(values):
-        parts, starts, n = [], [0], 0
-        while lo < len(values) and (not parts or n < SLICE_BYTES):
-            raw = _DROPPED.sub("", values[lo] or "").encode() + b"\n"
+        parts, starts, n = [_PAD], [0], len(_PAD)
+        while lo < len(values) and (len(parts) == 1 or n < SLICE_BYTES):
+            raw = _DROPPED.sub("", values[lo] or "").replace("\0", " ").encode() + b"\n" + _PAD
             parts.append(raw)
             n += len(raw)
             starts.append(n)
@@ -189,7 +203,7 @@ class ResidueModel:
 
     def covered(self, buf: np.ndarray, kind: int) -> np.ndarray:
         """Which bytes lie in a window of the kind."""
-        llr = self.tables[kind][gram_buckets(buf)]
+        llr = np.where(whole_grams(buf), self.tables[kind][gram_buckets(buf)], np.float32(0))
         w = min(self.window[kind], len(buf))
         run = np.concatenate([[0], np.cumsum(llr, dtype=np.float64)])
         high = (run[w:] - run[:-w]) / w > self.threshold[kind]
@@ -202,7 +216,7 @@ class ResidueModel:
 
 def sentence_starts(buf: np.ndarray) -> np.ndarray:
     """Begins of lines and of sentences within lines."""
-    nl = np.flatnonzero(buf == 10) + 1
+    nl = np.flatnonzero((buf == 10) | ((buf == 0) & (np.append(buf[1:], 0) != 0))) + 1
     stop = np.isin(buf, np.frombuffer(b".!?", np.uint8))
     gap = np.flatnonzero(stop[:-1] & (buf[1:] == 32)) + 2 if len(buf) > 1 else nl[:0]
     at = np.unique(np.concatenate([[0], nl, gap]))
@@ -260,9 +274,9 @@ def residue_sentences(model: ResidueModel, texts: pa.Array) -> Iterator[tuple[in
             share = np.add.reduceat(inside, begin, dtype=np.int64) / np.maximum(length, 1) if len(begin) else np.zeros(0)
             for i in np.flatnonzero(share > model.coverage[k]):
                 raw = buf[begin[i] : begin[i] + length[i]].tobytes()
-                sentence = raw.decode(errors="replace").strip()
+                sentence = raw.decode(errors="replace").strip().strip("\0")
                 line_end = begin[i] + length[i] >= len(buf) or buf[begin[i] + length[i] - 1] == 10
-                line_start = begin[i] == 0 or buf[begin[i] - 1] == 10
+                line_start = begin[i] == 0 or buf[begin[i] - 1] in (0, 10)
                 if sentence and is_residue(kind, sentence, float(share[i]), bool(line_end and line_start)):
                     yield base + int(np.searchsorted(starts, begin[i], side="right")) - 1, kind, sentence, float(share[i])
         base += len(starts) - 1
