@@ -42,7 +42,7 @@ def chain(*dfs: DataFrame) -> DataFrame:
 
 
 def first_per_group(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group in the given order, by partial aggregation instead of a window."""
+    """The first row of each group in ascending order of the given expressions (negate numbers for descending), by partial aggregation instead of a window."""
     others = [c for c in df.columns if c not in groups]
     best = df.groupBy(*groups).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__row"))
     return best.select(*groups, *[F.col(f"__row.{c}").alias(c) for c in others])

@@ -78,7 +78,9 @@ def peptidoforms_modx(df: DataFrame, seq: str, variable: dict | None = None, fix
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             forms = [modx_forms(x, variable, fixed, max_mods, **kwargs) if isinstance(x, str) and _MODX.match(x) else [] for x in f[seq]]
-            yield f.assign(form=forms).explode("form").dropna(subset=["form"])
+            g = f.assign(form=forms).explode("form").dropna(subset=["form"])
+            if len(g):
+                yield g
 
     return df.mapInPandas(run, schema)
 
@@ -96,7 +98,8 @@ def peptidoforms_proforma(df: DataFrame, text: str, variable: dict[str, list[str
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             g = f.assign(__f=[forms(x) for x in f[text]]).explode("__f").dropna(subset=["__f"])
-            yield g.assign(form=[a for a, _ in g["__f"]], form_mass=[float(b) for _, b in g["__f"]]).drop(columns="__f")
+            if len(g):
+                yield g.assign(form=[a for a, _ in g["__f"]], form_mass=[float(b) for _, b in g["__f"]]).drop(columns="__f")
 
     return df.mapInPandas(run, schema)
 
@@ -156,7 +159,8 @@ def isotopologues(df: DataFrame, composition: str, isotope_threshold: float = 5e
                 return known[key]
 
             g = f.assign(__s=[states(c) for c in f[composition]]).explode("__s").dropna(subset=["__s"])
-            yield g.assign(isotopes=[s[0] for s in g["__s"]], abundance=[float(s[1]) for s in g["__s"]], isotope_mass=[K.composition_mass(s[0]) for s in g["__s"]]).drop(columns="__s")
+            if len(g):
+                yield g.assign(isotopes=[s[0] for s in g["__s"]], abundance=[float(s[1]) for s in g["__s"]], isotope_mass=[K.composition_mass(s[0]) for s in g["__s"]]).drop(columns="__s")
 
     return df.mapInPandas(run, schema)
 

@@ -146,7 +146,7 @@ def qvalues(
     i, d = (F.col("__cn") + F.col("__on")).cast("double"), F.col("__cd") + F.col("__od")
     p = 1 / (1 + ratio)
     if pep is not None:
-        raw = d / i
+        raw = F.round(d / i, 12)  # so that the order in which errors are added doesn't matter at a threshold
     else:
         if correction == 0:
             false = d
@@ -175,7 +175,7 @@ def qvalues(
     for b in by:
         same2 = same2 & F.col(b).eqNullSafe(F.col(f"__by2_{b}"))
     q = n.withColumn("__in", F.min("__raw").over(tail)).join(later if by else F.broadcast(later), same2)
-    q = q.select(*[F.col(b).alias(f"__q_{b}") for b in by], F.col("__key").alias("__qkey"), F.least("__in", F.coalesce("__after", F.col("__in"))).alias("q"))
+    q = q.select(*[F.col(b).alias(f"__q_{b}") for b in by], F.col("__key").alias("__qkey"), F.least("__in", F.coalesce("__after", F.col("__in"))).alias("__q"))
     cond = F.col("__key") == F.col("__qkey")
     for b in by:
         cond = cond & F.col(b).eqNullSafe(F.col(f"__q_{b}"))
@@ -183,7 +183,7 @@ def qvalues(
     if remove_decoy and pep is None:
         out = out.filter(~F.col("__mark"))
     names = [c for c in psms.columns if c not in ("score", flag, "q")]
-    return out.select(*names, F.col("__score").alias("score"), F.col("__mark").alias(flag), "q")
+    return out.select(*names, F.col("__score").alias("score"), F.col("__mark").alias(flag), F.col("__q").alias("q"))
 
 
 def _series_iterator(f):
