@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pepspark import constants as K
 from pepspark.functions import seq as S
 
+#: Longer texts aren't formulas; the pattern below would overflow the stack on them.
+MAX_FORMULA = 2000
 FORMULA = r"^(?:(?:[A-Z][a-z+]*)(?:\[\d+\])?(?:[+-]?\d+)?)*$"
 
 
@@ -52,7 +54,7 @@ def formula_composition(formula: Column | str) -> Column:
         keys = F.array_distinct(F.transform(p, lambda x: x["k"]))
         return F.map_from_arrays(keys, F.transform(keys, lambda k: F.aggregate(F.filter(p, lambda x: x["k"] == k), F.lit(0), lambda acc, x: acc + x["n"])))
 
-    return F.when(f.rlike(FORMULA), F.map_filter(S.let(pairs, summed), lambda k, v: v != 0))
+    return F.when((F.length(f) <= MAX_FORMULA) & f.rlike(FORMULA), F.map_filter(S.let(pairs, summed), lambda k, v: v != 0))
 
 
 def composition_mass(comp: Column | str, average: bool = False) -> Column:

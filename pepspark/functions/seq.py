@@ -12,7 +12,8 @@ from pepspark.constants import EXPASY_RULES, PSIMS_RULES
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 LABELS = "ACDEFGHIJKLMNOPQRSTUVWY"
 GROUP = "[^A-Z-]*[A-Z]"
-MODX = f"^([^-]+-)?((?:{GROUP})+)(-[^-]+)?$"
+# a body is any text without dash that ends in a capital; written without a repeated group, as those overflow the stack on long texts
+MODX = "^([^-]+-)?([^-]*[A-Z])(-[^-]+)?$"
 N_TERM, C_TERM = "H-", "-OH"
 
 
@@ -89,9 +90,9 @@ def valid(seq: Column | str, labels: Iterable[str] | None = None) -> Column:
     labels = list(labels)
     one = "".join(x for x in labels if len(x) == 1 and x.isupper())
     more = [x for x in labels if x not in one]
-    mods = "|".join(m for m in more if "-" not in m) or "(?!)"
     p = modx_parts(seq, more)
-    return F.coalesce(p["body"].rlike(f"^(?:(?:{mods})?[{one}])+$"), F.lit(False)) & (p["n_term"].isNull() | p["n_term"].isin(N_TERM, *more)) & (p["c_term"].isNull() | p["c_term"].isin(C_TERM, *more))
+    known = F.forall(split_groups(seq), lambda g: g["aa"].isin(*one) & ((g["mod"] == "") | g["mod"].isin(*more, "-")))
+    return F.coalesce(known, F.lit(False)) & (p["n_term"].isNull() | p["n_term"].isin(N_TERM, *more)) & (p["c_term"].isNull() | p["c_term"].isin(C_TERM, *more))
 
 
 def fast_valid(seq: Column | str, alphabet: str = LABELS) -> Column:

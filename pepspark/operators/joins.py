@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Residues of a piece of a long sequence.
+PIECE = 512
+
+
 def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, rtol: float | None = None, atol: float | None = None, on: list[str] | None = None, max_value: float = 1e9) -> DataFrame:
     """Pairs of rows whose values differ by less than the tolerance (strictly), as an equi-join on buckets.
 
@@ -115,10 +119,15 @@ def coverage_counts(proteins: DataFrame, peptides: DataFrame, protein_id: str, s
     sizes = pep.agg(F.collect_set("__k"), F.max(F.length("__pep"))).first()
     lengths, longest = sizes[0] or [seed_length], sizes[1] or seed_length  # at most seed_length different ones
 
+    # substring() counts from the text's start, so long sequences are cut into overlapping pieces first
+    n = F.length("__seq")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), lambda i: F.struct((i * PIECE).alias("from"), F.substring(F.col("__seq"), i * PIECE + 1, F.lit(PIECE + longest - 1)).alias("text")))
+    spots = spots.select(protein_id, F.explode(cut).alias("p")).select(protein_id, "p.from", "p.text")
+
     def spots_of(k: int) -> Column:
-        seq = F.col("__seq")
-        at = F.when(F.length(seq) >= k, F.sequence(F.lit(0), F.length(seq) - k)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(k).alias("k"), F.substring(seq, i + 1, F.lit(k)).alias("seed"), F.substring(seq, i + 1, F.lit(longest)).alias("rest")))
+        last = F.least(F.length("text") - k, F.lit(PIECE - 1))
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct((F.col("from") + i).alias("at"), F.lit(k).alias("k"), F.substring(F.col("text"), i + 1, F.lit(k)).alias("seed"), F.substring(F.col("text"), i + 1, F.lit(longest)).alias("rest")))
 
     grams = F.concat(*[spots_of(k) for k in sorted(lengths)])
     found = spots.select(protein_id, F.explode(grams).alias("g")).select(protein_id, F.col("g.at").alias("start"), F.col("g.k").alias("__k"), F.col("g.seed").alias("__seed"), F.col("g.rest").alias("__rest"))
