@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pepspark.operators import nested, orphans, packed, percentiles, units
-from pepspark.session import table
+from pepspark.session import materialize, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +27,8 @@ def p1_proteins(spark: SparkSession, d: str) -> DataFrame:
 def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Per source and day, and per source from the days' counts put together."""
     spectra = table(spark, d, "spectra").withColumn("day", F.date_format("acquired_at", "yyyy-MM-dd"))
-    counts = percentiles.value_counts(spectra, ["source", "day"], {"intensity": "intensity", "mz": "mz"})
+    # the counts are small and used four times: written once into the shared folder instead of counted again
+    counts = materialize(percentiles.value_counts(spectra, ["source", "day"], {"intensity": "intensity", "mz": "mz"}), "counts")
     by_day = counts.withColumn("level", F.lit("source_day"))
     by_source = percentiles.merge_counts(counts, ["source"]).withColumn("day", F.lit(None).cast("string")).withColumn("level", F.lit("source"))
     out = percentiles.percentiles_of_counts(by_day.unionByName(by_source), ["level", "source", "day"])
