@@ -112,8 +112,10 @@ class ItemIndex:
             self.short[tuple(w)].append(item_id)
 
     def allowed(self, n: int) -> int:
-        """Edits allowed in n words; a part shorter than a passage less one piece must be exact."""
-        return n * self.budget // self.passage_words if n >= self.passage_words - self.piece_words else 0
+        """Edits allowed in n words; a part shorter than a passage less one piece must be exact, one of two passages or more may have a quarter more."""
+        if n < self.passage_words - self.piece_words:
+            return 0
+        return n * self.budget * (5 if n >= 2 * self.passage_words else 4) // (4 * self.passage_words)
 
     def needed(self, item_id: int) -> int:
         """Words of the item that must lie between hits: a passage less one piece (lost if its end was edited), or the whole of a short item."""
