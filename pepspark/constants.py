@@ -155,6 +155,11 @@ PSIMS_RULES: dict[str, tuple[str, str]] = {
 RC_GUO_PH2_0 = {"aa": {"K": -2.1, "G": -0.2, "L": 8.1, "A": 2.0, "C": 2.6, "E": 1.1, "D": 0.2, "F": 8.1, "I": 7.4, "H": -2.1, "M": 5.5, "N": -0.6, "Q": 0.0, "P": 2.0, "S": -0.2, "R": -0.6, "T": 0.6, "W": 8.8, "V": 5.0, "Y": 4.5, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
 RC_GUO_PH7_0 = {"aa": {"K": -0.2, "G": -0.2, "L": 9.0, "A": 2.2, "C": 2.6, "E": -1.3, "D": -2.6, "F": 9.0, "I": 8.3, "H": 2.2, "M": 6.0, "N": -0.8, "Q": 0.0, "P": 2.2, "S": -0.5, "R": 0.9, "T": 0.3, "W": 9.5, "V": 5.7, "Y": 4.6, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
 RC_MEEK_PH2_1 = {"aa": {"K": -3.2, "G": -0.5, "L": 10.0, "A": -0.1, "C": -2.2, "E": -7.5, "D": -2.8, "F": 13.9, "I": 11.8, "H": 0.8, "M": 7.1, "N": -1.6, "Q": -2.5, "P": 8.0, "S": -3.7, "R": -4.5, "T": 1.5, "W": 18.1, "V": 3.3, "Y": 8.2, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
+RC_MEEK_PH7_4 = {"aa": {"K": 0.1, "G": 0.0, "L": 8.8, "A": 0.5, "C": -6.8, "E": -16.9, "D": -8.2, "F": 13.2, "I": 13.9, "H": -3.5, "M": 4.8, "N": 0.8, "Q": -4.8, "P": 6.1, "S": 1.2, "R": 0.8, "T": 2.7, "W": 14.9, "V": 2.7, "Y": 6.1, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
+RC_BROWNE_TFA = {"aa": {"K": -3.7, "G": -1.2, "L": 20.0, "A": 7.3, "C": -9.2, "E": -7.1, "D": -2.9, "F": 19.2, "I": 6.6, "H": -2.1, "M": 5.6, "N": -5.7, "Q": -0.3, "P": 5.1, "S": -4.1, "pS": -6.5, "R": -3.6, "T": 0.8, "pT": -1.6, "W": 16.3, "V": 3.5, "Y": 5.9, "pY": 3.5, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
+RC_PALMBLAD = {"aa": {"K": -0.66, "G": -0.29, "L": 2.28, "A": 0.41, "C": -1.32, "E": -0.26, "D": 0.04, "F": 2.68, "I": 2.70, "H": 0.57, "M": 0.98, "N": -0.54, "Q": 1.02, "P": 0.97, "S": -0.71, "R": -0.76, "T": 0.37, "W": 4.68, "V": 2.44, "Y": 2.78, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
+RC_YOSHIDA = {"aa": {"K": 2.77, "G": -0.16, "L": -2.31, "A": 0.28, "C": 0.80, "camC": 0.80, "E": 1.58, "D": 2.45, "F": -2.94, "I": -1.34, "H": 3.44, "M": -0.14, "N": 3.25, "Q": 2.35, "P": 0.77, "S": 2.53, "R": 3.90, "T": 1.73, "W": -1.80, "V": -2.19, "Y": -0.11, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
+RC_ZUBAREV = {"aa": {"A": 6.73, "E": 5.66, "C": 3.25, "D": 5.64, "G": 2.35, "F": 27.43, "I": 20.50, "H": -0.66, "K": -4.47, "M": 17.39, "L": 23.38, "N": 2.57, "Q": 2.93, "P": 5.66, "S": 3.58, "R": -2.55, "T": 4.88, "Y": 13.22, "W": 31.27, "V": 13.05, "camC": 3.25, "oxM": -7.61, "-OH": 0.0, "H-": 0.0}, "lcp": -0.21, "const": 0.53}
 
 #: Monosaccharide compositions used in glycan tags.
 MONOSACCHARIDES: dict[str, str] = {"Hex": "C6H10O5", "HexNAc": "C8H13N1O5", "HexN": "C6H11N1O4", "HexS": "C6H10O8S1", "HexP": "C6H11O8P1", "HexA": "C6H8O6", "dHex": "C6H10O4", "Fuc": "C6H10O4", "Pen": "C5H8O4", "Hep": "C7H12O6", "NeuAc": "C11H17N1O8", "NeuGc": "C11H17N1O9", "Neu": "C9H15N1O7", "Sulf": "O3S1", "Phos": "H1O3P1"}

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pepspark.session import materialize
+
 #: A key with more suspect references than this is spread over SPREAD tasks.
 HOT_KEY = 200_000
 SPREAD = 64
@@ -85,6 +87,7 @@ def orphan_references(targets: list[Target], references: list[Reference]) -> Dat
     )
     covered = F.exists("lives", lambda x: (x["born"] <= F.col("first_at")) & (x["died"].isNull() | (x["died"] > F.col("last_at"))))
     suspects = keys.filter(F.col("n_refs") > 0).filter(~F.coalesce(covered, F.lit(False))).select("target", "key", "lives", "n_refs")
+    suspects = materialize(suspects, "suspects")  # used twice; grouped once
     # hot keys: at most (number of references / HOT_KEY) of them, so their list may be broadcast
     hot = F.broadcast(suspects.filter(F.col("n_refs") > HOT_KEY).select("target", "key", F.lit(True).alias("hot")))
     salted = long.join(hot, ["target", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row_id"), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("hot")

@@ -222,7 +222,10 @@ def all_decoy(proteins: Column | str, prefix: str = "DECOY_", suffix: str | None
     return F.forall(_col(proteins), lambda p: F.endswith(p, F.lit(suffix)) if suffix else F.startswith(p, F.lit(prefix)))
 
 
-def qvalue_curve(q: DataFrame) -> DataFrame:
-    """(q, number of PSMs up to it): the curve of a q-value table, one row per q."""
-    counts = q.groupBy("q").agg(F.count("*").alias("n"))
-    return counts.withColumn("n_accepted", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("q"))).select("q", "n_accepted")
+def qvalue_curve(q: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """(q, number of PSMs up to it): the curve of a q-value table, one row per q, summed range by range."""
+    counts = ordered_ranges(q.groupBy("q").agg(F.count("*").alias("n")), "q", [], ranges)
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
+    offsets = counts.groupBy("__range").agg(F.sum("n").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = counts.withColumn("__in", F.sum("n").over(Window.partitionBy("__range").orderBy("q")))
+    return inside.join(F.broadcast(offsets), "__range").select("q", (F.col("__in") + F.col("__offset")).alias("n_accepted"))

@@ -88,11 +88,18 @@ class Unimod:
         sums = rows.groupBy("brick", "element").agg(F.sum("count").cast("int").alias("n"))
         return sums.groupBy("brick").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("element", "n")))).alias("composition"))
 
+    def _composed(self, rows: DataFrame, key: str) -> DataFrame:
+        bricks = self.brick_compositions().select("brick", F.explode("composition").alias("element", "n"))
+        sums = rows.select(key, "brick", "count").join(bricks, "brick").groupBy(key, "element").agg(F.sum(F.col("count") * F.col("n")).cast("int").alias("n"))
+        return sums.filter("n <> 0").groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("element", "n")))).alias("composition"))
+
+    def fragment_compositions(self) -> DataFrame:
+        """fragment_id, composition of each fragment of a modification."""
+        return self._composed(self.tables["fragment_comp"], "fragment_id")
+
     def modification_compositions(self) -> DataFrame:
         """modification_id, composition: the bricks of each modification taken apart into elements."""
-        bricks = self.brick_compositions().select("brick", F.explode("composition").alias("element", "n"))
-        sums = self.tables["mod2brick"].select("modification_id", "brick", "count").join(bricks, "brick").groupBy("modification_id", "element").agg(F.sum(F.col("count") * F.col("n")).cast("int").alias("n"))
-        return sums.filter("n <> 0").groupBy("modification_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("element", "n")))).alias("composition"))
+        return self._composed(self.tables["mod2brick"], "modification_id")
 
     def sql(self, statement: str) -> DataFrame:
         """SQL in which {name} stands for a table."""

@@ -192,3 +192,41 @@ def test_isotopologue_toy():
     finally:
         del K.NIST_MASS["F!"]
     assert states[3] == pytest.approx(120 * 0.3**3 * 0.7**7)
+
+
+def test_annotate_and_mirror(spark):
+    from pepspark.operators import annotate as N
+
+    s = spark.createDataFrame([(1, [98.06, 227.1026, 500.0], [1.0, 4.0, None]), (2, [], [])], "id int, mz array<double>, intensity array<double>")
+    p = spark.createDataFrame([(1, "PEPTIDE"), (2, "PEPTIDE")], "id int, peptide string")
+    got = {(r.id, r.name): r.intensity for r in N.annotate(s, p, "id", atol=0.01).collect()}
+    assert got == {(1, "b1+"): 1.0, (1, "b2+"): 4.0}
+    assert N.annotate(s, p, "id").count() == 2
+    m = N.mirror(s.filter("id = 1"), s.filter("id = 1"), ["id"]).collect()
+    assert len(m) == 6 and {r.intensity for r in m if r.side == "bottom"} == {-0.25, -1.0, None}
+    line = regress.linear_regression(spark.createDataFrame([(1.0, 3.0), (2.0, 5.0)], "x double, y double"), "x", "y")
+    assert abs(N.trend_line(line, F.lit(10.0)).first().y - 21) < 1e-9
+
+
+def test_qvalue_curve(psms):
+    q = tda.qvalues(psms, "s", "dec", formula=1, remove_decoy=False, ranges=4)
+    curve = tda.qvalue_curve(q, 5).collect()
+    for r in curve:
+        assert r.n_accepted == q.filter(F.col("q") <= r.q).count()
+
+
+def test_retention_terminal_and_absolute(spark):
+    rng = random.Random(7)
+    seqs = ["".join(rng.choice("ACDE") for _ in range(rng.randint(3, 12))) for _ in range(200)]
+    true = {"A": 1.0, "C": 2.0, "D": 3.0, "E": -1.0}
+    rt = [sum(true[c] for c in s[1:-1]) + 2 * true[s[0]] + 0.5 * true[s[-1]] + 4 for s in seqs]
+    df = spark.createDataFrame([(s, float(t)) for s, t in zip(seqs, rt)], "s string, rt double")
+    fit = regress.fit_retention(df, "s", "rt", lcp=0.0, labels="ACDE", term_aa=True)["aa"]
+    # terminal terms are only known up to a constant each
+    assert abs(fit["ntermA"] - fit["ntermE"] - 4) < 1e-6 and abs(fit["ctermD"] - fit["ctermE"] - 2) < 1e-6 and abs(fit["D"] - 3) < 1e-6
+    plain = [(s, sum(true[c] for c in s) + 4.0) for s in seqs]
+    bad = spark.createDataFrame([(s, float(t + (500 if i % 10 == 0 else 0))) for i, (s, t) in enumerate(plain)], "s string, rt double")
+    mae = regress.fit_retention(bad, "s", "rt", lcp=0.0, labels="ACDE", metric="mae", steps=30)
+    assert all(abs(mae["aa"][a] - v) < 0.05 for a, v in true.items())
+    with pytest.raises(ValueError):
+        regress.fit_retention(df, "s", "rt", metric="other")
