@@ -32,9 +32,11 @@ KINDS = ("slot", "filler", "error", "script")
 
 # Written-out examples of residue, from which its models are fitted.
 _FIELDS = "name|title|date|user|username|author|sample|gene|protein name|peptide|accession|organism|enzyme|instrument|score|function|summary|description|run title|n spectra|fdr threshold|first name|last name|company|email|address|city|price|url|id|number|count|value|year|version|file|path|project|customer|product|order id|phone|comment|text|body|subject|content|keyword|category|species|method|result".split("|")
-_WRAPPERS = "{{%}}|{{ % }}|${%}|#{%}|{%%}|{% @ %}|<%= @ %>|[[%]]|«%»|{%}|[INSERT @U HERE]|[@U]|%@S%|$@S$|__@S__|@@@S@@|%(@s)s|<@U>|<<@>>".split("|")
+_WRAPPERS = "{{%}}|{{ % }}|${%}|#{%}|{%%}|{% @ %}|<%= @ %>|[[%]]|«%»|{%}|[INSERT @U HERE]|[@U]|%@S%|$@S$|__@S__|@@@S@@|%(@s)s|<@U>|<<@>>|<your @P here>|<insert @P>".split("|")
 _UNFILLED = "(fill in)|(to be filled in)|fill in|TODO|TBD|tba|tbc|to be added|to be completed|to be determined|XXX|???|insert here|your text here|add text here|enter text|(Text einfügen)|(bitte ausfüllen)|folgt noch|(à compléter)|à remplir|(por completar)|a completar".split("|")
 _LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum porta ultra prima fermentum ferunt vestor rutrum sedis nullam oculi calunt quaest noctum magnis consec fermen".split()
+_NOUNS = "text|abstract|description|title|summary|content|caption|paragraph|name|comment|details|introduction|entry|information|image|data|body".split("|")
+_NOUN_FORMS = "Your @ here.|Insert @.|Insert @ here.|Insert your @ here.|Dummy @.|Sample @.|Placeholder @.|Example @.|@ goes here.|Add @ here.|Enter @ here.|Some @ here.|More @ here.|@ to follow.|@ will be added.|This is a dummy @.|Here goes the @.".split("|")
 _KEYS = "foo bar baz qux asdf asdfasdf qwer qwerty jkl hjkl abc abcabc xyz test xxx xxxx yyy zzz blah bla foobar dummy sample".split()
 _FILLER = [
     "This is a dummy entry used to fill the layout.", "This is dummy text to fill the page.", "Nothing to see yet, this text only takes up space.", "This text only takes up space.", "Placeholder text, to be replaced later.", "Sample text goes here.", "Your text goes here.", "Add your text here.",
@@ -53,6 +55,7 @@ _ERROR = [
 _ERROR_RULES = [
     ("An |An unexpected |An internal |An unhandled |An unknown ", "error |exception ", "occurred |was raised |was thrown |has occurred ", "while |when ", "loading |rendering |parsing |processing |saving |opening |displaying |reading ", "this |the ", "page.|record.|entry.|document.|request.|data.|file.|archive."),
     ("Could not |Unable to |Failed to |Cannot ", "connect to |reach |load |open |display |fetch |read ", "the |this ", "server|database|archive|index|backend|record|page|entry|document|service", ".|: timed out after 00 s.|: connection refused.|: too many connections.|. Please try again later."),
+    ("Oops! |Whoops! |Uh-oh! |Sorry! |", "Something went wrong|That did not work|This did not work|An unknown problem came up|An error occurred|We hit a problem", " on our side| on the server| at our end|", ".|. (code 000)|. Please try again later."),
     ("Connection refused |Connection reset |Connection lost |Connection closed ", "to the |by the ", "server|database|index|archive|backend|host", ".|: timed out after 00 s.|, retry later."),
     ("The |This ", "page |record |entry |document |address |archive |site |service |resource ", "you asked for |you requested |you are looking for |", "does not exist|is missing|is not available|is unavailable|has been moved|has been removed|could not be found|is down for maintenance|cannot be displayed|was deleted", ".| at the moment.| any more.| and will return shortly."),
     ("Your ", "session |token |link |login |password ", "has expired|has timed out|is invalid|is no longer valid", ".|. Please log in again.|. Sign in to continue."),
@@ -95,7 +98,7 @@ def examples() -> dict[str, list[str]]:
         for f in _FIELDS:
             snake = f.replace(" ", "_")
             if "@" in w.replace("@@@S@@", "@S"):
-                inner = "@@" + snake.upper() + "@@" if w == "@@@S@@" else w.replace("@U", f.upper()).replace("@S", snake.upper()).replace("(@s)", f"({snake})").replace("@", snake)
+                inner = "@@" + snake.upper() + "@@" if w == "@@@S@@" else w.replace("@U", f.upper()).replace("@P", f).replace("@S", snake.upper()).replace("(@s)", f"({snake})").replace("@", snake)
             elif w == "{%%}":
                 inner = "{%" + snake + "%}"
             else:
@@ -106,8 +109,9 @@ def examples() -> dict[str, list[str]]:
     lorem = [" ".join(rng.choice(_LOREM, 12)).capitalize() + "." for _ in range(400)]
     status = [form.replace("%", str(code)).replace("@", x) for form in _STATUS_FORMS for code, text in _STATUS.items() for x in (text, text.title(), text.upper())]
     spell = lambda rules: ["".join(p) for rule in rules for p in itertools.product(*(part.split("|") for part in rule))]
+    nouns = [(form.replace("@", n))[0].upper() + form.replace("@", n)[1:] for form in _NOUN_FORMS for n in _NOUNS]
     keys = [" ".join(rng.choice(_KEYS, 8)) for _ in range(150)]
-    return {"slot": slots, "filler": lorem + keys + _FILLER * 8, "error": status * 4 + _ERROR * 12 + spell(_ERROR_RULES), "script": spell(_SCRIPT_RULES)}
+    return {"slot": slots, "filler": lorem + keys + nouns * 3 + _FILLER * 8, "error": status * 4 + _ERROR * 12 + spell(_ERROR_RULES), "script": spell(_SCRIPT_RULES)}
 
 
 _DROPPED = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
@@ -226,8 +230,8 @@ def sentence_starts(buf: np.ndarray) -> np.ndarray:
 _NAME = r"[A-Za-z][\w.\- ]{0,40}?"
 _UPPER = r"[A-Z][A-Z0-9]*(?:[_ \-][A-Z0-9]+)*"
 _SLOTS = re.compile(
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}|\{{%\s*{_NAME}\s*%\}}|<%=?\s*{_NAME}\s*%>|[$#]\{{\s*{_NAME}\s*\}}|\[\[\s*{_NAME}\s*\]\]|«\s*{_NAME}\s*»|<<\s*{_NAME}\s*>>"
-    rf"|@@{_UPPER}@@|__{_UPPER}__|%{_UPPER}%|\${_UPPER}\$|%\({_NAME}\)s|\[INSERT {_NAME} HERE\]|\[(?:YOUR |ENTER )?[A-Z]{{3,}}(?:[_ ][A-Z]+)*\]|(?<![\w$#%{{])\{{[a-z]+(?:_[a-z]+)*\}}(?!\}})|<(?:INSERT |YOUR )[A-Z ]+>"
+    rf"\{{\{{\s*{_NAME}\s*\}}\}}|\{{%\s*{_NAME}\s*%\}}|<%=?\s*{_NAME}\s*%>|[$#]\{{\s*{_NAME}\s*\}}|\[\[\s*{_NAME}\s*\]\]|«[a-z][a-z0-9_]*(?: [a-z0-9_]+)*»|<<\s*{_NAME}\s*>>"
+    rf"|@@{_UPPER}@@|__{_UPPER}__|%{_UPPER}%|\${_UPPER}\$|%\({_NAME}\)s|\[INSERT {_NAME} HERE\]|\[(?:YOUR |ENTER )?[A-Z]{{3,}}(?:[_ ][A-Z]+)*\]|(?<![\w$#%{{])\{{[a-z]+(?:_[a-z]+)*\}}(?!\}})|<(?:(?i:your|insert|enter)) [\w ]{{1,40}}>"
 )
 _FORM = re.compile(r"^\W*[^\W\d][\w /\-]{1,40}\s*:\s*(?:" + "|".join(re.escape(u) for u in _UNFILLED) + r")\W*$", re.I)
 #: Shorter sentences are residue only if they are nothing but a status.
