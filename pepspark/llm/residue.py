@@ -192,7 +192,7 @@ class ResidueModel:
 
     tables: np.ndarray
     window: tuple[int, ...] = (8, 24, 8, 24)
-    threshold: tuple[float, ...] = (1.2, 1.0, 1.0, 1.0)
+    threshold: tuple[float, ...] = (0.8, 1.0, 1.0, 1.0)
     coverage: tuple[float, ...] = (0.0, 0.5, 0.5, 0.5)
 
     @classmethod
