@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pepspark.functions.seq import let
+from pepspark.session import BROADCAST_LIMIT
 
 #: Residues of a piece of a long sequence.
-PIECE = 512
+PIECE = 96
 
 
-def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, rtol: float | None = None, atol: float | None = None, on: list[str] | None = None, max_value: float = 1e9) -> DataFrame:
+def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, rtol: float | None = None, atol: float | None = None, on: list[str] | None = None) -> DataFrame:
     """Pairs of rows whose values differ by less than the tolerance (strictly), as an equi-join on buckets.
 
     ``atol`` is absolute, ``rtol`` relative to the right (observed) value; values must be positive for
@@ -110,28 +112,32 @@ def resolve_reference_lists(df: DataFrame, id_col: str, refs_col: str, table: Da
 def coverage_counts(proteins: DataFrame, peptides: DataFrame, protein_id: str, sequence: str, peptide: str, seed_length: int = 6) -> DataFrame:
     """Occurrences (overlapping ones too) of peptides in proteins: protein_id, start (from 0), length.
 
-    Peptides are joined on their first ``seed_length`` residues with those of every position of the
+    Peptides (broadcast if their counted size allows) are joined on the hash of their first ``seed_length`` residues with those of every position of the
     proteins, then compared in full; shorter peptides are joined by their own length. Repeated
     peptides count once; null and empty ones match nothing.
     """
-    pep = peptides.select(F.col(peptide).alias("__pep")).filter(F.length("__pep") > 0).distinct().withColumn("__k", F.least(F.length("__pep"), F.lit(seed_length))).withColumn("__seed", F.substring(F.col("__pep"), F.lit(1), F.col("__k")))
+    pep = peptides.select(F.col(peptide).alias("__pep")).filter(F.length("__pep") > 0).distinct().withColumn("__k", F.least(F.length("__pep"), F.lit(seed_length))).withColumn("__seed", F.xxhash64(F.substring(F.col("__pep"), F.lit(1), F.col("__k"))))
     spots = proteins.select(F.col(protein_id), F.col(sequence).alias("__seq")).filter(F.length("__seq") > 0)
-    sizes = pep.agg(F.collect_set("__k"), F.max(F.length("__pep"))).first()
+    sizes = pep.agg(F.collect_set("__k"), F.max(F.length("__pep")), F.sum(F.length("__pep") + 80)).first()
+    small = (sizes[2] or 0) <= BROADCAST_LIMIT
     lengths, longest = sizes[0] or [seed_length], sizes[1] or seed_length  # at most seed_length different ones
 
     # substring() counts from the text's start, so long sequences are cut into overlapping pieces first
-    n = F.length("__seq")
-    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), lambda i: F.struct((i * PIECE).alias("from"), F.substring(F.col("__seq"), i * PIECE + 1, F.lit(PIECE + longest - 1)).alias("text")))
+    def pieces(seq: Column) -> Column:
+        count = F.floor((F.length(seq) - 1) / PIECE).cast("int")
+        return F.transform(F.sequence(F.lit(0), count), lambda i: F.struct((i * PIECE).alias("from"), F.substring(seq, i * PIECE + 1, F.lit(PIECE + longest - 1)).alias("text")))
+
+    cut = let(F.col("__seq"), pieces)  # bound, as the optimizer would put the sequence's own expression into the loop
     spots = spots.select(protein_id, F.explode(cut).alias("p")).select(protein_id, "p.from", "p.text")
 
     def spots_of(k: int) -> Column:
         last = F.least(F.length("text") - k, F.lit(PIECE - 1))
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct((F.col("from") + i).alias("at"), F.lit(k).alias("k"), F.substring(F.col("text"), i + 1, F.lit(k)).alias("seed"), F.substring(F.col("text"), i + 1, F.lit(longest)).alias("rest")))
+        return F.transform(at, lambda i: F.struct((F.col("from") + i).alias("at"), F.lit(k).alias("k"), F.xxhash64(F.substring(F.col("text"), i + 1, F.lit(k))).alias("seed"), F.substring(F.col("text"), i + 1, F.lit(longest)).alias("rest")))
 
     grams = F.concat(*[spots_of(k) for k in sorted(lengths)])
     found = spots.select(protein_id, F.explode(grams).alias("g")).select(protein_id, F.col("g.at").alias("start"), F.col("g.k").alias("__k"), F.col("g.seed").alias("__seed"), F.col("g.rest").alias("__rest"))
-    hits = found.join(pep, ["__k", "__seed"]).filter(F.startswith(F.col("__rest"), F.col("__pep")))
+    hits = found.join(F.broadcast(pep) if small else pep, ["__k", "__seed"]).filter(F.startswith(F.col("__rest"), F.col("__pep")))
     return hits.select(protein_id, "start", F.length("__pep").alias("length"), F.col("__pep").alias("peptide"))
 
 

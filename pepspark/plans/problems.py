@@ -69,7 +69,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
     """Every row of the quantities with its value in the common unit and where the unit came from."""
-    return units.harmonize_units(table(spark, d, "cv_params")).select("param_id", "quantity", "unit", "unit_origin", F.round("value_milli", 2).alias("value_milli"))
+    return units.harmonize_units(table(spark, d, "cv_params")).select("param_id", "quantity", "unit", "unit_origin", F.round("value_milli", 3).alias("value_milli"))
 
 
 _HITS = """
@@ -170,7 +170,7 @@ _MILLI = "case when a.dimension = w.q_dimension then (coalesce(w.compound, w.pla
 _P5_FOUND = _p5(
     f"select distinct param_id, round(round({_MILLI}, 5))::bigint as value_milli from w join a on w.own = a.alias where {_MILLI} is not null and (w.compound is not null or a.unit <> w.common_unit)"
 )
-_P5_VALUES = _p5(f"select param_id, quantity, a.unit as unit, unit_origin, round({_MILLI}, 2) as value_milli from w left join a on coalesce(w.own, w.usual) = a.alias")
+_P5_VALUES = _p5(f"select param_id, quantity, a.unit as unit, unit_origin, round({_MILLI}, 3) as value_milli from w left join a on coalesce(w.own, w.usual) = a.alias")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
