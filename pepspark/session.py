@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}
+
 #: Largest size in bytes of a plan side that this package itself marks for broadcast.
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
@@ -54,4 +56,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/pepspark-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` wrote in this application, once no DataFrame built on them is needed; returns their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

@@ -14,8 +14,12 @@ _CV_LIST = f"cvParam:{CV},userParam:{CV}"
 
 
 def read_xml(spark: SparkSession, path: str | list[str], tag: str, schema: str) -> DataFrame:
-    """Elements ``tag`` (local name, at any depth) with an explicit schema; attributes have the prefix '_', text is _VALUE."""
-    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("attributePrefix", "_").option("valueTag", "_VALUE").schema(schema).load(path)
+    """Elements ``tag`` (local name, at any depth) with an explicit schema; attributes have the prefix '_', text is _VALUE.
+
+    The column 'source' is the file; ids are unique within a file only, so every join has it in its key.
+    """
+    raw = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").option("attributePrefix", "_").option("valueTag", "_VALUE").schema(schema).load(path)
+    return raw.withColumn("source", F.col("_metadata.file_path"))
 
 
 def cv_params(params: Column) -> Column:
@@ -64,9 +68,9 @@ def read_mzml(spark: SparkSession, path: str | list[str], decode: bool = True) -
     ``decode`` False the arrays stay encoded in binaryDataArrayList.
     """
     raw = read_xml(spark, path, "spectrum", MZML_SPECTRUM)
-    groups = read_xml(spark, path, "referenceableParamGroup", f"_id string, cvParam {CV}").select(F.col("_id").alias("__g"), cv_params(F.col("cvParam")).alias("__p"))
-    refs = raw.select("_id", F.explode("referenceableParamGroupRef._ref").alias("__g")).join(groups, "__g").groupBy("_id").agg(F.flatten(F.collect_list("__p")).alias("__group"))
-    s = raw.join(refs, "_id", "left").withColumn("cv_params", F.concat(cv_params(F.col("cvParam")), F.coalesce("__group", F.array().cast("array<struct<accession:string,name:string,value:string,unit:string>>"))))
+    groups = read_xml(spark, path, "referenceableParamGroup", f"_id string, cvParam {CV}").select("source", F.col("_id").alias("__g"), cv_params(F.col("cvParam")).alias("__p"))
+    refs = raw.select("source", "_id", F.explode("referenceableParamGroupRef._ref").alias("__g")).join(groups, ["source", "__g"]).groupBy("source", "_id").agg(F.flatten(F.collect_list("__p")).alias("__group"))
+    s = raw.join(refs, ["source", "_id"], "left").withColumn("cv_params", F.concat(cv_params(F.col("cvParam")), F.coalesce("__group", F.array().cast("array<struct<accession:string,name:string,value:string,unit:string>>"))))
     scan = F.get("scanList.scan", F.lit(0))
     s = s.withColumn("scan_params", cv_params(scan["cvParam"]))
     start = F.get(F.filter("scan_params", lambda p: p["accession"] == "MS:1000016"), F.lit(0))
@@ -80,6 +84,7 @@ def read_mzml(spark: SparkSession, path: str | list[str], decode: bool = True) -
         ),
     )
     out = s.select(
+        "source",
         F.col("_id").alias("spectrum_id"),
         F.col("_index").alias("idx"),
         F.col("_defaultArrayLength").alias("array_length"),
@@ -92,14 +97,14 @@ def read_mzml(spark: SparkSession, path: str | list[str], decode: bool = True) -
     )
     if not decode:
         return out
-    arrays = _arrays(out, ["spectrum_id"]).select("spectrum_id", F.col("mz_array").alias("mz"), F.col("intensity_array").alias("intensity"), A.mask_zero("charge_array").alias("charge_array"))
-    return out.drop("binaryDataArrayList").join(arrays, "spectrum_id", "left")
+    arrays = _arrays(out, ["source", "spectrum_id"]).select("source", "spectrum_id", F.col("mz_array").alias("mz"), F.col("intensity_array").alias("intensity"), A.mask_zero("charge_array").alias("charge_array"))
+    return out.drop("binaryDataArrayList").join(arrays, ["source", "spectrum_id"], "left")
 
 
 def read_chromatograms(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """mzML chromatograms: chromatogram_id, time, intensity."""
-    raw = read_xml(spark, path, "chromatogram", f"_id string, cvParam {CV}, binaryDataArrayList {_ARRAY}").select(F.col("_id").alias("chromatogram_id"), "binaryDataArrayList")
-    return _arrays(raw, ["chromatogram_id"]).select("chromatogram_id", F.col("time_array").alias("time"), F.col("intensity_array").alias("intensity"))
+    raw = read_xml(spark, path, "chromatogram", f"_id string, cvParam {CV}, binaryDataArrayList {_ARRAY}").select("source", F.col("_id").alias("chromatogram_id"), "binaryDataArrayList")
+    return _arrays(raw, ["source", "chromatogram_id"]).select("source", "chromatogram_id", F.col("time_array").alias("time"), F.col("intensity_array").alias("intensity"))
 
 
 _SCAN = "_num:string,_msLevel:string,_peaksCount:string,_polarity:string,_retentionTime:string,_lowMz:string,_highMz:string,_basePeakMz:string,_basePeakIntensity:string,_totIonCurrent:string,precursorMz:array<struct<_VALUE:string,_precursorIntensity:string,_precursorCharge:string>>,peaks:array<struct<_VALUE:string,_precision:string,_compressionType:string,_byteOrder:string>>"
@@ -113,16 +118,17 @@ def read_mzxml(spark: SparkSession, path: str | list[str], depth: int = 3) -> Da
     schema = ", ".join(f"{x.split(':', 1)[0]} {x.split(':', 1)[1]}" for x in _split_fields(_SCAN)) + f", scan {inner}"
     level = read_xml(spark, path, "scan", schema)
     names = [x.split(":", 1)[0] for x in _split_fields(_SCAN)]
-    scans = level.select(*names)
-    for _k in range(depth):
-        level = level.select(F.explode("scan").alias("s"))
-        scans = scans.unionByName(level.select(*[F.col(f"s.{n}").alias(n) for n in names]))
-        if _k < depth - 1:
-            level = level.select(F.col("s.scan").alias("scan"))
+    scans = level.select("source", *names)
+    for k in range(depth):
+        level = level.select("source", F.explode("scan").alias("s"))
+        scans = scans.unionByName(level.select("source", *[F.col(f"s.{n}").alias(n) for n in names]))
+        if k < depth - 1:
+            level = level.select("source", F.col("s.scan").alias("scan"))
     peaks = F.get("peaks", F.lit(0))
     s = scans.withColumn("__text", F.trim(peaks["_VALUE"])).withColumn("__z", F.when(peaks["_compressionType"] == "zlib", "zlib").otherwise("none")).withColumn("__t", F.when(peaks["_precision"] == "64", "f64be").otherwise("f32be"))
     s = s.withColumn("__flat", A.decode_binary("__text", "__z", "__t"))
     return s.select(
+        "source",
         F.col("_num").alias("num"),
         F.col("_msLevel").cast("int").alias("ms_level"),
         F.col("_polarity").alias("polarity"),
@@ -189,6 +195,7 @@ def read_pepxml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     # the comparison needs only rank and place, as hits hold maps, which have no order
     ranked = let(hits, lambda a: F.transform(F.array_sort(F.transform(a, lambda h, i: F.struct(h["hit_rank"].alias("r"), i.alias("i")))), lambda x: F.get(a, x["i"])))
     return raw.select(
+        "source",
         F.col("_spectrum").alias("spectrum"),
         F.col("_start_scan").alias("start_scan"),
         F.col("_end_scan").alias("end_scan"),
@@ -225,8 +232,8 @@ def roc_curve(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Points of the prophet error tables: charge, tag ('roc_data_point' or 'error_point'), min_prob, sensitivity or error, counts."""
     point = "array<struct<_min_prob:double,_sensitivity:double,_error:double,_num_corr:double,_num_incorr:double>>"
     raw = read_xml(spark, path, "roc_error_data", f"_charge string, roc_data_point {point}, error_point {point}")
-    parts = [raw.select(F.col("_charge").alias("charge"), F.lit(t).alias("tag"), F.explode(t).alias("p")) for t in ("roc_data_point", "error_point")]
-    return parts[0].unionByName(parts[1]).select("charge", "tag", F.col("p._min_prob").alias("min_prob"), F.col("p._sensitivity").alias("sensitivity"), F.col("p._error").alias("error"), F.col("p._num_corr").alias("num_corr"), F.col("p._num_incorr").alias("num_incorr"))
+    parts = [raw.select("source", F.col("_charge").alias("charge"), F.lit(t).alias("tag"), F.explode(t).alias("p")) for t in ("roc_data_point", "error_point")]
+    return parts[0].unionByName(parts[1]).select("source", "charge", "tag", F.col("p._min_prob").alias("min_prob"), F.col("p._sensitivity").alias("sensitivity"), F.col("p._error").alias("error"), F.col("p._num_corr").alias("num_corr"), F.col("p._num_incorr").alias("num_incorr"))
 
 
 PROTXML_GROUP = "_group_number int, _probability double, protein array<struct<_protein_name:string,_n_indistinguishable_proteins:int,_probability:double,_percent_coverage:double,_unique_stripped_peptides:string,_group_sibling_id:string,_total_number_peptides:int,_pct_spectrum_ids:double,indistinguishable_protein:array<struct<_protein_name:string>>,annotation:array<struct<_protein_description:string>>,peptide:array<struct<_peptide_sequence:string,_charge:int,_initial_probability:double,_nsp_adjusted_probability:double,_weight:double,_n_instances:int,_calc_neutral_pep_mass:double>>>>"
@@ -245,12 +252,12 @@ def read_protxml(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.get(p["annotation"], F.lit(0))["_protein_description"].alias("protein_description"),
         F.transform(p["peptide"], lambda x: F.struct(x["_peptide_sequence"].alias("peptide_sequence"), x["_charge"].alias("charge"), x["_initial_probability"].alias("initial_probability"), x["_nsp_adjusted_probability"].alias("nsp_adjusted_probability"), x["_n_instances"].alias("n_instances"))).alias("peptide"),
     )
-    return raw.select(F.col("_group_number").alias("group_number"), F.col("_probability").alias("probability"), F.transform("protein", one).alias("protein"))
+    return raw.select("source", F.col("_group_number").alias("group_number"), F.col("_probability").alias("probability"), F.transform("protein", one).alias("protein"))
 
 
 def flatten_protxml(groups: DataFrame) -> DataFrame:
     """One row per protein, with its group."""
-    return groups.select("group_number", F.col("probability").alias("group_probability"), F.explode("protein").alias("p")).select("group_number", "group_probability", "p.*")
+    return groups.select("source", "group_number", F.col("probability").alias("group_probability"), F.explode("protein").alias("p")).select("source", "group_number", "group_probability", "p.*")
 
 
 _DOMAIN = "struct<_id:string,_start:int,_end:int,_expect:double,_mh:double,_delta:double,_hyperscore:double,_nextscore:double,_y_score:double,_b_score:double,_pre:string,_post:string,_seq:string,_missed_cleavages:int,aa:array<struct<_type:string,_at:int,_modified:double>>>"
@@ -270,13 +277,13 @@ def read_tandem(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
     notes = F.flatten(F.transform(F.coalesce(F.col("group"), F.array().cast("array<struct<_label:string,_type:string,note:array<struct<_VALUE:string,_label:string>>>>")), lambda g: F.coalesce(g["note"], F.array().cast("array<struct<_VALUE:string,_label:string>>"))))
     rt = F.coalesce(X.duration_minutes("_rt") * F.when(F.startswith("_rt", F.lit("P")), 60.0).otherwise(1.0), F.lit(None).cast("double"))
-    return raw.select(F.col("_id").alias("id"), F.col("_mh").alias("mh"), F.col("_z").alias("z"), rt.alias("rt"), F.col("_expect").alias("expect"), F.col("_label").alias("label"), F.transform("protein", protein).alias("protein"), F.get(F.filter(notes, lambda n: n["_label"] == "Description"), F.lit(0))["_VALUE"].alias("scan_description"))
+    return raw.select("source", F.col("_id").alias("id"), F.col("_mh").alias("mh"), F.col("_z").alias("z"), rt.alias("rt"), F.col("_expect").alias("expect"), F.col("_label").alias("label"), F.transform("protein", protein).alias("protein"), F.get(F.filter(notes, lambda n: n["_label"] == "Description"), F.lit(0))["_VALUE"].alias("scan_description"))
 
 
 def flatten_tandem(models: DataFrame) -> DataFrame:
     """One row per model: first protein's peptide, proteins as lists, modifications 'mass@type'."""
     d = F.get(F.get("protein", F.lit(0))["domains"], F.lit(0))
-    return models.select("id", "mh", "z", "rt", "expect", "scan_description", d["seq"].alias("seq"), d["start"].alias("start"), d["end"].alias("end"), d["hyperscore"].alias("hyperscore"), d["nextscore"].alias("nextscore"), d["missed_cleavages"].alias("missed_cleavages"), F.transform("protein", lambda p: p["label"]).alias("protein_label"), F.transform("protein", lambda p: p["expect"]).alias("protein_expect"), F.transform(d["modifications"], lambda m: F.concat(F.format_string("%.3f", m["modified"]), F.lit("@"), m["type"])).alias("modifications"))
+    return models.select("source", "id", "mh", "z", "rt", "expect", "scan_description", d["seq"].alias("seq"), d["start"].alias("start"), d["end"].alias("end"), d["hyperscore"].alias("hyperscore"), d["nextscore"].alias("nextscore"), d["missed_cleavages"].alias("missed_cleavages"), F.transform("protein", lambda p: p["label"]).alias("protein_label"), F.transform("protein", lambda p: p["expect"]).alias("protein_expect"), F.transform(d["modifications"], lambda m: F.concat(F.format_string("%.3f", m["modified"]), F.lit("@"), m["type"])).alias("modifications"))
 
 
 _SII = f"_id:string,_rank:int,_chargeState:int,_peptide_ref:string,_experimentalMassToCharge:double,_calculatedMassToCharge:double,_passThreshold:string,PeptideEvidenceRef:array<struct<_peptideEvidence_ref:string>>,{_CV_LIST}"
@@ -289,9 +296,10 @@ def read_mzid(spark: SparkSession, path: str | list[str], retrieve_refs: bool =
     are joined in; unresolved references stay null.
     """
     raw = read_xml(spark, path, "SpectrumIdentificationResult", f"_id string, _spectrumID string, _spectraData_ref string, SpectrumIdentificationItem array<struct<{_SII}>>, cvParam {CV}")
-    items = raw.select(F.col("_id").alias("result_id"), F.col("_spectrumID").alias("spectrum_id"), F.explode("SpectrumIdentificationItem").alias("i"))
+    items = raw.select("source", F.col("_id").alias("result_id"), F.col("_spectrumID").alias("spectrum_id"), F.explode("SpectrumIdentificationItem").alias("i"))
     scores = cv_params(F.col("i.cvParam"))
     rows = items.select(
+        "source",
         "result_id",
         "spectrum_id",
         F.col("i._id").alias("item_id"),
@@ -307,19 +315,20 @@ def read_mzid(spark: SparkSession, path: str | list[str], retrieve_refs: bool =
     if not retrieve_refs:
         return rows
     peptides = read_xml(spark, path, "Peptide", f"_id string, PeptideSequence string, Modification array<struct<_location:int,_monoisotopicMassDelta:double,cvParam:{CV}>>").select(
-        F.col("_id").alias("peptide_ref"), F.col("PeptideSequence").alias("peptide"), F.transform("Modification", lambda m: F.struct(m["_location"].alias("position"), m["_monoisotopicMassDelta"].alias("mass"), F.get(m["cvParam"], F.lit(0))["_name"].alias("name"))).alias("modifications")
+        "source", F.col("_id").alias("peptide_ref"), F.col("PeptideSequence").alias("peptide"), F.transform("Modification", lambda m: F.struct(m["_location"].alias("position"), m["_monoisotopicMassDelta"].alias("mass"), F.get(m["cvParam"], F.lit(0))["_name"].alias("name"))).alias("modifications")
     )
     evidence = read_xml(spark, path, "PeptideEvidence", "_id string, _peptide_ref string, _dBSequence_ref string, _start int, _end int, _pre string, _post string, _isDecoy string").filter("_dBSequence_ref is not null")
-    db = read_xml(spark, path, "DBSequence", f"_id string, _accession string, _length int, cvParam {CV}").select(F.col("_id").alias("_dBSequence_ref"), F.col("_accession").alias("accession"), _value(cv_params(F.col("cvParam")), "MS:1001088").alias("protein_descr"))
-    evidence = evidence.join(db, "_dBSequence_ref", "left").select(F.col("_id").alias("ref"), F.struct(F.col("accession"), F.col("protein_descr"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_pre").alias("pre"), F.col("_post").alias("post"), X.parse_bool("_isDecoy").alias("is_decoy")).alias("e"))
-    key = ["result_id", "item_id"]
-    found = rows.select(*key, F.posexplode("evidence_refs").alias("n", "ref")).join(evidence, "ref").groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("evidence"))
-    return rows.join(peptides, "peptide_ref", "left").join(found, key, "left")
+    db = read_xml(spark, path, "DBSequence", f"_id string, _accession string, _length int, cvParam {CV}").select("source", F.col("_id").alias("_dBSequence_ref"), F.col("_accession").alias("accession"), _value(cv_params(F.col("cvParam")), "MS:1001088").alias("protein_descr"))
+    evidence = evidence.join(db, ["source", "_dBSequence_ref"], "left").select("source", F.col("_id").alias("ref"), F.struct(F.col("accession"), F.col("protein_descr"), F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_pre").alias("pre"), F.col("_post").alias("post"), X.parse_bool("_isDecoy").alias("is_decoy")).alias("e"))
+    key = ["source", "result_id", "item_id"]
+    found = rows.select(*key, F.posexplode("evidence_refs").alias("n", "ref")).join(evidence, ["source", "ref"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]).alias("evidence"))
+    return rows.join(peptides, ["source", "peptide_ref"], "left").join(found, key, "left")
 
 
 def flatten_mzid(rows: DataFrame) -> DataFrame:
     """One row per result: its first item, evidences as lists, is_decoy if all evidences are decoys."""
-    best = rows.groupBy("result_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "result_id"]), F.struct(F.coalesce("rank", F.lit(1 << 30)), "item_id")).alias("r")).select("result_id", "r.*")
+    keys = ("source", "result_id")
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(F.coalesce("rank", F.lit(1 << 30)), "item_id")).alias("r")).select(*keys, "r.*")
     e = F.col("evidence")
     return best.select(*[c for c in best.columns if c != "evidence"], *[e[c].alias(c) for c in ("accession", "start", "end", "pre", "post")], F.forall(e, lambda x: F.coalesce(x["is_decoy"], F.lit(False))).alias("is_decoy"))
 
@@ -328,35 +337,36 @@ _USER = "UserParam:array<struct<_type:string,_name:string,_value:string>>"
 
 
 def read_idxml(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """OpenMS idXML: score_type, higher_score_better, mz, rt, hits (sequence, charge, score, target_decoy, proteins)."""
+    """OpenMS idXML: score_type, higher_score_better, mz, rt, hits (sequence, charge, score, target_decoy, proteins). An identification repeated in a file comes once."""
     raw = read_xml(spark, path, "PeptideIdentification", f"_score_type string, _higher_score_better string, _significance_threshold double, _MZ double, _RT double, _spectrum_reference string, PeptideHit array<struct<_score:double,_sequence:string,_charge:int,_aa_before:string,_aa_after:string,_start:string,_end:string,_protein_refs:string,{_USER}>>")
-    proteins = read_xml(spark, path, "ProteinHit", f"_id string, _accession string, _score double, _sequence string, {_USER.replace(':', ' ', 1)}").select(F.col("_id").alias("ref"), F.col("_accession").alias("accession"))
-    keyed = raw.withColumn("row", F.xxhash64("_MZ", "_RT", "_spectrum_reference", F.to_json("PeptideHit")))
-    hits = keyed.select("row", F.posexplode_outer("PeptideHit").alias("n", "h"))
-    refs = hits.select("row", "n", F.posexplode(F.split("h._protein_refs", r"\s+")).alias("k", "ref")).join(proteins, "ref").groupBy("row", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "accession"))), lambda x: x["accession"]).alias("proteins"))
-    done = hits.join(refs, ["row", "n"], "left").filter("h is not null").groupBy("row").agg(
+    proteins = read_xml(spark, path, "ProteinHit", f"_id string, _accession string, _score double, _sequence string, {_USER.replace(':', ' ', 1)}").select("source", F.col("_id").alias("ref"), F.col("_accession").alias("accession"))
+    keyed = raw.withColumn("row", F.xxhash64("source", "_MZ", "_RT", "_spectrum_reference", F.to_json("PeptideHit")))
+    keyed = keyed.dropDuplicates(["source", "row"])
+    hits = keyed.select("source", "row", F.posexplode_outer("PeptideHit").alias("n", "h"))
+    refs = hits.select("source", "row", "n", F.posexplode(F.split("h._protein_refs", r"\s+")).alias("k", "ref")).join(proteins, ["source", "ref"]).groupBy("source", "row", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "accession"))), lambda x: x["accession"]).alias("proteins"))
+    done = hits.join(refs, ["source", "row", "n"], "left").filter("h is not null").groupBy("source", "row").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("n", "h", "proteins"))),
             lambda x: F.struct(x["h"]["_score"].alias("score"), x["h"]["_sequence"].alias("sequence"), x["h"]["_charge"].alias("charge"), x["h"]["_aa_before"].alias("aa_before"), x["h"]["_aa_after"].alias("aa_after"), F.get(F.filter(x["h"]["UserParam"], lambda u: u["_name"] == "target_decoy"), F.lit(0))["_value"].alias("target_decoy"), x["proteins"].alias("proteins")),
         ).alias("hits")
     )
-    return keyed.join(done, "row", "left").select(F.col("_score_type").alias("score_type"), X.parse_bool("_higher_score_better").alias("higher_score_better"), F.col("_MZ").alias("mz"), F.col("_RT").alias("rt"), F.col("_spectrum_reference").alias("spectrum_reference"), "hits")
+    return keyed.join(done, ["source", "row"], "left").select("source", F.col("_score_type").alias("score_type"), X.parse_bool("_higher_score_better").alias("higher_score_better"), F.col("_MZ").alias("mz"), F.col("_RT").alias("rt"), F.col("_spectrum_reference").alias("spectrum_reference"), "hits")
 
 
 def flatten_idxml(rows: DataFrame) -> DataFrame:
     """First hit of each identification; is_decoy by its target_decoy mark."""
     h = F.get("hits", F.lit(0))
-    return rows.select("score_type", "higher_score_better", "mz", "rt", *[h[c].alias(c) for c in ("score", "sequence", "charge", "aa_before", "aa_after", "proteins")], (F.lower(h["target_decoy"]) == "decoy").alias("is_decoy"))
+    return rows.select("source", "score_type", "higher_score_better", "mz", "rt", *[h[c].alias(c) for c in ("score", "sequence", "charge", "aa_before", "aa_after", "proteins")], (F.lower(h["target_decoy"]) == "decoy").alias("is_decoy"))
 
 
 def read_traml(spark: SparkSession, path: str | list[str], retrieve_refs: bool = True) -> DataFrame:
     """TraML transitions: id, precursor_mz, product_mz, peptide_ref, cv_params; with references the peptide's sequence and proteins."""
     raw = read_xml(spark, path, "Transition", f"_id string, _peptideRef string, _compoundRef string, Precursor struct<{_CV_LIST}>, Product struct<{_CV_LIST}>, RetentionTime struct<{_CV_LIST}>, cvParam {CV}")
-    rows = raw.select(F.col("_id").alias("id"), F.col("_peptideRef").alias("peptide_ref"), F.col("_compoundRef").alias("compound_ref"), _value(cv_params(F.col("Precursor.cvParam")), "MS:1000827").cast("double").alias("precursor_mz"), _value(cv_params(F.col("Product.cvParam")), "MS:1000827").cast("double").alias("product_mz"), _value(cv_params(F.col("Product.cvParam")), "MS:1000041").cast("int").alias("product_charge"), cv_params(F.col("cvParam")).alias("cv_params"))
+    rows = raw.select("source", F.col("_id").alias("id"), F.col("_peptideRef").alias("peptide_ref"), F.col("_compoundRef").alias("compound_ref"), _value(cv_params(F.col("Precursor.cvParam")), "MS:1000827").cast("double").alias("precursor_mz"), _value(cv_params(F.col("Product.cvParam")), "MS:1000827").cast("double").alias("product_mz"), _value(cv_params(F.col("Product.cvParam")), "MS:1000041").cast("int").alias("product_charge"), cv_params(F.col("cvParam")).alias("cv_params"))
     if not retrieve_refs:
         return rows
-    peptides = read_xml(spark, path, "Peptide", f"_id string, _sequence string, ProteinRef array<struct<_ref:string>>, cvParam {CV}").filter("_sequence is not null").select(F.col("_id").alias("peptide_ref"), F.col("_sequence").alias("sequence"), F.transform("ProteinRef", lambda p: p["_ref"]).alias("protein_refs"))
-    return rows.join(peptides, "peptide_ref", "left")
+    peptides = read_xml(spark, path, "Peptide", f"_id string, _sequence string, ProteinRef array<struct<_ref:string>>, cvParam {CV}").filter("_sequence is not null").select("source", F.col("_id").alias("peptide_ref"), F.col("_sequence").alias("sequence"), F.transform("ProteinRef", lambda p: p["_ref"]).alias("protein_refs"))
+    return rows.join(peptides, ["source", "peptide_ref"], "left")
 
 
 def read_featurexml(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -364,9 +374,9 @@ def read_featurexml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     dim = "array<struct<_VALUE:double,_dim:int>>"
     raw = read_xml(spark, path, "feature", f"_id string, position {dim}, intensity double, quality {dim}, overallquality double, charge int, convexhull array<struct<_nr:int,pt:array<struct<_x:double,_y:double>>>>")
     ordered = lambda c: F.transform(F.array_sort(F.transform(c, lambda p: F.struct(p["_dim"].alias("d"), p["_VALUE"].alias("v")))), lambda p: p["v"])
-    return raw.select(F.col("_id").alias("id"), ordered(F.col("position")).alias("position"), "intensity", ordered(F.col("quality")).alias("quality"), "overallquality", "charge", F.transform("convexhull", lambda h: F.transform(h["pt"], lambda p: F.struct(p["_x"].alias("x"), p["_y"].alias("y")))).alias("convexhull"))
+    return raw.select("source", F.col("_id").alias("id"), ordered(F.col("position")).alias("position"), "intensity", ordered(F.col("quality")).alias("quality"), "overallquality", "charge", F.transform("convexhull", lambda h: F.transform(h["pt"], lambda p: F.struct(p["_x"].alias("x"), p["_y"].alias("y")))).alias("convexhull"))
 
 
 def read_trafoxml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Pairs of a retention-time transformation: from, to."""
-    return read_xml(spark, path, "Pair", "_from double, _to double").select(F.col("_from").alias("from"), F.col("_to").alias("to"))
+    return read_xml(spark, path, "Pair", "_from double, _to double").select("source", F.col("_from").alias("from"), F.col("_to").alias("to"))

@@ -142,6 +142,10 @@ def test_mzml(spark, put):
     assert (p.mz, p.charge, p.ref) == (445.3, 2, "scan=9") and "MS:1000127" in {c.accession for c in rows[0].cv_params}
     assert X.read_mzml(spark, path, decode=False).first().binaryDataArrayList is not None
     assert X.read_chromatograms(spark, path).first().time == [1.0, 2.0]
+    # the same ids in a second file stay apart
+    two = put("b.mzML", open(path).read().replace(b64([100.5, 200.25]), b64([7.5, 8.25])))
+    both = X.read_mzml(spark, [path, two])
+    assert both.count() == 4 and both.filter("spectrum_id = 'scan=0'").select("source", "mz").distinct().count() == 2
 
 
 def test_mzxml(spark, put):
@@ -226,3 +230,12 @@ def test_unimod(spark, put):
     assert {r.id for r in db.get("mid", strict=False).collect()} == {2} and db.get("nothing").isEmpty()
     assert db.modification_compositions().first().composition == {"C": 2, "O": 1, "H": 1}
     assert db.sql("select max(id) as m from {modification}").first().m == 2
+
+
+def test_materialize_and_drop(spark, tmp_path, monkeypatch):
+    from pepspark import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda s: f"file://{tmp_path}")
+    df = session.materialize(spark.range(5), "t")
+    assert df.count() == 5 and len(list(tmp_path.iterdir())) == 1
+    assert session.drop_materialized(spark) >= 1 and not list(tmp_path.iterdir())
