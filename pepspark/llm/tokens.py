@@ -116,11 +116,12 @@ def load_encoding(path: str | None = None) -> tiktoken.Encoding:
     return _encoding(hashlib.sha256(data).hexdigest(), data)
 
 
-def _id_lists(lists: list[list[int]]) -> pa.Array:
+def _id_lists(enc: tiktoken.Encoding, texts: pa.Array, chunk_chars: int, overlap: int) -> pa.Array:
+    """The ids of a batch of texts as one Arrow column; each text's ids shrink to four bytes at once."""
+    lists = [np.array(encode_text(enc, t.as_py(), chunk_chars, overlap), np.int32) for t in texts]
     offsets = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*lists, np.zeros(0, np.int32)])))
 
 
 def _pieces_of_long(long: DataFrame, id_col: str, text_col: str, split_chars: int, overlap: int) -> tuple[DataFrame, DataFrame]:
@@ -182,14 +183,12 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
         for batch in batches:
-            lists = [encode_text(enc, t, chunk_chars, overlap) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists(lists)], out_type.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _id_lists(enc, batch.column(1), chunk_chars, overlap)], out_type.names)
 
     def run_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder()
         for batch in batches:
-            lists = [encode_text(enc, t, chunk_chars, overlap) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _id_lists(lists)], ["id", "no", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _id_lists(enc, batch.column(2), chunk_chars, overlap)], ["id", "no", "ids"])
 
     is_long = F.coalesce((F.col(length_col) if length_col else F.length(text_col)) > split_chars, F.lit(False))
     rows = df.select(id_col, text_col, is_long.alias("__long"))
