@@ -120,8 +120,8 @@ j as (select doc_id, unnest(list_concat(p, list_transform(range(1, len(p)), lamb
 select doc_id, count(*) as n_peptides, sum(length(peptide))::bigint as residues from j where length(peptide) between 6 and 30 group by doc_id"""
 )
 def q02_digest_missed1(spark: SparkSession, d: str) -> DataFrame:
-    p = proteins(spark, d).select("doc_id", F.explode(S.digest("seq", "trypsin", 1, 6, 30)).alias("p"))
-    return p.groupBy("doc_id").agg(F.count("*").alias("n_peptides"), F.sum(F.length("p.peptide")).alias("residues"))
+    p = proteins(spark, d).select("doc_id", F.explode(S.xcleave("seq", "trypsin", 1, 6, 30)).alias("p"))
+    return p.groupBy("doc_id").agg(F.count("*").alias("n_peptides"), F.sum(F.length("p")).alias("residues"))
 
 
 @query(f"with {_PROT}, p as (select distinct unnest({_cuts('seq')}) as peptide from prot) select peptide, length(peptide)::int as n from p where length(peptide) between 7 and 25")

@@ -56,10 +56,11 @@ def test_digest_all_rules(spark, missed):
     rules = [*K.EXPASY_RULES, *K.PSIMS_RULES] if missed == 0 else ["trypsin", "pepsin ph2.0", "Asp-N"]
     for start in range(0, len(rules), 12):
         part = rules[start : start + 12]
-        rows = spark.createDataFrame([(s,) for s in seqs], "s string").select("s", *[S.digest("s", r, missed).alias(f"d{i}") for i, r in enumerate(part)]).collect()
+        rows = spark.createDataFrame([(s,) for s in seqs], "s string").select("s", *[S.digest("s", r, missed).alias(f"d{i}") for i, r in enumerate(part)], *[S.xcleave("s", r, missed).alias(f"x{i}") for i, r in enumerate(part)]).collect()
         for row in rows:
             for i, r in enumerate(part):
                 assert sorted(tuple(x) for x in row[f"d{i}"]) == digest_brute(row.s, S.rule_pattern(r), missed), (r, row.s)
+                assert sorted(row[f"x{i}"]) == sorted(p for _, p in digest_brute(row.s, S.rule_pattern(r), missed))
 
 
 def test_digest_options(spark):
