@@ -156,6 +156,24 @@ class Peptidoform:
             out.append((total + charge * K.PROTON) / abs(charge) if charge else total)
         return out
 
+    def slice(self, start: int, stop: int) -> Peptidoform:
+        """Residues start .. stop - 1: terminal tags stay at an end that is kept, ranges are clipped and left out if empty; unlocalised and labile tags, as their places are unknown, are dropped unless all residues stay."""
+        n = len(self.sequence)
+        a, b = max(0, start), min(n, stop)
+        whole = a == 0 and b == n
+        spans = [(max(x, a) - a, min(y, b) - a, amb, tags) for x, y, amb, tags in self.intervals if max(x, a) < min(y, b)]
+        return Peptidoform(self.sequence[a:b], self.n_term if a == 0 else [], self.c_term if b == n else [], self.unlocalized if whole else [], self.labile if whole else [], self.fixed, spans, self.isotopes, self.charge if whole else None, self.adducts if whole else [], self.names)
+
+    def tags(self) -> list[tuple[str, int, Tag]]:
+        """All tags with where they stand: (place kind, position from 0 or -1, tag)."""
+        out = [("residue", i, t) for i, (_, tags) in enumerate(self.sequence) for t in tags]
+        out += [("interval", a, t) for a, _, _, tags in self.intervals for t in tags]
+        return out + [(kind, -1, t) for kind in ("n_term", "c_term", "unlocalized", "labile") for t in getattr(self, kind)] + [("fixed", -1, t) for t, _ in self.fixed]
+
+    def find_tags(self, group_id: str) -> list[tuple[str, int, Tag]]:
+        """Tags of one group."""
+        return [x for x in self.tags() if x[2].group_id == group_id]
+
     def __str__(self) -> str:
         return to_proforma(self)
 
@@ -214,7 +232,7 @@ def parse_tag(text: str, vocabulary: Vocabulary = STANDARD) -> Tag:
             return Tag(kind, value, K.composition_mass(comp), comp, text=p)
         if kind in ("info", "position", "limit"):
             return Tag(kind, value, text=p)
-        if kind is None and p.lower() in ("comup", "comkp"):
+        if not colon and p.lower() in ("comup", "comkp"):
             return Tag(p.lower(), "", text=p)
         name = value if kind else p
         if kind and _NUMBER.fullmatch(name):
@@ -385,11 +403,43 @@ def to_proforma(p: Peptidoform) -> str:
     return s
 
 
+@dataclass(frozen=True)
+class Placement:
+    """Where a tag of unknown place may go, by its 'Position', 'Limit', 'CoMKP' and 'CoMUP' parts."""
+
+    residues: frozenset[str] | None
+    limit: int
+    beside_known: bool
+    beside_unknown: bool
+
+    @classmethod
+    def of(cls, tag: Tag) -> Placement:
+        residues, limit, known, unknown = None, 1, False, False
+        for part in tag.extra:
+            key, _, value = part.partition(":")
+            if key.lower() == "position":
+                residues = frozenset(x.strip() for x in value.split(",")) | (residues or frozenset())
+            elif key.lower() == "limit":
+                limit = int(value)
+            elif key.lower() == "comkp":
+                known = True
+            elif key.lower() == "comup":
+                unknown = True
+        return cls(residues, limit, known, unknown)
+
+    def places(self, base: list[tuple[str, list[Tag]]]) -> list[int]:
+        n = len(base)
+        fits = lambda i, aa: self.residues is None or aa in self.residues or (i == 0 and "N-term" in self.residues) or (i == n - 1 and "C-term" in self.residues)
+        return [i for i, (aa, tags) in enumerate(base) if (not tags or self.beside_known) and fits(i, aa)]
+
+
 def peptidoforms(p: Peptidoform, variable: dict[str, list[str]] | None = None, max_mods: int | None = None, vocabulary: Vocabulary = STANDARD) -> Iterator[Peptidoform]:
     """Forms with every placement of unlocalised and grouped tags and of variable modifications (tag -> residues).
 
     Each unlocalised tag sits on one residue without a tag, each group on one of its places; at most
-    ``max_mods`` variable ones are set. Every distinct form comes once. The number of forms grows
+    ``max_mods`` variable ones are set. A tag may carry its own rules: 'Position:S,T' its residues,
+    'Limit:n' how many of it one residue bears, 'CoMKP' and 'CoMUP' that it may share a residue with
+    tags of known or of unknown place. Every distinct form comes once. The number of forms grows
     exponentially with the sites: bound it by ``max_mods``.
     """
     base = [(aa, [t for t in tags if not t.group_id]) for aa, tags in p.sequence]
@@ -399,21 +449,35 @@ def peptidoforms(p: Peptidoform, variable: dict[str, list[str]] | None = None, m
             if t.group_id:
                 tag, places = groups.get(t.group_id, (t, []))
                 groups[t.group_id] = (t if tag.type == "group" else tag, [*places, i])
-    free = [i for i, (_, tags) in enumerate(base) if not tags]
-    choices: list[list[tuple[int, Tag] | None]] = [[(i, tag) for i in places] for tag, places in groups.values() if tag.type != "group"]
-    choices += [[(i, t) for i in free] for t in p.unlocalized]
-    optional = [(i, parse_tag(tag, vocabulary)) for tag, residues in (variable or {}).items() for i, (aa, tags) in enumerate(base) if aa in residues and not tags]
+    choices: list[list[tuple[int, Tag]]] = [[(i, tag) for i in places] for tag, places in groups.values() if tag.type != "group"]
+    choices += [[(i, t) for i in Placement.of(t).places(base)] for t in p.unlocalized]
+    optional = [(i, t) for tag, residues in (variable or {}).items() for t in (parse_tag(tag, vocabulary),) for i in Placement.of(t).places(base) if base[i][0] in residues]
     seen: set[str] = set()
     top = len(optional) if max_mods is None else min(max_mods, len(optional))
+
+    def allowed(placed: list[tuple[int, Tag]]) -> bool:
+        at: dict[int, list[Tag]] = {}
+        for i, t in placed:
+            at.setdefault(i, []).append(t)
+        for tags in at.values():
+            if len(tags) == 1:
+                continue
+            names = [t.text for t in tags]
+            if any(names.count(t.text) > Placement.of(t).limit for t in tags):
+                return False
+            if len(set(names)) > 1 and not all(Placement.of(t).beside_unknown for t in tags):
+                return False
+        return True
+
     for fixed in itertools.product(*choices):
         for n in range(top + 1):
             for extra in itertools.combinations(optional, n):
                 placed = [*fixed, *extra]
-                if len({i for i, _ in placed}) < len(placed):
+                if not allowed(placed):
                     continue
                 seq = [(aa, list(tags)) for aa, tags in base]
-                for i, t in placed:
-                    seq[i][1].append(Tag(t.type, t.value, t.mass, t.composition, text=t.text.split("#")[0] or t.text))
+                for i, t in sorted(placed, key=lambda x: (x[0], x[1].text)):
+                    seq[i][1].append(Tag(t.type, t.value, t.mass, t.composition, text=re.split(r"[#|]", t.text)[0] or t.text))
                 form = Peptidoform(seq, p.n_term, p.c_term, [], p.labile, p.fixed, p.intervals, p.isotopes, p.charge, p.adducts, p.names)
                 key = str(form)
                 if key not in seen:

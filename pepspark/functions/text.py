@@ -143,6 +143,14 @@ def parse_bool(text: Column | str) -> Column:
     return F.when(t.isin("true", "1", "y"), True).when(t.isin("false", "0", "n"), False)
 
 
+def cast_numeric(text: Column | str) -> Column:
+    """struct(whole, number, text): a text as whole number, else as number, else as it is; the fields that don't apply are null."""
+    t = F.trim(_col(text))
+    whole = F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
+    number = F.when(whole.isNull(), t.try_cast("double"))
+    return F.when(t.isNotNull(), F.struct(whole.alias("whole"), number.alias("number"), F.when(whole.isNull() & number.isNull(), _col(text)).alias("text")))
+
+
 def parse_pepmass(text: Column | str) -> Column:
     """struct(mz, intensity, charge) of a PEPMASS value of one to three fields."""
     p = F.split(F.trim(_col(text)), r"\s+")

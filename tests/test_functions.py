@@ -151,6 +151,7 @@ def test_small_grammars(spark):
     assert abs(one(spark, "PT353.43S", X.duration_minutes("s"))[0] - 5.8905) < 1e-9 and one(spark, "P1DT1H2M", X.duration_minutes("s"))[0] == 62.0 and one(spark, "3.5", X.duration_minutes("s"))[0] == 3.5
     u = one(spark, "mzspec:MSV000085202:210320_SARS_CoV_2_T:scan:131256", X.parse_usi("s"))[0]
     assert u.dataset == "MSV000085202" and u.scan_identifier == "131256" and u.interpretation is None
+    assert [tuple(one(spark, t, X.cast_numeric("s"))[0]) for t in ("5", "-2.5e3", "x1")] == [(5, None, None), (None, -2500.0, None), (None, None, "x1")]
     assert tuple(one(spark, "1084.9 1234.0 3+", X.parse_pepmass("s"))[0]) == (1084.9, 1234.0, 3)
 
 

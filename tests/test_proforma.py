@@ -89,6 +89,21 @@ def test_placements():
     assert len(list(P.peptidoforms(P.parse("PSTSK"), {"Phospho": ["S", "T"]}, 2))) == 1 + 3 + 3
 
 
+def test_placement_rules():
+    f = lambda t: {str(x) for x in P.peptidoforms(P.parse(t))}
+    assert f("[Phospho|Position:S,T]?PSTK") == {"PS[Phospho]TK", "PST[Phospho]K"}
+    assert f("[Phospho|Position:S|Limit:2]^2?PSK") == {"PS[Phospho][Phospho]K"} and f("[Phospho|Position:S]^2?PSK") == set()
+    assert f("[Methyl|Position:K]?PK[Acetyl]") == set() and f("[Methyl|Position:K|CoMKP]?PK[Acetyl]") == {"PK[Acetyl][Methyl]"}
+    assert f("[Methyl|Position:K|CoMUP][Acetyl|Position:K|CoMUP]?PK") == {"PK[Acetyl][Methyl]"} and f("[Methyl|Position:K][Acetyl|Position:K]?PK") == set()
+    assert f("[Methyl|Position:N-term]?KPK") == {"K[Methyl]PK"}
+
+
+def test_slices_and_tags():
+    p = P.parse("[Acetyl]-PEM[Oxidation](STK)[Phospho#g1]R[#g1]-[Amidated]/2")
+    assert str(p.slice(0, 3)) == "[Acetyl]-PEM[Oxidation]" and str(p.slice(4, 7)) == "(TK)[Phospho#g1]R[#g1]-[Amidated]" and str(p.slice(0, 7)) == str(p)
+    assert {(k, i) for k, i, _ in p.find_tags("#g1")} == {("interval", 3), ("residue", 6)} and len(p.tags()) == 5
+
+
 def test_vocabulary():
     v = P.Vocabulary([("Mine", 9000, "C2H2", None), ("Heavy", None, None, 10.5)])
     assert abs(P.parse("PEP[Mine]K", v).mass - P.parse("PEPK").mass - 26.01565) < 1e-4
