@@ -310,7 +310,7 @@ def search_hit_children(psms: DataFrame) -> DataFrame:
 
     A child delivered repeatedly counts once. Terminal modifications sit at place 0 and at
     peptide length + 1 (null if the peptide is null); the label of a modification is the integer
-    part of its mass, null if the mass is.
+    part of its mass, null if the mass is null or not finite.
     """
     rows = shred(
         psms,
@@ -326,10 +326,10 @@ def search_hit_children(psms: DataFrame) -> DataFrame:
     t = F.col("table")
 
     def child(kind: str, no: Column, label: Column) -> Column:
-        return F.struct(F.lit(kind).alias("child"), no.cast("int").alias("child_no"), label.alias("child_label"))
+        return F.struct(F.lit(kind).alias("child"), no.try_cast("int").alias("child_no"), label.alias("child_label"))
 
     def whole(mass: Column) -> Column:
-        return mass.cast("double").cast("bigint").cast("string")
+        return mass.try_cast("double").try_cast("bigint").cast("string")
 
     one = (
         F.when(t == "hit", child("hit", F.lit(0), F.col("v1")))
@@ -351,7 +351,7 @@ def search_hit_tables(psms: DataFrame) -> dict[str, DataFrame]:
     rows = search_hit_rows(psms)
 
     def cells(names: tuple[str, ...], types: dict[str, str]) -> list[Column]:
-        return [F.col(f"v{i + 1}").cast(types.get(c, "string")).alias(c) for i, c in enumerate(names)]
+        return [F.col(f"v{i + 1}").try_cast(types.get(c, "string")).alias(c) for i, c in enumerate(names)]
 
     hit_types = {"hit_rank": "int", "calc_neutral_pep_mass": "double", "massdiff": "double", "num_tot_proteins": "int", "num_missed_cleavages": "int", "is_rejected": "boolean", "mod_nterm_mass": "double", "mod_cterm_mass": "double"}
     link = ["query_id", F.col("ord1").alias("hit_no")]

@@ -47,7 +47,7 @@ def _references(references: list[Reference]) -> DataFrame:
     """Long form: src_table, row_id, ref_field, target, key, at."""
     parts = None
     for r in references:
-        refs = F.array(*[F.struct(F.lit(f).alias("ref_field"), F.lit(t).alias("target"), F.col(f).cast("bigint").alias("key")) for f, t in r.fields.items()])
+        refs = F.array(*[F.struct(F.lit(f).alias("ref_field"), F.lit(t).alias("target"), F.col(f).try_cast("bigint").alias("key")) for f, t in r.fields.items()])
         part = r.df.select(F.lit(r.name).alias("src_table"), F.col(r.row_id).alias("row_id"), F.col(r.at).alias("at"), F.explode(refs).alias("r"))
         part = part.select("src_table", "row_id", "at", "r.*").filter("key is not null")
         parts = part if parts is None else parts.unionByName(part)
@@ -62,13 +62,15 @@ def orphan_references(targets: list[Target], references: list[Reference]) -> Dat
     Alive at time t: recorded_at <= t and (deleted_at is null or deleted_at > t). Kind 'missing': no
     row of the target table has the key; 'late': all such rows were recorded later; else 'deleted'.
     Null references are none; a reference without a time is reported only if it is 'missing' (its
-    month is null); a target row without recorded_at never lives. A repeated row counts once.
+    month is null); a target row without recorded_at never lives. A repeated row counts once. Keys are
+    whole numbers; a key that is none refers to nothing and is left out. The distinct lives of one
+    key are held in one row.
     """
     long = _references(references)
     parents = None
     for t in targets:
         life = F.struct(F.col(t.recorded_at).alias("born"), (F.col(t.deleted_at) if t.deleted_at else F.lit(None)).cast("timestamp_ntz").alias("died"))
-        part = t.df.select(F.lit(t.name).alias("target"), F.col(t.key).cast("bigint").alias("key"), life.alias("life")).filter("key is not null")
+        part = t.df.select(F.lit(t.name).alias("target"), F.col(t.key).try_cast("bigint").alias("key"), life.alias("life")).filter("key is not null")
         parents = part if parents is None else parents.unionByName(part)
     if parents is None:
         raise ValueError("no targets given")

@@ -19,7 +19,7 @@ UNITS: list[tuple[str, str, float, float, float, tuple[str, ...]]] = [
     ("minute", "time", 0, 60, 1, ("uo:0000031", "m", "min", "mins", "minute", "minutes")),
     ("hour", "time", 0, 3600, 1, ("uo:0000032", "h", "hr", "hrs", "hour", "hours")),
     ("day", "time", 0, 86400, 1, ("uo:0000033", "d", "day", "days")),
-    ("electronvolt", "energy", 0, 1, 1, ("uo:0000266", "ev", "electronvolt", "electronvolts", "electron volt", "electron volts")),
+    ("electronvolt", "energy", 0, 1, 1, ("uo:0000266", "ev", "electronvolt", "electronvolts", "electron volt", "electron volts", "electron-volt")),
     ("kiloelectronvolt", "energy", 0, 1e3, 1, ("kev", "kiloelectronvolt", "kiloelectronvolts", "kiloelectron volt", "kiloelectron volts")),
     ("megaelectronvolt", "energy", 0, 1e6, 1, ("MeV", "megaelectronvolt", "megaelectronvolts")),
     ("millielectronvolt", "energy", 0, 1, 1e3, ("meV", "millielectronvolt", "millielectronvolts")),
@@ -29,8 +29,8 @@ UNITS: list[tuple[str, str, float, float, float, tuple[str, ...]]] = [
     ("kilovolt", "potential", 0, 1e3, 1, ("uo:0000248", "kv", "kilovolt", "kilovolts")),
     ("megavolt", "potential", 0, 1e6, 1, ("MV", "megavolt", "megavolts")),
     ("kelvin", "temperature", 0, 1, 1, ("uo:0000012", "k", "kelvin", "kelvins", "deg k", "degk", "°k")),
-    ("degree Celsius", "temperature", 273.15, 1, 1, ("uo:0000027", "c", "°c", "℃", "degc", "deg c", "celsius", "degree celsius", "degrees celsius", "centigrade")),
-    ("degree Fahrenheit", "temperature", 459.67, 5, 9, ("uo:0000195", "f", "°f", "℉", "degf", "deg f", "fahrenheit", "degree fahrenheit", "degrees fahrenheit")),
+    ("degree Celsius", "temperature", 273.15, 1, 1, ("uo:0000027", "c", "°c", "℃", "degc", "deg c", "degree c", "degrees c", "celsius", "degree celsius", "degrees celsius", "centigrade")),
+    ("degree Fahrenheit", "temperature", 459.67, 5, 9, ("uo:0000195", "f", "°f", "℉", "degf", "deg f", "degree f", "degrees f", "fahrenheit", "degree fahrenheit", "degrees fahrenheit")),
     ("pascal", "pressure", 0, 1, 1, ("uo:0000110", "pa", "pascal", "pascals")),
     ("hectopascal", "pressure", 0, 100, 1, ("hpa", "hectopascal", "hectopascals")),
     ("kilopascal", "pressure", 0, 1e3, 1, ("kpa", "kilopascal", "kilopascals")),
@@ -172,4 +172,4 @@ def harmonize_units(cv: DataFrame, source_default: bool = True) -> DataFrame:
 def converted_values(cv: DataFrame) -> DataFrame:
     """Values that were given in a unit other than the common one: param_id, value_milli (rounded). Repeated rows count once."""
     rows = harmonize_units(cv, source_default=False)
-    return rows.filter(F.col("value_milli").isNotNull() & (F.col("is_compound") | (F.col("unit") != F.col("common_unit")))).select("param_id", F.round(F.round("value_milli", 5)).cast("bigint").alias("value_milli")).distinct()
+    return rows.filter(F.col("value_milli").isNotNull() & (F.col("is_compound") | (F.col("unit") != F.col("common_unit")))).select("param_id", F.round(F.round("value_milli", 5)).try_cast("bigint").alias("value_milli")).distinct()

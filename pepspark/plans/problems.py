@@ -54,13 +54,13 @@ def p3_monthly(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     out = packed.unpack_numbers(table(spark, d, "spectra"), ["spectrum_id"], "charge", at_least=2)
-    return out.select("spectrum_id", F.col("pos").cast("int").alias("pos"), F.col("value").cast("int").alias("charge"))
+    return out.select("spectrum_id", F.col("pos").cast("int").alias("pos"), F.col("value").try_cast("int").alias("charge"))
 
 
 def p4_charges(spark: SparkSession, d: str) -> DataFrame:
     """All charges, those of fields with a single one too."""
     out = packed.unpack_numbers(table(spark, d, "spectra"), ["spectrum_id"], "charge")
-    return out.select("spectrum_id", F.col("pos").cast("int").alias("pos"), F.col("value").cast("int").alias("charge"))
+    return out.select("spectrum_id", F.col("pos").cast("int").alias("pos"), F.col("value").try_cast("int").alias("charge"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -57,6 +57,12 @@ def test_children_against_brute_force(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(ROWS)))
 
 
+def test_masses_that_are_no_numbers(spark):
+    rows = [(1, None, None, [hit("AK", None, None, (float("nan"), float("inf"), [(1, 1e30)]))])]
+    got = {tuple(r) for r in N.search_hit_children(spark.createDataFrame(rows, SCHEMA)).filter("child = 'modification'").collect()}
+    assert got == {(1, "modification", 1, 0, None), (1, "modification", 1, 3, None), (1, "modification", 1, 1, None)}
+
+
 def test_empty_table(spark):
     assert N.search_hit_children(spark.createDataFrame([], SCHEMA)).count() == 0
 
