@@ -57,6 +57,11 @@ def formula_composition(formula: Column | str) -> Column:
     return F.when((F.length(f) <= MAX_FORMULA) & f.rlike(FORMULA), F.map_filter(S.let(pairs, summed), lambda k, v: v != 0))
 
 
+def composition_of(text: Column | str, modifications: dict[str, str] | None = None, ion_type: str | None = None) -> Column:
+    """Composition of a string read as a modX sequence if all its labels are known, else as a formula; null if neither."""
+    return F.coalesce(modx_composition(text, modifications, ion_type), formula_composition(text))
+
+
 def composition_mass(comp: Column | str, average: bool = False) -> Column:
     """Mass of a composition; an unknown element makes it null."""
     table = {el: K.element_mass(el, average) for el in K.NIST_MASS}

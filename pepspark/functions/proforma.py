@@ -593,3 +593,80 @@ def modx_to_proforma(seq: Column | str, names: dict[str, str] | None = None) ->
     body = F.array_join(F.transform(S.split_groups(seq), lambda g: F.concat(g["aa"], F.when(g["mod"] == "", "").otherwise(tag(g["mod"])))), "")
     n, c = F.regexp_replace(p["n_term"], "-$", ""), F.regexp_replace(p["c_term"], "^-", "")
     return F.when(p.isNotNull(), F.concat(F.when(n.isNull() | (n == "H"), "").otherwise(F.concat(tag(n), F.lit("-"))), body, F.when(c.isNull() | (c == "OH"), "").otherwise(F.concat(F.lit("-"), tag(c)))))
+
+
+FRAGMENT_TYPE = T.ArrayType(T.StructType([T.StructField("ion", T.StringType()), T.StructField("index", T.IntegerType()), T.StructField("charge", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("mz", T.DoubleType())]))
+_PLAIN = "^[ACDEFGHIJKLMNOPQRSTUVWY]+$"
+_MODX_GROUP = re.compile(r"([^A-Z-]*)([A-Z])")
+
+
+def from_modx(text: str, modification_mass: dict[str, float] | None = None) -> Peptidoform:
+    """A modX string as a peptidoform: labels by their masses, terminal groups by mass or as formulas that replace H and OH."""
+    m = re.match(r"^([^-]+-)?([^-]*[A-Z])(-[^-]+)?$", text)
+    if not m:
+        raise ProFormaError(f"not a modX sequence: {text!r}")
+    known = modification_mass or {}
+    p = Peptidoform()
+    for mod, aa in _MODX_GROUP.findall(m[2]):
+        if mod and mod not in known:
+            raise ProFormaError(f"unknown label {mod!r}")
+        p.sequence.append((aa, [Tag("mass", mod, known[mod], text=mod)] if mod else []))
+    for group, std, end in ((m[1], "H", p.n_term), (m[3], "OH", p.c_term)):
+        if group and group.strip("-") != std:
+            formula = group.strip("-")
+            mass = known[group] if group in known else K.composition_mass(K.formula_composition(formula))
+            end.append(Tag("mass", group, mass - K.composition_mass(K.formula_composition(std)), text=group))
+    return p
+
+
+def read_peptide(text: str, modification_mass: dict[str, float] | None = None) -> Peptidoform:
+    """ProForma if the letters outside brackets are all capitals, else modX."""
+    bare = re.sub(r"\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>|\(>[^()]*\)", "", text)
+    if re.search("[a-z]", bare) or ("[" not in text and re.search("^[^-]+-|-[^-]+$", bare)):
+        return from_modx(text, modification_mass)
+    return parse(text)
+
+
+def _any(texts: pd.Series, f, modification_mass: dict[str, float] | None) -> list:
+    known: dict = {}
+    for x in texts:
+        if x not in known:
+            try:
+                known[x] = None if x is None else f(read_peptide(x, modification_mass))
+            except (ProFormaError, KeyError):
+                known[x] = None
+    return [known[x] for x in texts]
+
+
+def fragment_series(text: Column | str, ions: tuple[str, ...] = ("b", "y"), max_charge: int = 1, modification_mass: dict[str, float] | None = None) -> Column:
+    """Array of struct(ion, index, charge, name, mz) of plain, ProForma or modX peptides; null if unreadable.
+
+    Plain sequences stay in the JVM; the others are read once per distinct string of a batch.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+
+    def series(p: Peptidoform) -> list[dict]:
+        out = []
+        for ion in ions:
+            for z in range(1, max_charge + 1):
+                out += [{"ion": ion, "index": i, "charge": z, "name": f"{ion[0]}{i}{ion[1:]}{'+' * z}", "mz": m} for i, m in enumerate(p.fragments(ion, z), 1)]
+        return out
+
+    @F.pandas_udf(FRAGMENT_TYPE)
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(_any(s, series, modification_mass), dtype="object")
+
+    plain = c.rlike(_PLAIN)
+    return F.when(plain, M.fragment_series(c, ions, max_charge).cast(FRAGMENT_TYPE)).otherwise(run(F.when(~plain, c)))
+
+
+def peptide_mass(text: Column | str, modification_mass: dict[str, float] | None = None) -> Column:
+    """Neutral mass of plain, ProForma or modX peptides; null if unreadable."""
+    c = F.col(text) if isinstance(text, str) else text
+
+    @F.pandas_udf("double")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series(_any(s, lambda p: p.mass, modification_mass), dtype="float64")
+
+    plain = c.rlike(_PLAIN)
+    return F.when(plain, M.fast_mass(c)).otherwise(run(F.when(~plain, c)))

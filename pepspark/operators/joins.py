@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pepspark.functions.seq import let
 from pepspark.session import BROADCAST_LIMIT
@@ -54,7 +55,8 @@ def nearest_join(probes: DataFrame, timeline: DataFrame, probe_value: str, line_
     if width is None:
         lo, hi, n = timeline.agg(F.min(line_value), F.max(line_value), F.count(line_value)).first()
         if not n:
-            return probes.join(timeline, on=on or None, how="inner").limit(0) if on else probes.crossJoin(timeline).limit(0)
+            fields = [*(probes.schema[c] for c in on), *(f for f in probes.schema if f.name not in on), *(f for f in timeline.schema if f.name not in on)]
+            return probes.sparkSession.createDataFrame([], StructType(fields))
         width = max((float(hi) - float(lo)) / 4096, 1e-9)
     keys = [*on, "__s"]
     cell = lambda v: F.floor(F.col(v) / F.lit(width)).cast("bigint")

@@ -481,15 +481,15 @@ def q44_slices(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_PROT}, k as (select distinct unnest({_cuts('seq')}) as peptide from prot), pep as (select peptide from k where length(peptide) between 9 and 11),
-g as (select doc_id, seq, unnest([9, 10, 11]) as n from prot), w as (select doc_id, n, unnest(range(0, length(seq) - n + 1)) as k, seq from g), h as (select w.doc_id, w.k, w.n from w join pep on seq[k + 1:k + n] = peptide),
+    f"""with {_PROT}, k as (select distinct unnest({_cuts('seq')}) as peptide from prot), pep as (select peptide from k where length(peptide) between 7 and 30),
+g as (select doc_id, seq, unnest(range(7, 31)) as n from prot), w as (select doc_id, n, unnest(range(0, length(seq) - n + 1)) as k, seq from g), h as (select w.doc_id, w.k, w.n from w join pep on seq[k + 1:k + n] = peptide),
 m as (select distinct doc_id, unnest(range(k, k + n)) as position from h), c as (select doc_id, count(*) as n from m group by doc_id)
 select prot.doc_id, coalesce(c.n, 0)::bigint as n_covered, round(coalesce(c.n, 0) / length(seq), 9) as coverage from prot left join c on prot.doc_id = c.doc_id"""
 )
 def q46_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of the sequences by the distinct tryptic peptides of 9 to 11 residues of all of them."""
+    """Coverage of the sequences by the distinct tryptic peptides of 7 to 30 residues of all of them."""
     p = proteins(spark, d)
-    pep = p.select(F.explode(S.cleave("seq", "trypsin", 0, 9, 11)).alias("peptide"))
+    pep = p.select(F.explode(S.cleave("seq", "trypsin", 0, 7, 30)).alias("peptide"))
     c = joins.coverage(p, pep, "doc_id", "seq", "peptide")
     return c.select("doc_id", F.col("n_covered").cast("bigint").alias("n_covered"), F.round("coverage", 9).alias("coverage"))
 
@@ -602,6 +602,22 @@ def q58_proforma_fragments(spark: SparkSession, d: str) -> DataFrame:
     return f.select("peptide", (F.col("n") + 1).alias("index"), F.round("mz", 5).alias("mz"))
 
 
+@query(f"with {_PEP} select peptide, 'Ac-' || replace(replace(peptide, 'M', 'oxM'), 'S', 'pS') as modx, round({_MASS} + {_n('peptide', 'M')} * {_lit(15.9949)} + {_n('peptide', 'S')} * {_lit(79.9663)} + {_lit(42.0106)}, 5) as mass from pep")
+def q68_modx_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Acetylated modX peptides with every M oxidised and every S phosphorylated."""
+    p = peptides(spark, d).withColumn("modx", F.concat(F.lit("Ac-"), F.replace(F.replace("peptide", F.lit("M"), F.lit("oxM")), F.lit("S"), F.lit("pS"))))
+    acetyl = 42.0106 + K.composition_mass(K.TERMINI["H-"])
+    return p.select("peptide", "modx", F.round(M.modx_mass("modx", {"ox": 15.9949, "p": 79.9663, "Ac-": acetyl}), 5).alias("mass"))
+
+
+@query(f"with {_PEP}, c as (select peptide, 'C' || {_elements('peptide')['C']} || 'H' || {_elements('peptide')['H']} || 'N' || {_elements('peptide')['N']} || 'O' || {_elements('peptide')['O']} as formula, {_elements('peptide')['C']} * {_lit(K.element_mass('C'))} + {_elements('peptide')['H']} * {_lit(K.element_mass('H'))} + {_elements('peptide')['N']} * {_lit(K.element_mass('N'))} + {_elements('peptide')['O']} * {_lit(K.element_mass('O'))} as mass from pep) select peptide, formula, round(mass, 5) as mass from c")
+def q69_formula_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas written from compositions, parsed again and weighed (sulphur left out)."""
+    c = peptides(spark, d).select("peptide", M.sequence_composition("peptide").alias("c"))
+    f = c.select("peptide", F.concat(*[x for e in ("C", "H", "N", "O") for x in (F.lit(e), F.coalesce(F.element_at("c", e), F.lit(0)).cast("string"))]).alias("formula"))
+    return f.select("peptide", "formula", F.round(M.composition_mass(M.formula_composition("formula")), 5).alias("mass"))
+
+
 @query()
 def q59_isotopologues(spark: SparkSession, d: str) -> DataFrame:
     p = peptides(spark, d).select("peptide", M.sequence_composition("peptide").alias("composition"))

@@ -122,3 +122,27 @@ def test_columns(spark):
     assert by["bad["].m is None and by["bad["].p is None and by[None].m is None
     x = spark.createDataFrame([("Ac-oxMK-NH2",), ("PEP",)], "s string").select(P.modx_to_proforma("s", {"ox": "Oxidation", "Ac": "Acetyl", "NH2": "Amidated"})).collect()
     assert [r[0] for r in x] == ["[Acetyl]-M[Oxidation]K-[Amidated]", "PEP"]
+
+
+def test_any_notation(spark):
+    mods = {"ox": 15.99491461956, "p": PHOSPHO, "Ac-": K.composition_mass({"C": 2, "H": 3, "O": 1})}
+    rows = [("PEPTIDE", "PEPTIDE"), ("oxMEpTK", "M[Oxidation]ET[Phospho]K"), ("Ac-oxMK-NH2", "[Acetyl]-M[Oxidation]K-[Amidated]"), ("zzMK", None), (None, None), ("M[Oxidation]K", "M[Oxidation]K")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", P.peptide_mass("a", mods).alias("m"), P.proforma_mass("b").alias("n"), P.fragment_series("a", ("b", "y"), 2, mods).alias("f"), P.fragment_series("b", ("b", "y"), 2).alias("g")).collect()
+    for r in got:
+        assert (r.m is None) == (r.n is None) and (r.m is None or abs(r.m - r.n) < 1e-6), r.a
+        assert (r.f is None) == (r.g is None)
+        if r.f is not None:
+            assert [x.name for x in r.f] == [x.name for x in r.g] and all(abs(x.mz - y.mz) < 1e-6 for x, y in zip(r.f, r.g))
+    from pepspark.functions import mass as M
+
+    c = spark.createDataFrame([("PEP",), ("H2O",), ("??",)], "s string").select(M.composition_of("s")).collect()
+    assert c[0][0]["C"] == 15 and c[1][0] == {"H": 2, "O": 1} and c[2][0] is None
+
+
+def test_carriers():
+    from pepspark.functions import mass as M
+
+    assert M.carrier("H+") == (K.PROTON, 1) and M.carrier("Ca+2")[1] == 2 and abs(M.carrier("Na+")[0] - 22.98922) < 1e-4
+    with pytest.raises(ValueError):
+        M.carrier("Na")
