@@ -177,3 +177,38 @@ def test_numpress():
     data = struct.pack(">d", 10.0) + struct.pack("<i", 1000) + struct.pack("<i", 1010) + bytes([0x80 | 0x7, 0x10])
     assert A.numpress_linear(data).tolist()[:3] == [100.0, 101.0, 102.0]
     assert A.numpress_slof(struct.pack(">d", 1000.0) + struct.pack("<H", 693))[0] == pytest.approx(0.99970, abs=1e-4)
+
+
+def pack_int(x):
+    """Nibbles of an integer: how many leading ones are all 0 (or, plus 8, all F), then the others from the lowest."""
+    u = x & 0xFFFFFFFF
+    nibbles = [(u >> (4 * k)) & 15 for k in range(8)]
+    fill = 15 if x < 0 else 0
+    lead = 0
+    while lead < (7 if x < 0 else 8) and nibbles[7 - lead] == fill:
+        lead += 1
+    if x < 0 and lead == 0:
+        return [0, *nibbles]
+    return [lead + (8 if x < 0 else 0), *nibbles[: 8 - lead]]
+
+
+def pack(ints):
+    nib = [n for x in ints for n in pack_int(x)]
+    nib += [0] * (len(nib) % 2)
+    return bytes(nib[i] << 4 | nib[i + 1] for i in range(0, len(nib), 2))
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_numpress_round_trip(seed):
+    import struct
+
+    rng = random.Random(seed)
+    ints = [rng.choice([0, 1, -1, 15, 16, 255, -256, rng.randint(-(2**31), 2**31 - 1)]) for _ in range(rng.randint(0, 60))]
+    assert A._numpress_ints(A._nibbles(pack(ints), 0)) == ints
+    assert A.numpress_pic(pack([abs(x) // 2 for x in ints])).tolist() == [float(abs(x) // 2) for x in ints]
+    values = [1000]
+    for _ in range(40):
+        values.append(values[-1] + rng.randint(-50, 400))
+    residuals = [values[i] - 2 * values[i - 1] + values[i - 2] for i in range(2, len(values))]
+    data = struct.pack(">d", 100.0) + struct.pack("<i", values[0]) + struct.pack("<i", values[1]) + pack(residuals)
+    assert A.numpress_linear(data).tolist() == [v / 100 for v in values]
