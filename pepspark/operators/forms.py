@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -104,26 +106,25 @@ def peptidoforms_proforma(df: DataFrame, text: str, variable: dict[str, list[str
     return df.mapInPandas(run, schema)
 
 
+@functools.lru_cache(maxsize=20_000)
+def _element_states(el: str, n: int, isotope_threshold: float, overall_threshold: float) -> list[tuple[dict[str, int], float]]:
+    """States of n atoms of one element, most abundant first; the same for every composition, so they are kept."""
+    iso = [(i, a) for i, (_, a) in K.NIST_MASS[el].items() if i and a >= isotope_threshold]
+    states = []
+    for split in _splits(n, len(iso)):
+        p = math.exp(math.lgamma(n + 1) + sum(k * math.log(a) - math.lgamma(k + 1) for k, (_, a) in zip(split, iso)))
+        if p >= overall_threshold:
+            states.append(({f"{el}[{i}]": k for k, (i, _) in zip(split, iso) if k}, p))
+    return sorted(states, key=lambda s: -s[1])
+
+
 def isotopologues_of(comp: dict[str, int], isotope_threshold: float = 5e-4, overall_threshold: float = 0.0) -> list[tuple[dict[str, int], float]]:
     """Isotopic states of a composition with their abundances; isotopes and states below the thresholds are left out.
 
     States are built element by element and dropped as soon as the most abundant completion would
     stay below ``overall_threshold``.
     """
-    import math
-
-    per: list[list[tuple[dict[str, int], float]]] = []
-    for el, n in comp.items():
-        if "[" in el:
-            per.append([({el: n}, 1.0)])
-            continue
-        iso = [(i, a) for i, (_, a) in K.NIST_MASS[el].items() if i and a >= isotope_threshold]
-        states = []
-        for split in _splits(n, len(iso)):
-            p = math.exp(math.lgamma(n + 1) + sum(k * math.log(a) - math.lgamma(k + 1) for k, (_, a) in zip(split, iso)))
-            if p >= overall_threshold:
-                states.append(({f"{el}[{i}]": k for k, (i, _) in zip(split, iso) if k}, p))
-        per.append(sorted(states, key=lambda s: -s[1]))
+    per = [[({el: n}, 1.0)] if "[" in el else _element_states(el, n, isotope_threshold, overall_threshold) for el, n in comp.items()]
     best_rest = [1.0] * (len(per) + 1)
     for i in range(len(per) - 1, -1, -1):
         best_rest[i] = best_rest[i + 1] * (per[i][0][1] if per[i] else 0.0)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pepspark.session import materialize
 
 #: Score ranges that one global order is cut into.
 RANGES = 64
@@ -133,7 +134,8 @@ def qvalues(
     sign = -1.0 if reverse else 1.0
     rows = rows.withColumn("__key", F.col("__score") * sign)
     # reduce to one row per score first: all that q depends on, however many rows share a score
-    n = rows.groupBy(*by, "__key").agg(F.count("*").alias("__n"), F.sum(F.col("__mark").cast("double")).alias("__d"))
+    # (written once, as the ranges, both windows and their offsets all read it)
+    n = materialize(rows.groupBy(*by, "__key").agg(F.count("*").alias("__n"), F.sum(F.col("__mark").cast("double")).alias("__d")), "scores")
     n = ordered_ranges(n, "__key", by, ranges)
     w = Window.partitionBy(*by, "__range").orderBy("__key")
     totals = n.groupBy(*by, "__range").agg(F.sum("__n").alias("__tn"), F.sum("__d").alias("__td"))
