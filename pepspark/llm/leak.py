@@ -27,6 +27,9 @@ BUDGET = 2
 PART_WORDS = 7
 #: Words of test items that are searched for in one pass; more items are searched in several passes.
 BLOCK_WORDS = 2_000_000
+#: Characters of a text that are looked at together, and the overlap of such parts; a passage is far shorter.
+SEGMENT_CHARS = 1_000_000
+SEGMENT_OVERLAP = 20_000
 
 _BLOCK_TAG = re.compile(r"</?(?:p|br|hr|div|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|pre|section|article)\b[^<>]{0,200}>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
@@ -57,6 +60,21 @@ def normal_words(text: str) -> list[str]:
     return [w for w in (w if w.isalnum() else _NOT_WORD.sub("", w) for w in text.split()) if w]
 
 
+def _segments(text: str) -> Iterator[str]:
+    """A text in parts of SEGMENT_CHARS that overlap and begin at white space; one part for all but very long texts."""
+    if len(text) <= SEGMENT_CHARS:
+        yield text
+        return
+    at = 0
+    while at < len(text):
+        yield text[at : at + SEGMENT_CHARS]
+        if at + SEGMENT_CHARS >= len(text):
+            return
+        step = at + SEGMENT_CHARS - SEGMENT_OVERLAP
+        gap = re.search(r"\s", text[step : step + SEGMENT_OVERLAP // 2])
+        at = step + (gap.start() if gap else 0)
+
+
 def myers_distance(pattern: list[str], text: list[str]) -> int:
     """Least edit distance (in words) of ``pattern`` and any part of ``text``, bit-parallel."""
     m = len(pattern)
@@ -123,23 +141,30 @@ class ItemIndex:
 
     def found(self, text: str | None) -> list[int]:
         """The items of which ``text`` holds the whole or a passage."""
-        w = normal_words(text or "")
-        q = self.piece_words
+        covered: dict[int, set[int]] = defaultdict(set)
+        out: list[int] = []
+        for part in _segments(text or ""):
+            w = normal_words(part)
+            for item, h in self._hits(w).items():
+                covered[item] |= self._covered(item, w, h)
+            for gram, items in self.short.items():
+                if any(tuple(w[k : k + len(gram)]) == gram for k in range(len(w) - len(gram) + 1)):
+                    out += items
+        return [*(item for item, c in covered.items() if len(c) >= self.needed(item)), *dict.fromkeys(out)]
+
+    def _hits(self, w: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """item -> [(word of the text, word of the item)] of the exact piece hits."""
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         pieces = self.pieces
-        for j, gram in enumerate(zip(*(w[k:] for k in range(q)))):
+        for j, gram in enumerate(zip(*(w[k:] for k in range(self.piece_words)))):
             got = pieces.get(gram)
             if got:
                 for item, i in got:
                     hits[item].append((j, i))
-        out = [item for item, h in hits.items() if self._passage(item, w, h)]
-        if self.short:
-            for gram, items in self.short.items():
-                if any(tuple(w[k : k + len(gram)]) == gram for k in range(len(w) - len(gram) + 1)):
-                    out += items
-        return out
+        return hits
 
-    def _passage(self, item: int, w: list[str], hits: list[tuple[int, int]]) -> bool:
+    def _covered(self, item: int, w: list[str], hits: list[tuple[int, int]]) -> set[int]:
+        """Words of the item in verified parts."""
         need = self.needed(item)
         covered: set[int] = set()
         for chain in self._chains(hits):
@@ -151,7 +176,7 @@ class ItemIndex:
             pad = self.budget
             if myers_distance(self.words[item][i0:i1], w[max(0, j0 - pad) : j1 + pad]) <= self.allowed(n):
                 covered.update(range(i0, i1))
-        return len(covered) >= need
+        return covered
 
     def _chains(self, hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
         """Hits that follow each other in text and item with at most ``budget`` edits between them."""

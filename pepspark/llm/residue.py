@@ -152,7 +152,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for buf, _ in _slices(batch.column(0)):
+            for buf, _, _ in _slices(batch.column(0)):
                 total += np.bincount(gram_buckets(buf)[whole_grams(buf)], minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64).tobytes()], pa.binary())], ["v"])
 
@@ -167,23 +167,36 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.sum([np.frombuffer(r[0], np.int64) for r in vectors.collect()] or [np.zeros(size, np.int64)], axis=0)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Parts of a text column as bytes: (buffer, begin of each text and end).
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A text's bytes in parts of at most SLICE_BYTES, cut after a line feed or a blank where there is one."""
+    at = 0
+    while len(raw) - at > SLICE_BYTES:
+        end = max(raw.rfind(b"\n", at, at + SLICE_BYTES), raw.rfind(b". ", at, at + SLICE_BYTES) + 1)
+        end = end if end > at else at + SLICE_BYTES - 1
+        yield raw[at : end + 1]
+        at = end + 1
+    yield raw[at:]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A text column as byte buffers of bounded size: (buffer, begin of each part and end, number of each part's text).
 
     Each text ends with a line feed and is parted from the next by padding as long as the longest
-    window, so that no result depends on which texts lie beside it.
+    window, so that no result depends on which texts lie beside it; very long texts are several parts.
     """
-    values = texts.to_pylist()
-    lo = 0
-    while lo < len(values):
-        parts, starts, n = [_PAD], [0], len(_PAD)
-        while lo < len(values) and (len(parts) == 1 or n < SLICE_BYTES):
-            raw = _DROPPED.sub("", values[lo] or "").replace("\0", " ").encode() + b"\n" + _PAD
-            parts.append(raw)
-            n += len(raw)
+    parts, starts, owners, n = [_PAD], [0], [], len(_PAD)
+    for i, value in enumerate(texts):
+        raw = _DROPPED.sub("", value.as_py() or "").replace("\0", " ").encode() + b"\n"
+        for part in _parts(raw):
+            parts += [part, _PAD]
+            n += len(part) + len(_PAD)
             starts.append(n)
-            lo += 1
-        yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts)
+            owners.append(i)
+            if n >= SLICE_BYTES:
+                yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(owners)
+                parts, starts, owners, n = [_PAD], [0], [], len(_PAD)
+    if owners:
+        yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(owners)
 
 
 @dataclass
@@ -269,8 +282,7 @@ def is_residue(kind: str, sentence: str, share: float, whole_line: bool) -> bool
 
 def residue_sentences(model: ResidueModel, texts: pa.Array) -> Iterator[tuple[int, str, str, float]]:
     """(number of the text, kind, sentence, share covered) of every sentence that is residue."""
-    base = 0
-    for buf, starts in _slices(texts):
+    for buf, starts, owners in _slices(texts):
         begin = sentence_starts(buf)
         length = np.diff(np.append(begin, len(buf)))
         for k, kind in enumerate(KINDS):
@@ -282,8 +294,7 @@ def residue_sentences(model: ResidueModel, texts: pa.Array) -> Iterator[tuple[in
                 line_end = begin[i] + length[i] >= len(buf) or buf[begin[i] + length[i] - 1] == 10
                 line_start = begin[i] == 0 or buf[begin[i] - 1] in (0, 10)
                 if sentence and is_residue(kind, sentence, float(share[i]), bool(line_end and line_start)):
-                    yield base + int(np.searchsorted(starts, begin[i], side="right")) - 1, kind, sentence, float(share[i])
-        base += len(starts) - 1
+                    yield int(owners[np.searchsorted(starts, begin[i], side="right") - 1]), kind, sentence, float(share[i])
 
 
 def residue_documents(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:

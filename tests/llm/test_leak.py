@@ -60,6 +60,18 @@ def test_found():
         assert sorted(ix.found(text)) == want, name
 
 
+def test_segments_of_long_texts(monkeypatch):
+    ix = L.ItemIndex()
+    for i, t in ITEMS.items():
+        ix.add(i, t)
+    monkeypatch.setattr(L, "SEGMENT_CHARS", 900)
+    monkeypatch.setattr(L, "SEGMENT_OVERLAP", 500)
+    for name, text, want in cases():
+        if name not in ("long", "markup"):
+            assert sorted(ix.found(text)) == want, name
+    assert ix.found("x" * 5000) == []
+
+
 def test_documents(spark):
     rows = [(k, t, 7) for k, (_, t, _) in enumerate(cases())]
     docs = spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string, item_id int")

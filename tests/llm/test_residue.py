@@ -66,12 +66,22 @@ def test_counts_cover_all_texts(spark):
 def test_slices_do_not_change_the_result(rows, monkeypatch):
     col = pa.array([t for _, t, _ in rows], pa.large_string())
     counts = np.zeros(1 << R.BUCKET_BITS, np.int64)
-    for buf, _ in R._slices(col):
+    for buf, _, _ in R._slices(col):
         counts += np.bincount(R.gram_buckets(buf)[R.whole_grams(buf)], minlength=len(counts))
     model = R.ResidueModel.fit(counts)
     whole = {(i, k) for i, k, _, _ in R.residue_sentences(model, col)}
-    monkeypatch.setattr(R, "SLICE_BYTES", 2000)
+    longest = max(len(t) for _, t, _ in rows)
+    monkeypatch.setattr(R, "SLICE_BYTES", 2 * longest)
     assert {(i, k) for i, k, _, _ in R.residue_sentences(model, col)} == whole
+    monkeypatch.setattr(R, "SLICE_BYTES", 400)  # texts fall into several parts
+    assert {i for i, _, _, _ in R.residue_sentences(model, col)} == {i for i, _ in whole}
+
+
+def test_parts_make_up_the_text(monkeypatch):
+    monkeypatch.setattr(R, "SLICE_BYTES", 50)
+    for raw in (b"a" * 500, b"one two. " * 40, b"line\n" * 60, b"", b"x"):
+        parts = list(R._parts(raw))
+        assert b"".join(parts) == raw and all(len(p) <= 50 for p in parts)
 
 
 def test_code_and_talk_about_templates():
