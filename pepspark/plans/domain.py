@@ -396,7 +396,16 @@ def q36_qvalues_plus_one(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query_id", "hit_no", F.round("q", 9).alias("q"))
 
 
-@query()
+_EXPECTED = "list_transform(range(0, (i - d)::bigint + 1), lambda m: exp(m * ln(0.5) + lgamma(m + d + 1) - lgamma(m + 1) - lgamma(d + 1) + (d + 1) * ln(0.5)))"
+
+
+@query(
+    f"""with {_PSM}, g as (select source, score, count(*) as n, sum(is_decoy::int)::double as d from psm group by source, score),
+c as (select source, score, sum(n) over (partition by source order by score)::double as i, sum(d) over (partition by source order by score) as d from g), e as (select *, {_EXPECTED} as pi from c),
+f as (select source, score, i, d, list_sum(list_transform(pi, lambda x, k: x * (k - 1))) / list_sum(pi) as expected from e),
+r as (select source, score, min(case when i > d then expected / (i - d) else 'inf'::double end) over (partition by source order by score rows between current row and unbounded following) as q from f)
+select query_id, hit_no, round(q, 6) as q from psm join r on psm.score = r.score and psm.source = r.source where not is_decoy"""
+)
 def q37_qvalues_expectation(spark: SparkSession, d: str) -> DataFrame:
     q = tda.qvalues(psm_table(spark, d), "score", "is_decoy", remove_decoy=True, correction=2, by=["source"], ranges=1)
     return q.select("query_id", "hit_no", F.round("q", 6).alias("q"))
@@ -625,7 +634,15 @@ def q59_isotopologues(spark: SparkSession, d: str) -> DataFrame:
     return i.groupBy("peptide").agg(F.count("*").alias("n_states"), F.round(F.sum("abundance"), 6).alias("abundance"), F.round(F.max_by("isotope_mass", "abundance"), 5).alias("top_mass"))
 
 
-@query()
+def _two_isotopes(e: str) -> tuple[str, str]:
+    """SQL of the count of the second isotope of an element, and of the log-probability of the split."""
+    (p1, _), (p2, _) = sorted(((a, i) for i, (_, a) in K.NIST_MASS[e].items() if i), reverse=True)[:2]
+    n = _elements("peptide")[e]
+    first = f"least({n}, round_even({n} * {_lit(p1)}, 0))"
+    return f"({n} - {first})", f"(lgamma({n} + 1) - lgamma({first} + 1) - lgamma({n} - {first} + 1) + {first} * ln({_lit(p1)}) + ({n} - {first}) * ln({_lit(p2)}))"
+
+
+@query(f"with {_PEP} select peptide, nullif({_two_isotopes('C')[0]}::int, 0) as n_c13, round(exp({' + '.join(_two_isotopes(e)[1] for e in 'CHNOS')}), 9) as abundance from pep")
 def q60_most_probable_isotopes(spark: SparkSession, d: str) -> DataFrame:
     p = peptides(spark, d).select("peptide", M.most_probable_isotopes(M.sequence_composition("peptide")).alias("isotopes"))
     return p.select("peptide", F.element_at("isotopes", "C[13]").alias("n_c13"), F.round(M.isotopic_abundance("isotopes"), 9).alias("abundance"))
@@ -698,6 +715,100 @@ def q67_mass_histogram(spark: SparkSession, d: str) -> DataFrame:
     return regress.histogram(peptides(spark, d), M.fast_mass("peptide"), 600.0, 3000.0, 24).select(F.col("bin").cast("bigint").alias("bin"), "n")
 
 
+@query(
+    """with p as (select distinct spectrum_id, param_id, upper(accession) as accession, param_name as name, param_value as value from cv_params where spectrum_id is not null and accession is not null)
+select spectrum_id, accession, arg_max(case when coalesce(value, '') = '' then name else value end, param_id) as value from p group by spectrum_id, accession"""
+)
+def q70_cv_index(spark: SparkSession, d: str) -> DataFrame:
+    """The parameters of each spectrum as a map by accession; of repeated ones the last counts."""
+    p = table(spark, d, "cv_params").filter("spectrum_id is not null and accession is not null").select("spectrum_id", "param_id", F.upper("accession").alias("accession"), F.col("param_name").alias("name"), F.col("param_value").alias("value")).distinct()
+    lists = p.groupBy("spectrum_id").agg(F.array_sort(F.collect_list(F.struct("param_id", "accession", "name", "value"))).alias("cv"))
+    return lists.select("spectrum_id", F.explode(X.cv_index("cv")).alias("accession", "value"))
+
+
+@query(f"with {_PEP} select peptide, '[Acetyl]-' || replace(replace(peptide, 'M', 'M[Oxidation]'), 'S', 'S[Phospho]') || '-[Amidated]' as proforma from pep")
+def q71_modx_to_proforma(spark: SparkSession, d: str) -> DataFrame:
+    p = peptides(spark, d)
+    modx = F.concat(F.lit("Ac-"), F.replace(F.replace("peptide", F.lit("M"), F.lit("oxM")), F.lit("S"), F.lit("pS")), F.lit("-NH2"))
+    return p.select("peptide", P.modx_to_proforma(modx, {"ox": "Oxidation", "p": "Phospho", "Ac": "Acetyl", "NH2": "Amidated"}).alias("proforma"))
+
+
+@query("with s as (select distinct spectrum_id, pepmass from spectra where pepmass.mz is not null) select spectrum_id, round(pepmass.mz, 4) as mz, round(pepmass.intensity, 1) as intensity, 2::int as charge from s")
+def q72_pepmass_parse(spark: SparkSession, d: str) -> DataFrame:
+    """PEPMASS lines of three fields, written and parsed."""
+    s = table(spark, d, "spectra").filter("pepmass.mz is not null").select("spectrum_id", "pepmass").distinct()
+    text = F.concat_ws(" ", F.format_string("%.6f", "pepmass.mz"), F.coalesce(F.format_string("%.3f", F.col("pepmass.intensity")), F.lit("x")), F.lit("2+"))
+    parsed = s.select("spectrum_id", X.parse_pepmass(F.when(F.col("pepmass.intensity").isNull(), F.concat(F.format_string("%.6f", "pepmass.mz"), F.lit(" - 2+"))).otherwise(text)).alias("p"))
+    return parsed.select("spectrum_id", F.round("p.mz", 4).alias("mz"), F.round("p.intensity", 1).alias("intensity"), "p.charge")
+
+
+@query(f"with {_PSM}, r as (select source, query_id, hit_no, score, row_number() over (partition by source order by score, query_id * 1000 + hit_no)::int as rank from psm where not isnan(score)) select source, query_id, hit_no, score, rank from r where rank <= 3")
+def q73_top_psms(spark: SparkSession, d: str) -> DataFrame:
+    """The three best scored hits of each run."""
+    p = psm_table(spark, d).filter(~F.isnan("score")).withColumn("tie", F.col("query_id") * 1000 + F.col("hit_no"))
+    return access.top_k(p, ["source"], "score", 3, "tie", descending=False).select("source", "query_id", "hit_no", "score", "rank")
+
+
+@query(
+    """select 'modification' as origin, id, full_name as name, null::bigint as modification_id from unimod_modification union all select 'alt_name', id, alt_name, modification_id from unimod_alt_name"""
+)
+def q74_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Tables with different columns one after the other."""
+    a = table(spark, d, "unimod_modification").select(F.lit("modification").alias("origin"), "id", F.col("full_name").alias("name"))
+    b = table(spark, d, "unimod_alt_name").select(F.lit("alt_name").alias("origin"), "id", F.col("alt_name").alias("name"), "modification_id")
+    return access.chain(a, b)
+
+
+@query(
+    """with h as (select distinct query_id, source, search_hit[1] as h from psms where search_hit[1] is not null)
+select query_id, h.peptide as peptide, coalesce(array_to_string(list_transform(list_filter(h.proteins, lambda p: p is not null and p.protein is not null), lambda p: p.protein), ';'), '') as protein,
+list_transform(list_filter(h.modification_info.mod_aminoacid_mass, lambda m: m is not null and m.mass is not null), lambda m: m.mod_position) as mod_positions from h"""
+)
+def q75_flatten_psms(spark: SparkSession, d: str) -> DataFrame:
+    """One row per query: its first hit, proteins joined, places of the modifications out of 'mass@position'."""
+    from pepspark.sources.xml import flatten_pepxml
+
+    def as_read(h):
+        known = F.filter(h["proteins"], lambda p: p.isNotNull() & p["protein"].isNotNull())
+        mods = F.filter(h["modification_info"]["mod_aminoacid_mass"], lambda m: m.isNotNull() & m["mass"].isNotNull())
+        plain = [h[c].alias(c) for c in ("hit_rank", "peptide", "modified_peptide", "calc_neutral_pep_mass", "massdiff", "num_tot_proteins", "num_missed_cleavages", "is_rejected", "search_score")]
+        return F.when(h.isNotNull(), F.struct(*plain, known.alias("proteins"), F.transform(mods, lambda m: F.struct(m["mod_position"].alias("position"), m["mass"].alias("mass"))).alias("modifications"), h["analysis_result"].alias("analysis_result")))
+
+    q = table(spark, d, "psms").select("query_id", "source", F.transform("search_hit", as_read).alias("search_hit"))
+    flat = flatten_pepxml(q, sep=";").select("query_id", "source", "peptide", "protein", "modifications").distinct()
+    return flat.select("query_id", "peptide", "protein", F.transform("modifications", lambda m: F.split(m, "@")[1].cast("int")).alias("mod_positions"))
+
+
+@query(
+    """with h as (select distinct query_id, generate_subscripts(search_hit, 1) as hit_no, unnest(search_hit).proteins as p from psms)
+select query_id, hit_no::int as hit_no, len(list_filter(p, lambda x: not coalesce(starts_with(x.protein, 'DECOY_'), false))) = 0 as is_decoy from h where p is not null"""
+)
+def q76_all_decoy(spark: SparkSession, d: str) -> DataFrame:
+    """A hit is a decoy if all its proteins are; a protein without name counts as target."""
+    h = table(spark, d, "psms").select("query_id", F.posexplode("search_hit").alias("n", "h")).filter("h.proteins is not null")
+    names = F.transform("h.proteins", lambda p: F.coalesce(p["protein"], F.lit("")))
+    return h.select("query_id", (F.col("n") + 1).alias("hit_no"), tda.all_decoy(names).alias("is_decoy")).distinct()
+
+
+@query(f"with {_XY}, s as (select source, {_REG}, count(*) as n from xy group by source having count(*) > 2 and var_pop(x) > 0) select source, round(a, 5) as a, round(b, 4) as b, round(r, 5) as r from s")
+def q77_regression_by_source(spark: SparkSession, d: str) -> DataFrame:
+    xy = _xy(spark, d)
+    many = xy.groupBy("source").agg(F.count("*").alias("n"), F.var_pop("x").alias("v")).filter("n > 2 and v > 0").select("source")
+    r = regress.linear_regression(xy.join(many, "source", "left_semi"), "x", "y", by=["source"])
+    return r.select("source", F.round("a", 5).alias("a"), F.round("b", 4).alias("b"), F.round("r", 5).alias("r"))
+
+
+@query(
+    """with s as (select distinct spectrum_id, mz from spectra where len(mz) > 2 and len(list_filter(mz, lambda x: x is null)) = 0)
+select spectrum_id, round(mz[2] + list_sum(list_transform(mz[3:], lambda x: x - mz[1])), 4) as delta_last, round(mz[1] + (len(mz) - 1) * (mz[2] - mz[1]) + list_sum(list_transform(mz[3:], lambda x, k: (x - mz[2]) * (len(mz) - 1 - k))), 4) as linear_last from s"""
+)
+def q78_prediction(spark: SparkSession, d: str) -> DataFrame:
+    """Last values after undoing delta and linear prediction (of arrays taken as if they were predicted)."""
+    s = table(spark, d, "spectra").select("spectrum_id", "mz").filter("size(mz) > 2").filter(~F.exists("mz", lambda x: x.isNull())).distinct()
+    last = lambda c: F.element_at(c, -1)
+    return s.select("spectrum_id", F.round(last(A.delta_predict("mz")), 4).alias("delta_last"), F.round(last(A.linear_predict("mz")), 4).alias("linear_last"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
