@@ -809,6 +809,30 @@ def q78_prediction(spark: SparkSession, d: str) -> DataFrame:
     return s.select("spectrum_id", F.round(last(A.delta_predict("mz")), 4).alias("delta_last"), F.round(last(A.linear_predict("mz")), 4).alias("linear_last"))
 
 
+@query("select date_trunc('day', loaded_at)::timestamp as start, source, count(*) as n from psms where loaded_at is not null group by all")
+def q79_daily_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Deliveries by day and run: the streaming operator on a finished table."""
+    from pepspark import streaming
+
+    p = table(spark, d, "psms").select("source", "loaded_at")
+    w = streaming.windowed_counts(p, "loaded_at", ["source"], "1 day")
+    return w.select("start", "source", "n")
+
+
+@query(
+    """with e as (select source, loaded_at as t, lag(loaded_at) over (partition by source order by loaded_at) as p from psms where loaded_at is not null and source is not null),
+g as (select source, t, sum(case when p is null or t >= p + interval 6 hour then 1 else 0 end) over (partition by source order by t rows unbounded preceding) as k from e)
+select source, min(t)::timestamp as start, count(*) as n from g group by source, k"""
+)
+def q80_delivery_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of deliveries of each run, closed by six hours without one."""
+    from pepspark import streaming
+
+    p = table(spark, d, "psms").filter("source is not null and loaded_at is not null").select("source", "loaded_at")
+    s = streaming.sessions(p, "loaded_at", "source", "6 hours")
+    return s.select("source", "start", "n")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
