@@ -239,3 +239,15 @@ def test_materialize_and_drop(spark, tmp_path, monkeypatch):
     df = session.materialize(spark.range(5), "t")
     assert df.count() == 5 and len(list(tmp_path.iterdir())) == 1
     assert session.drop_materialized(spark) >= 1 and not list(tmp_path.iterdir())
+
+
+def test_external_arrays(spark):
+    from pepspark.sources import external as E
+
+    data = {"mz": [float(i) for i in range(25)], "it": [100.0, 101.0, 101.5, 102.0]}
+    chunks = E.chunk_arrays(spark.createDataFrame(list(data.items()), "d string, v array<double>"), "d", "v", size=4)
+    assert chunks.count() == 8
+    refs = [(1, "mz", 0, 3, None), (2, "mz", 3, 11, None), (3, "mz", 24, 5, None), (4, "mz", 5, 0, None), (5, "no", 0, 2, None), (6, "it", 0, 4, "delta"), (7, "it", 0, 4, "linear")]
+    got = {r.k: r["values"] for r in E.attach_arrays(spark.createDataFrame(refs, "k int, dataset string, offset long, length long, t string"), chunks, ["k"], transform="t", size=4).collect()}
+    assert got[1] == data["mz"][:3] and got[2] == data["mz"][3:14] and got[3] == [24.0] and got[4] == [] and got[5] is None
+    assert got[6] == [100.0, 101.0, 102.5, 104.5] and got[7] == [100.0, 101.0, 102.5, 105.0]
