@@ -2,7 +2,7 @@
 
 Models of hashed character 5-grams are fitted for four kinds of residue (unfilled slots, filler,
 error pages, script notices) from written-out examples, and for natural text from the counts of the
-whole corpus. Over every text the mean log-likelihood ratio of a sliding window is taken; where it
+whole corpus, without the sentences that the examples alone give away and with little weight on repeats. Over every text the mean log-likelihood ratio of a sliding window is taken; where it
 is high lies residue. A sentence counts by the share of it that such windows cover, and an exact
 check on the few sentences left tells text in place of content from text about templates, errors
 or scripts. A document is excluded if residue stands in it anywhere.
@@ -29,6 +29,8 @@ SLICE_BYTES = 4_000_000
 #: Vectors that the corpus counts are added up to before the driver adds those.
 COUNT_SLOTS = 32
 KINDS = ("slot", "filler", "error", "script")
+#: Share of a sentence's 5-grams in the examples of one kind beyond which it doesn't count as natural text.
+LEFT_OUT = 0.7
 
 # Written-out examples of residue, from which its models are fitted.
 _FIELDS = "name|title|date|user|username|author|sample|gene|protein name|peptide|accession|organism|enzyme|instrument|score|function|summary|description|run title|n spectra|fdr threshold|first name|last name|company|email|address|city|price|url|id|number|count|value|year|version|file|path|project|customer|product|order id|phone|comment|text|body|subject|content|keyword|category|species|method|result".split("|")
@@ -120,6 +122,10 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
 
+# Bytes of which one stands in every slot; a form field has a colon and at most so many bytes.
+_MARK = np.isin(np.arange(256), np.frombuffer("{[<%$@_«".encode(), np.uint8))
+_FORM_BYTES = 160
+
 
 def gram_buckets(buf: np.ndarray) -> np.ndarray:
     """Hash bucket of the 5-gram that begins at each byte (letters in lower case, digits as 0); the last four belong to shorter ones."""
@@ -145,16 +151,52 @@ def _counts(texts: list[str]) -> np.ndarray:
     return np.bincount(gram_buckets(raw), minlength=1 << BUCKET_BITS) if len(raw) else np.zeros(1 << BUCKET_BITS, np.int64)
 
 
+def example_grams() -> np.ndarray:
+    """Which buckets the examples of each kind hold."""
+    seeds = examples()
+    return np.array([_counts(seeds[kind]) > 0 for kind in KINDS])
+
+
+def natural_grams(buf: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Which 5-grams count for natural text: those of one text, without the sentences that no look at
+    the corpus is needed for: most of their 5-grams are in the examples of one kind, or they hold slots.
+
+    Residue therefore never becomes natural by being frequent.
+    """
+    whole = whole_grams(buf)
+    begin = sentence_starts(buf)
+    end = np.append(begin[1:], len(buf))
+    inner = whole.copy()
+    inner[np.maximum(end[:, None] - np.arange(1, GRAM), begin[:, None]).ravel()] = False
+    n = np.add.reduceat(inner, begin, dtype=np.int64)
+    buckets = gram_buckets(buf)
+    left_out = np.zeros(len(begin), bool)
+    for table in seen:
+        left_out |= np.add.reduceat(table[buckets] & inner, begin, dtype=np.int64) > LEFT_OUT * n
+    marks = np.logical_or.reduceat(_MARK[buf], begin) | (np.logical_or.reduceat(buf == ord(":"), begin) & (end - begin < _FORM_BYTES))
+    for i in np.flatnonzero(marks & ~left_out):
+        left_out[i] = is_residue("slot", buf[begin[i] : end[i]].tobytes().decode(errors="replace").strip().strip("\0"), 1.0, False)
+    return whole & ~np.repeat(left_out, end - begin)
+
+
 def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """5-gram counts of all texts: one vector per task, added up on the executors to COUNT_SLOTS vectors and then here."""
+    """5-gram counts of all natural text (``natural_grams``): one vector per task, added up on the executors to COUNT_SLOTS vectors and then here.
+
+    A text that is repeated n times counts as often as n has binary digits.
+    """
     size = 1 << BUCKET_BITS
+    seen = docs.sparkSession.sparkContext.broadcast(example_grams())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for buf, _, _ in _slices(batch.column(0)):
-                total += np.bincount(gram_buckets(buf)[whole_grams(buf)], minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64).tobytes()], pa.binary())], ["v"])
+            weights = np.array([n.bit_length() for n in batch.column(1).to_pylist()], np.int64)
+            for buf, starts, owners in _slices(batch.column(0)):
+                natural, buckets = natural_grams(buf, seen.value), gram_buckets(buf)
+                weight = np.repeat(weights[owners], np.diff(starts))
+                for w in np.unique(weights[owners]):
+                    total += w * np.bincount(buckets[natural & (weight == w)], minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -163,7 +205,8 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 total += np.frombuffer(v, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    vectors = docs.select(text_col).filter(F.length(text_col) > 0).mapInArrow(count, "v binary").repartition(COUNT_SLOTS).mapInArrow(add, "v binary")
+    texts = docs.select(text_col).filter(F.length(text_col) > 0).groupBy(text_col).agg(F.count("*").alias("n"))
+    vectors = texts.mapInArrow(count, "v binary").repartition(COUNT_SLOTS).mapInArrow(add, "v binary")
     return np.sum([np.frombuffer(r[0], np.int64) for r in vectors.collect()] or [np.zeros(size, np.int64)], axis=0)
 
 
@@ -300,7 +343,7 @@ def residue_sentences(model: ResidueModel, texts: pa.Array) -> Iterator[tuple[in
 def residue_documents(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents in which residue stands in place of content: doc_id and kinds (sorted).
 
-    The natural model is counted over all texts, and every text is scored whole. Null, empty and
+    The natural model is counted over all texts (see ``corpus_counts``), and every text is scored whole. Null, empty and
     blank texts are no cases; a repeated document counts once; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -89,3 +89,26 @@ def test_code_and_talk_about_templates():
     assert R.slots_in("a {{ gene }} b ${x} c [SAMPLE]") == ["{{ gene }}", "${x}", "[SAMPLE]"]
     assert not R.is_residue("slot", "The template variable {{ gene }} is replaced.", 1.0, True)
     assert R.is_residue("slot", "The gene {{ gene }} is conserved.", 0.2, True)
+
+
+@pytest.mark.parametrize(
+    "kind,page",
+    [
+        ("error", lambda k: "404 Not Found"),
+        ("error", lambda k: f"The page you requested could not be found.\nRequest {k * 7919}"),
+        ("filler", lambda k: "Lorem ipsum dolor sit amet consectetur adipiscing elit."),
+        ("slot", lambda k: f"Dear {{{{ customer }}}}, sample {k} was measured in the laboratory."),
+        ("script", lambda k: f"{PROSE[k % 5]} Run {k}.\n\nPlease enable JavaScript to view this page."),
+    ],
+)
+def test_residue_in_a_third_of_the_rows(spark, kind, page):
+    prose = [(i, f"{PROSE[i % 5]} {i} " + " ".join(PROSE[:5])) for i in range(400)]
+    df = spark.createDataFrame(prose + [(1000 + k, page(k)) for k in range(200)], "doc_id bigint, text string")
+    found = {r.doc_id: r.kinds for r in R.residue_documents(df).collect()}
+    assert sorted(found) == [1000 + k for k in range(200)] and all(kind in kinds for kinds in found.values())
+
+
+def test_repeated_texts_count_little(spark):
+    df = spark.createDataFrame([(PROSE[0],)] * 200 + [(PROSE[1],)], "text string")
+    first, second = (R.corpus_counts(spark.createDataFrame([(t,)], "text string")) for t in PROSE[:2])
+    assert (R.corpus_counts(df) == 8 * first + second).all() and first.sum() > 50
