@@ -4,7 +4,8 @@ Words are compared in a normal form (no markup, case, accents, punctuation or lo
 A passage of ``passage_words`` words with at most ``budget`` edits falls into budget + 1 pieces of
 which one is untouched. Pieces are taken at every start and half as long as that needs, so that hits
 also show where a passage begins and ends near an edit; those of all test items form a small index. Documents are scanned for exact piece hits, hits that lie
-on one diagonal make a candidate passage, and Myers' bit-parallel edit distance verifies it.
+on one diagonal make a candidate passage, and Myers' bit-parallel edit distance verifies it; where the
+hits alone don't reach far enough, so it does every passage around a run of hits.
 """
 
 from __future__ import annotations
@@ -147,11 +148,38 @@ class ItemIndex:
             w = normal_words(part)
             for item, h in self._hits(w).items():
                 covered[item] |= self._covered(item, w, h)
+                if len(covered[item]) < self.needed(item) and self._holds_passage(item, w, h):
+                    covered[item] |= set(range(self.needed(item)))
             for gram, items in self.short.items():
                 if any(tuple(w[k : k + len(gram)]) == gram for k in range(len(w) - len(gram) + 1)):
                     out += items
         return [*(item for item, c in covered.items() if len(c) >= self.needed(item)), *dict.fromkeys(out)]
 
+    def _holds_passage(self, item: int, w: list[str], hits: list[tuple[int, int]]) -> bool:
+        """Whether a passage of the item (or all of a shorter item) is in the text with its allowed edits.
+
+        A passage with e edits keeps a run of at least 1/(e + 1) of its other words; around each run
+        that long every passage that holds as much of it is verified.
+        """
+        words, q = self.words[item], self.piece_words
+        m = min(self.passage_words, len(words))
+        e = self.budget if m == self.passage_words else self.allowed(m)
+        run = max(q, -(-(m - e) // (e + 1)))
+        at = set(hits)
+        for j, i in hits:
+            if (j - 1, i - 1) in at:
+                continue
+            n = q
+            while (j + n - q + 1, i + n - q + 1) in at:
+                n += 1
+            if n < run:
+                continue
+            for a in range(max(0, i - (m - run)), min(len(words) - m, i + n - run) + 1):
+                b = j + a - i
+                if myers_distance(words[a : a + m], w[max(0, b - e) : max(0, b + m + e)]) <= e:
+                    return True
+        return False
+
     def _hits(self, w: list[str]) -> dict[int, list[tuple[int, int]]]:
         """item -> [(word of the text, word of the item)] of the exact piece hits."""
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)

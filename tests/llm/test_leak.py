@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -107,3 +108,16 @@ def test_myers(seed):
     rng = random.Random(seed)
     p, t = [rng.choice("abcd") for _ in range(rng.randint(1, 70))], [rng.choice("abcd") for _ in range(rng.randint(0, 90))]
     assert L.myers_distance(p, t) == brute_distance(p, t)
+
+
+@pytest.mark.parametrize("n,edits", [(18, 2), (19, 2), (20, 2), (16, 1)])
+def test_every_placement_of_changed_words(n, edits):
+    """Passages of n words, or items of no more than n, with words changed anywhere, at both ends of a text and inside it."""
+    ix = L.ItemIndex()
+    for i, t in ITEMS.items():
+        ix.add(i, t if n >= 18 else " ".join(t.split()[:n]))
+    for at in itertools.combinations(range(n), edits):
+        passage = " ".join(changed(part(2, 7 if n >= 18 else 0, n), at))
+        for text in (passage, f"{FILLER(9)} {passage} {FILLER(9)}"):
+            assert ix.found(text) == [2], at
+    assert ix.found(" ".join(changed(part(2, 7 if n >= 18 else 0, n), range(4, n, 3)))) == []
