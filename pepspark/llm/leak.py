@@ -131,7 +131,7 @@ class ItemIndex:
             self.short[tuple(w)].append(item_id)
 
     def allowed(self, n: int) -> int:
-        """Edits allowed in n words; a part shorter than a passage less one piece must be exact, one of two passages or more may have a quarter more."""
+        """Edits allowed in n words; a part shorter than a passage less one piece must be exact (but see _parts), one of two passages or more may have a quarter more."""
         if n < self.passage_words - self.piece_words:
             return 0
         return n * self.budget * (5 if n >= 2 * self.passage_words else 4) // (4 * self.passage_words)
@@ -143,6 +143,7 @@ class ItemIndex:
     def found(self, text: str | None) -> list[int]:
         """The items of which ``text`` holds the whole or a passage."""
         covered: dict[int, set[int]] = defaultdict(set)
+        parts: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
         out: list[int] = []
         for part in _segments(text or ""):
             w = normal_words(part)
@@ -150,10 +151,42 @@ class ItemIndex:
                 covered[item] |= self._covered(item, w, h)
                 if len(covered[item]) < self.needed(item) and self._holds_passage(item, w, h):
                     covered[item] |= set(range(self.needed(item)))
+                if len(covered[item]) < self.needed(item):
+                    self._parts(item, w, h, parts[item], len(text) <= SEGMENT_CHARS)
             for gram, items in self.short.items():
                 if any(tuple(w[k : k + len(gram)]) == gram for k in range(len(w) - len(gram) + 1)):
                     out += items
-        return [*(item for item, c in covered.items() if len(c) >= self.needed(item)), *dict.fromkeys(out)]
+        return [*(item for item, c in covered.items() if len(c) >= self.needed(item) or self._holds_parts(parts[item])), *dict.fromkeys(out)]
+
+    def _parts(self, item: int, w: list[str], hits: list[tuple[int, int]], best: dict[tuple[int, int], int], whole: bool) -> None:
+        """Adds to ``best`` the least distance of parts (first word, words) that can make up a passage in two, at most ``budget``.
+
+        Only parts that hold a hit are looked at; in a ``whole`` text the hits must also have most of a passage.
+        """
+        words, q, m, e = self.words[item], self.piece_words, self.passage_words, self.budget
+        if len(words) < m or m < 2 * self.part_words:
+            return
+        if whole:  # each edit costs its word and at most a run shorter than a piece
+            at = sorted({i + k for _, i in hits for k in range(q)})
+            need = m - e * q
+            if not any(z - a < m for a, z in zip(at, at[need - 1 :])):
+                return
+        for n in range(self.part_words, m - self.part_words + 1):
+            near: dict[int, set[int]] = defaultdict(set)
+            for j, i in hits:
+                for a in range(max(0, i + q - n), min(i, len(words) - n) + 1):
+                    near[a].add(j + a - i)
+            for a, places in near.items():
+                d = best.get((a, n), e + 1)
+                for b in places:
+                    if d:
+                        d = min(d, myers_distance(words[a : a + n], w[max(0, b - e) : max(0, b + n + e)]))
+                if d <= e:
+                    best[a, n] = d
+
+    def _holds_parts(self, best: dict[tuple[int, int], int]) -> bool:
+        """Whether two parts side by side in the item make up a passage within the budget of both."""
+        return any(d + best.get((a + n, self.passage_words - n), self.budget + 1) <= self.budget for (a, n), d in best.items())
 
     def _holds_passage(self, item: int, w: list[str], hits: list[tuple[int, int]]) -> bool:
         """Whether a passage of the item (or all of a shorter item) is in the text with its allowed edits.

@@ -121,3 +121,19 @@ def test_every_placement_of_changed_words(n, edits):
         for text in (passage, f"{FILLER(9)} {passage} {FILLER(9)}"):
             assert ix.found(text) == [2], at
     assert ix.found(" ".join(changed(part(2, 7 if n >= 18 else 0, n), range(4, n, 3)))) == []
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_halves_apart_with_changed_words(monkeypatch, edits):
+    ix = L.ItemIndex()
+    for i, t in ITEMS.items():
+        ix.add(i, t)
+    gap = FILLER(60)
+    apart = lambda w: f"{FILLER(5)} {' '.join(w[:9])} {gap} {' '.join(w[9:])} {FILLER(5)}"
+    texts = [apart(changed(part(7, 5, 18), at)) for at in itertools.combinations(range(18), edits)]
+    assert all(ix.found(t) == [7] for t in texts)
+    assert ix.found(apart(changed(part(7, 5, 18), (2, 5, 12, 15)))) == []
+    assert ix.found(f"{' '.join(part(7, 5, 9))} {gap}") == []
+    monkeypatch.setattr(L, "SEGMENT_CHARS", 600)
+    monkeypatch.setattr(L, "SEGMENT_OVERLAP", 300)
+    assert all(ix.found(t) == [7] for t in texts)
