@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -290,7 +291,13 @@ _SLOTS = re.compile(
     rf"|@@{_UPPER}@@|__{_UPPER}__|%{_UPPER}%|\${_UPPER}\$|%\({_NAME}\)s|\[INSERT {_NAME} HERE\]|\[(?:YOUR |ENTER )?[A-Z]{{3,}}(?:[_ ][A-Z]+)*\]|(?<![\w$#%{{])\{{[a-z]+(?:_[a-z]+)*\}}(?!\}})|<(?:(?i:your|insert|enter)) [\w ]{{1,40}}>"
 )
 _FORM = re.compile(r"^\W*[^\W\d][\w /\-]{1,40}\s*:\s*(?:" + "|".join(re.escape(u) for u in _UNFILLED) + r")\W*$", re.I)
-#: Shorter sentences are residue only if they are nothing but a status.
+# What stands for a whole text: unfilled fields and filler, without the signs around them, and words of keyboard runs.
+_EDGE = " \t.,:;!?…*#-–_()[]<>\"'"
+_ALONE = {"slot": {u.casefold().strip(_EDGE) for u in _UNFILLED} - {""}, "filler": {x.casefold().strip(_EDGE) for x in [*_FILLER, "à venir", "próximamente", "to come", "filler text", "dummy text"]}}
+_KEY_RUN = re.compile(r"x{3,}|(?:asdf|qwer|qwerty|hjkl|bla|blah|foobar)+")
+#: Bytes of the longest text that is compared as a whole.
+_LONG_LINE = 160
+#: Shorter sentences are residue only if they are nothing but a status, or the whole text (``alone``).
 _SHORT = 11
 #: Sentences up to this many bytes must be covered nearly whole.
 _BRIEF = 24
@@ -323,8 +330,23 @@ def is_residue(kind: str, sentence: str, share: float, whole_line: bool) -> bool
     return share >= (0.55 if whole_line else 0.6)
 
 
+def alone(text: str) -> str | None:
+    """The kind of a text that is nothing but a written-out unfilled field or filler, or keyboard runs; None for others."""
+    bare = text.casefold().strip(_EDGE)
+    if text in _UNFILLED or bare in _ALONE["slot"]:
+        return "slot"
+    words = bare.split()
+    if bare in _ALONE["filler"] or (words and all(_KEY_RUN.fullmatch(x) for x in words)) or (len(words) > 1 and all(x in _KEYS for x in words)):
+        return "filler"
+    return None
+
+
 def residue_sentences(model: ResidueModel, texts: pa.Array) -> Iterator[tuple[int, str, str, float]]:
-    """(number of the text, kind, sentence, share covered) of every sentence that is residue."""
+    """(number of the text, kind, sentence, share covered) of every sentence that is residue, and of every text that is a short line of it."""
+    for i in np.flatnonzero(pc.less_equal(pc.fill_null(pc.binary_length(texts), _LONG_LINE + 1), _LONG_LINE).to_numpy(zero_copy_only=False)):
+        text = _DROPPED.sub("", texts[int(i)].as_py()).strip()
+        if text and (kind := alone(text)):
+            yield int(i), kind, text, 1.0
     for buf, starts, owners in _slices(texts):
         begin = sentence_starts(buf)
         length = np.diff(np.append(begin, len(buf)))

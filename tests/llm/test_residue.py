@@ -112,3 +112,11 @@ def test_repeated_texts_count_little(spark):
     df = spark.createDataFrame([(PROSE[0],)] * 200 + [(PROSE[1],)], "text string")
     first, second = (R.corpus_counts(spark.createDataFrame([(t,)], "text string")) for t in PROSE[:2])
     assert (R.corpus_counts(df) == 8 * first + second).all() and first.sum() > 50
+
+
+def test_short_texts_that_are_nothing_else(spark):
+    short = {"TBD": "slot", " TODO\n": "slot", "???": "slot", "(to be filled in)": "slot", "à compléter": "slot", "xxxx xxxx": "filler", "à venir": "filler", "asdf": "filler", "foo bar": "filler", "Bla bla": "filler", "410 Gone": "error"}
+    prose = ["abc", "Sample", "ALA", "test", "bar", "Xylose", "To do", "TBDA", "yes", "x", "??", "MTBD TODO PEPTIDE"]
+    rows = [(i, t) for i, t in enumerate([*short, *prose, *PROSE])]
+    found = {r.doc_id: r.kinds for r in R.residue_documents(spark.createDataFrame(rows, "doc_id bigint, text string").union(spark.createDataFrame([(1000 + i, " ".join(PROSE) + str(i)) for i in range(50)], "doc_id bigint, text string"))).collect()}
+    assert {i: k for i, k in found.items() if i < len(short) + len(prose)} == {i: [k] for i, k in enumerate(short.values())}
