@@ -165,8 +165,8 @@ def encode_documents(
     """``id_col`` and ``ids`` (array of int) of every row.
 
     Null and empty texts get an empty list; strings that look like special tokens are ordinary
-    text; repeated rows come out repeatedly, but the ids of texts beyond ``split_chars`` must be
-    unique among each other; other columns are dropped. ``length_col`` may name a column with the
+    text; repeated rows and ids (null ones too) come out repeatedly, each with its own text's ids;
+    other columns are dropped. ``length_col`` may name a column with the
     text's length: its statistics then let the scan for very long texts skip most files. A very
     long text whose chunks nowhere meet is encoded within one task.
     """
@@ -200,13 +200,17 @@ def encode_documents(
     else:
         rows, long = rows.filter(~F.col("__long")).select(id_col, text_col), rows.filter("__long").select(id_col, text_col)
     short = rows.mapInArrow(run, out_type)
-    pieces, unmet = _pieces_of_long(long, id_col, text_col, split_chars, overlap)
-    piece_type = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("no", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    # ids needn't be unique: a long text's pieces are known by id and text, its copies by their number
+    long = long.groupBy(id_col, text_col).agg(F.count("*").alias("__n")).select(F.struct(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("hash"), F.col("__n").cast("int").alias("copies")).alias("__key"), text_col)
+    pieces, unmet = _pieces_of_long(long, "__key", text_col, split_chars, overlap)
+    piece_type = T.StructType([T.StructField("id", long.schema["__key"].dataType), T.StructField("no", T.IntegerType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     joined = (
         pieces.mapInArrow(run_pieces, piece_type)
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
-        .select(F.col("id").alias(id_col), F.flatten(F.col("parts.ids")).alias("ids"))
+        .select(F.col("id.id").alias(id_col), F.flatten(F.col("parts.ids")).alias("ids"), F.explode(F.array_repeat(F.lit(0), F.col("id.copies"))).alias("__copy"))
+        .drop("__copy")
     )
-    rest = long.join(unmet.withColumnRenamed("id", id_col), id_col, "left_semi").mapInArrow(run, out_type)
+    alike = long.join(unmet, F.col("__key").eqNullSafe(F.col("id")), "left_semi")
+    rest = alike.select(F.col("__key.id").alias(id_col), text_col, F.explode(F.array_repeat(F.lit(0), F.col("__key.copies"))).alias("__copy")).drop("__copy").mapInArrow(run, out_type)
     return short.unionByName(joined).unionByName(rest)

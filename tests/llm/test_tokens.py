@@ -69,3 +69,11 @@ def test_long_text_that_nowhere_meets(spark, enc):
     df = spark.createDataFrame([(1, "z" * 900), (2, "word " * 300)], "doc_id int, text string")
     got = {r.doc_id: r.ids for r in K.encode_documents(df, split_chars=200, chunk_chars=64, overlap=32).collect()}
     assert got == {1: enc.encode_ordinary("z" * 900), 2: enc.encode_ordinary("word " * 300)}
+
+
+def test_repeated_and_null_ids_of_long_texts(spark, enc):
+    long = ["word " * 300, "other words " * 200, "z" * 900]
+    rows = [(1, long[0]), (1, long[0]), (1, long[1]), (None, long[0]), (None, long[1]), (None, long[1]), (2, long[2]), (2, long[2]), (2, long[0]), (None, long[2])]
+    got = K.encode_documents(spark.createDataFrame(rows, "doc_id int, text string"), split_chars=200, chunk_chars=64, overlap=32).collect()
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.ids) for r in got), key=key) == sorted(((i, enc.encode_ordinary(t)) for i, t in rows), key=key)
