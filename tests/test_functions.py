@@ -212,3 +212,10 @@ def test_numpress_round_trip(seed):
     residuals = [values[i] - 2 * values[i - 1] + values[i - 2] for i in range(2, len(values))]
     data = struct.pack(">d", 100.0) + struct.pack("<i", values[0]) + struct.pack("<i", values[1]) + pack(residuals)
     assert A.numpress_linear(data).tolist() == [v / 100 for v in values]
+
+
+def test_long_formulas(spark):
+    texts = ["C2H5" * 2000 + "O-1", "C2H5" * 20000, "C2H5" * 2000 + "o", "C2H5" * 2000 + "(", "", "C[13]2H2O\n", "2C", "C 2", "C+2", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.c for r in df.select("i", M.formula_composition("t").alias("c")).collect()}
+    assert got == {0: {"C": 4000, "H": 10000, "O": -1}, 1: {"C": 40000, "H": 100000}, 2: None, 3: None, 4: {}, 5: {"C[13]": 2, "H": 2, "O": 1}, 6: None, 7: None, 8: {"C+": 2}, 9: None}
