@@ -630,8 +630,8 @@ def q69_formula_mass(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def q59_isotopologues(spark: SparkSession, d: str) -> DataFrame:
     p = peptides(spark, d).select("peptide", M.sequence_composition("peptide").alias("composition"))
-    i = forms.isotopologues(p, "composition", overall_threshold=0.02)
-    return i.groupBy("peptide").agg(F.count("*").alias("n_states"), F.round(F.sum("abundance"), 6).alias("abundance"), F.round(F.max_by("isotope_mass", "abundance"), 5).alias("top_mass"))
+    i = forms.isotopologues(p, "composition")
+    return i.groupBy("peptide").agg(F.count("*").alias("n_states"), F.round(F.sum("abundance"), 6).alias("abundance"), F.round(1 - F.sum("abundance"), 6).alias("uncovered"), F.round(F.max_by("isotope_mass", "abundance"), 5).alias("top_mass"))
 
 
 def _two_isotopes(e: str) -> tuple[str, str]:

@@ -1,10 +1,12 @@
 import random
 import string
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pepspark.functions import mass as M
 from pepspark.operators import access, forms, joins, regress, tda
 
 
@@ -230,3 +232,15 @@ def test_retention_terminal_and_absolute(spark):
     assert all(abs(mae["aa"][a] - v) < 0.05 for a, v in true.items())
     with pytest.raises(ValueError):
         regress.fit_retention(df, "s", "rt", metric="other")
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_isotopologue_query_has_all_states_of_the_operator(spark):
+    from pepspark.plans import domain
+
+    d = "/root/testdata/sf0.001"
+    got = {r.peptide: r for r in domain.q59_isotopologues(spark, d).collect()}
+    for r in domain.peptides(spark, d).select("peptide", M.sequence_composition("peptide").alias("c")).limit(20).collect():
+        states = forms.isotopologues_of(dict(r.c), overall_threshold=1e-3)
+        assert got[r.peptide].n_states == len(states)
+        assert abs(got[r.peptide].uncovered - (1 - sum(p for _, p in states))) < 2e-6
