@@ -487,6 +487,15 @@ def q44_slices(spark: SparkSession, d: str) -> DataFrame:
     return access.by_position(by_key, "spectrum_id", 100, None, 7).select("spectrum_id", "title")
 
 
+@query(f"with {_SPEC} select spectrum_id, title from spec where spectrum_id is not null")
+def q81_whole_slice(spark: SparkSession, d: str) -> DataFrame:
+    """Open-ended slices from the smallest to the largest key: the whole table."""
+    s = spectra(spark, d).select("spectrum_id", "title")
+    lo, hi = s.agg(F.min("spectrum_id"), F.max("spectrum_id")).first()
+    by_key = access.by_key_range(s.withColumn("id", F.col("spectrum_id")), "id", "spectrum_id", hi, lo)
+    return access.by_position(by_key, "spectrum_id").select("spectrum_id", "title")
+
+
 
 
 @query(

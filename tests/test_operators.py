@@ -244,3 +244,13 @@ def test_isotopologue_query_has_all_states_of_the_operator(spark):
         states = forms.isotopologues_of(dict(r.c), overall_threshold=1e-3)
         assert got[r.peptide].n_states == len(states)
         assert abs(got[r.peptide].uncovered - (1 - sum(p for _, p in states))) < 2e-6
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test data")
+def test_slice_query_has_the_whole_table(spark):
+    from pepspark.plans import domain
+
+    d = "/root/testdata/sf0.001"
+    want = domain.spectra(spark, d).filter("spectrum_id is not null").select("spectrum_id", "title")
+    got = domain.q81_whole_slice(spark, d)
+    assert got.count() == want.count() > 43 and got.exceptAll(want).count() == 0
