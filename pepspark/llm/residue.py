@@ -1,214 +1,172 @@
 """Template residue, filler and error-page text, by character n-gram likelihood ratios.
 
-Models of hashed character 5-grams are fitted for four kinds of residue (unfilled slots, filler,
-error pages, script notices) from written-out examples, and for natural text from the counts of the
-whole corpus, without the sentences that the examples alone give away and with little weight on repeats. Over every text the mean log-likelihood ratio of a sliding window is taken; where it
-is high lies residue. A sentence counts by the share of it that such windows cover, and an exact
-check on the few sentences left tells text in place of content from text about templates, errors
-or scripts. A document is excluded if residue stands in it anywhere.
+Models of hashed character 3- and 4-grams are fitted for filler, error notices, script notices,
+unfilled form fields and for text that only talks about such things (``contrast``), from the written
+examples of :mod:`examples`; the model of natural text is counted over the whole corpus. Every place
+of a text gets the mean log-likelihood ratio of the window around it. A sentence is residue if
+windows in favour of residue cover enough of it and their evidence adds up to enough.
+
+Unfilled slots have a shape instead of words: delimiter, name, delimiter. Their n-grams are made of
+these three units, raw and by character class, with the same likelihood ratio against natural text
+and against code. A slot stands in place of content unless windows of the contrast model hold in the
+rest of its sentence.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKET_BITS = 17
-GRAM = 5
-SMOOTHING = 0.5
+from pepspark.llm import examples as X
+
+#: Orders of the character n-grams and bits of their bucket numbers; bits of those of slots.
+ORDERS = ((3, 16), (4, 17))
+SLOT_BITS = 14
+SIZES = (*(1 << bits for _, bits in ORDERS), 1 << SLOT_BITS, 1 << SLOT_BITS)
+#: Count vectors are added up in ranges of so many buckets, in so many lanes first.
+RANGE = 1 << 14
+LANES = 64
 #: Bytes of text scored at a time.
-SLICE_BYTES = 4_000_000
-#: Vectors that the corpus counts are added up to before the driver adds those.
-COUNT_SLOTS = 32
+SLICE_BYTES = 1_000_000
+#: Longest name of a slot in bytes; longest delimiter that is told apart.
+NAME_BYTES, DELIMITER_BYTES = 40, 4
+TEXT_KINDS = ("filler", "error", "script", "form", "contrast")
+#: Weight, in n-grams, of all examples together in the natural model: matters for small corpora only, which show little natural text. Slots are taken to be absent from ten times as many bytes.
+POOL = 20_000
+#: Windows stand around every so many bytes of a sentence (a power of two).
+STRIDE = 4
+#: Natural text stands in an example model with this share of the examples' counts.
+PRIOR = 0.5
+#: What is reported; unfilled form fields count as slots.
 KINDS = ("slot", "filler", "error", "script")
-#: Share of a sentence's 5-grams in the examples of one kind beyond which it doesn't count as natural text.
-LEFT_OUT = 0.7
-
-# Written-out examples of residue, from which its models are fitted.
-_FIELDS = "name|title|date|user|username|author|sample|gene|protein name|peptide|accession|organism|enzyme|instrument|score|function|summary|description|run title|n spectra|fdr threshold|first name|last name|company|email|address|city|price|url|id|number|count|value|year|version|file|path|project|customer|product|order id|phone|comment|text|body|subject|content|keyword|category|species|method|result".split("|")
-_WRAPPERS = "{{%}}|{{ % }}|${%}|#{%}|{%%}|{% @ %}|<%= @ %>|[[%]]|«%»|{%}|[INSERT @U HERE]|[@U]|%@S%|$@S$|__@S__|@@@S@@|%(@s)s|<@U>|<<@>>|<your @P here>|<insert @P>".split("|")
-_UNFILLED = "(fill in)|(to be filled in)|fill in|TODO|TBD|tba|tbc|to be added|to be completed|to be determined|XXX|???|insert here|your text here|add text here|enter text|(Text einfügen)|(bitte ausfüllen)|folgt noch|(à compléter)|à remplir|(por completar)|a completar".split("|")
-_LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum porta ultra prima fermentum ferunt vestor rutrum sedis nullam oculi calunt quaest noctum magnis consec fermen".split()
-_NOUNS = "text|abstract|description|title|summary|content|caption|paragraph|name|comment|details|introduction|entry|information|image|data|body".split("|")
-_NOUN_FORMS = "Your @ here.|Insert @.|Insert @ here.|Insert your @ here.|Dummy @.|Sample @.|Placeholder @.|Example @.|@ goes here.|Add @ here.|Enter @ here.|Some @ here.|More @ here.|@ to follow.|@ will be added.|This is a dummy @.|Here goes the @.".split("|")
-_KEYS = "foo bar baz qux asdf asdfasdf qwer qwerty jkl hjkl abc abcabc xyz test xxx xxxx yyy zzz blah bla foobar dummy sample".split()
-_FILLER = [
-    "This is a dummy entry used to fill the layout.", "This is dummy text to fill the page.", "Nothing to see yet, this text only takes up space.", "This text only takes up space.", "Placeholder text, to be replaced later.", "Sample text goes here.", "Your text goes here.", "Add your text here.",
-    "This is a sample paragraph.", "Text text text text text.", "Bla bla bla bla bla.", "blah blah blah blah", "asdf asdf asdf asdf", "xxxx xxxx xxxx xxxx", "Test test test test.", "test entry please ignore", "Content coming soon.", "Coming soon.", "This page is intentionally left blank.", "More text will follow here.", "Here goes some text to fill the space.",
-    "Dies ist ein Blindtext.", "Dieser Text füllt nur den Platz.", "Hier steht später ein Text.", "Dies ist nur ein Fülltext ohne Inhalt.", "Inhalt folgt in Kürze.", "Ceci est un texte de remplissage.", "Ce texte ne sert qu’à remplir la page.", "Contenu à venir.", "Texte à venir.", "Este es un texto de relleno.", "Este texto solo ocupa espacio.", "Contenido próximamente.", "Aquí va un texto de ejemplo.",
-]
-_STATUS = {400: "bad request", 401: "unauthorized", 402: "payment required", 403: "forbidden", 404: "not found", 405: "method not allowed", 406: "not acceptable", 408: "request timeout", 409: "conflict", 410: "gone", 413: "payload too large", 414: "uri too long", 418: "i'm a teapot", 422: "unprocessable entity", 423: "locked", 429: "too many requests", 451: "unavailable for legal reasons", 500: "internal server error", 501: "not implemented", 502: "bad gateway", 503: "service unavailable", 504: "gateway timeout", 520: "unknown error", 522: "connection timed out"}
-_STATUS_FORMS = "% @|Error %|Error %: @|HTTP % @|HTTP Error % - @|Error % (@)|@|Status: % @|Fehler %: @|Erreur % : @|Error %. @|<title>% @</title>|<h1>@</h1>|<html><head><title>% @</title></head><body><h1>@</h1>|</body></html>|<hr>|{\"status\": %, \"error\": \"@\", \"message\": \"".split("|")
-_ERROR = [
-    "Page not found.", "The page you requested could not be found.", "The page you are looking for does not exist.", "The requested URL was not found on this server.", "Sorry, this page is no longer available.", "This page has moved or was deleted.", "Oops! Something went wrong.", "Something went wrong. Please try again later.", "An unexpected error occurred, please reload the page.", "An error has occurred. Please contact the administrator.",
-    "The server encountered an internal error and was unable to complete your request.", "The server is overloaded. Please try again later.", "The service is temporarily unavailable.", "The server is temporarily unable to service your request due to maintenance.", "You have made too many requests. Wait a moment and reload.", "Too many requests. Please slow down.", "Access denied. You do not have permission to access this page.", "You don't have permission to view this resource.", "You must be logged in to view this page.", "Please log in to continue.", "Your session has expired. Please sign in again.", "The connection has timed out.", "The request timed out, try again.", "Database connection failed.", "An unknown problem came up.", "That did not work on the server.", "The entry you selected cannot be shown.", "One moment, verifying that you are human before we continue.", "This site is down for maintenance.", "We are currently performing scheduled maintenance.", "Checking your browser before accessing the site.", "Please verify you are a human.", "Please complete the captcha to continue.", "The record could not be loaded.", "The entry was removed or never existed.", "No data could be loaded.",
-    "Diese Seite wurde leider nicht gefunden.", "Die angeforderte Seite existiert nicht.", "Die Seite konnte nicht geladen werden.", "Ein unerwarteter Fehler ist aufgetreten, bitte laden Sie die Seite neu.", "Der Server ist überlastet. Bitte später erneut versuchen.", "Der Dienst ist vorübergehend nicht verfügbar.", "Zugriff verweigert. Bitte melden Sie sich an.", "Ihre Sitzung ist abgelaufen. Bitte melden Sie sich erneut an.", "Zu viele Anfragen. Bitte warten Sie einen Moment.", "Wegen Wartungsarbeiten nicht erreichbar.", "Sie haben keine Berechtigung, diese Seite zu sehen.",
-    "Cette page est introuvable.", "La page demandée n’existe pas ou a été déplacée.", "Une erreur inattendue est survenue, veuillez recharger la page.", "Le serveur est surchargé. Veuillez réessayer plus tard.", "Service temporairement indisponible.", "Accès refusé. Veuillez vous connecter.", "Votre session a expiré. Veuillez vous reconnecter.", "Trop de requêtes. Veuillez patienter un instant.", "Site en maintenance.", "Vous n’avez pas l’autorisation d’accéder à cette page.",
-    "No se ha encontrado la página.", "La página solicitada no existe o fue movida.", "Se ha producido un error inesperado, recargue la página.", "El servidor está sobrecargado. Inténtelo más tarde.", "Servicio no disponible temporalmente.", "Acceso denegado. Inicie sesión para continuar.", "Su sesión ha caducado. Vuelva a iniciar sesión.", "Demasiadas solicitudes. Espere un momento.", "Sitio en mantenimiento.", "No tiene permiso para ver esta página.",
-]
-_ERROR_RULES = [
-    ("An |An unexpected |An internal |An unhandled |An unknown ", "error |exception ", "occurred |was raised |was thrown |has occurred ", "while |when ", "loading |rendering |parsing |processing |saving |opening |displaying |reading ", "this |the ", "page.|record.|entry.|document.|request.|data.|file.|archive."),
-    ("Could not |Unable to |Failed to |Cannot ", "connect to |reach |load |open |display |fetch |read ", "the |this ", "server|database|archive|index|backend|record|page|entry|document|service", ".|: timed out after 00 s.|: connection refused.|: too many connections.|. Please try again later."),
-    ("Oops! |Whoops! |Uh-oh! |Sorry! |", "Something went wrong|That did not work|This did not work|An unknown problem came up|An error occurred|We hit a problem", " on our side| on the server| at our end|", ".|. (code 000)|. Please try again later."),
-    ("Connection refused |Connection reset |Connection lost |Connection closed ", "to the |by the ", "server|database|index|archive|backend|host", ".|: timed out after 00 s.|, retry later."),
-    ("The |This ", "page |record |entry |document |address |archive |site |service |resource ", "you asked for |you requested |you are looking for |", "does not exist|is missing|is not available|is unavailable|has been moved|has been removed|could not be found|is down for maintenance|cannot be displayed|was deleted", ".| at the moment.| any more.| and will return shortly."),
-    ("Your ", "session |token |link |login |password ", "has expired|has timed out|is invalid|is no longer valid", ".|. Please log in again.|. Sign in to continue."),
-    ("Log in |Sign in |Please sign in |Please log in |You need to log in ", "again |first |", "to see |to view |to open |to continue with ", "this record.|this page.|the archive.|your data."),
-    ("Access |Your access |Entry ", "to this page |to this record |to this site |to this resource |to this data set |", "is denied|was denied|is forbidden|is restricted", ".| for your address.| for your account.| for guests."),
-    ("We are |This site is |The archive is |The server is ", "down for maintenance |being upgraded |temporarily offline |undergoing maintenance ", "and will be back |and will return |", "soon.|shortly.|later today.|tomorrow.|on Monday."),
-    ("We are sorry, |Sorry, |Apologies, |Unfortunately ", "the page |the record |the entry |the spectrum |the document ", "you requested |you asked for |you are looking for ", "could not be loaded.|could not be found.|cannot be shown.|is missing.|no longer exists.|was renamed."),
-    ("Diese |Die angeforderte ", "Seite |Datei |Ansicht ", "existiert nicht mehr|wurde nicht gefunden|wurde leider nicht gefunden|kann nicht angezeigt werden|konnte nicht geladen werden|ist zurzeit nicht erreichbar", ".|. Bitte später erneut versuchen."),
-    ("Das |Der ", "Dokument |Eintrag |Datensatz |Dienst |Server ", "existiert nicht mehr|wurde nicht gefunden|wurde leider nicht gefunden|kann nicht angezeigt werden|konnte nicht geladen werden|ist zurzeit nicht erreichbar|antwortet nicht", ".|. Bitte später erneut versuchen."),
-    ("Cette page |Cette fiche |La page |Ce document |Le service |La fiche ", "est introuvable|n’existe plus|est indisponible|est indisponible pour le moment|ne peut pas être affichée|n’a pas pu être chargée|est en maintenance", ".|. Veuillez réessayer plus tard."),
-    ("Une erreur |Une erreur interne |Une erreur inattendue ", "est survenue|s’est produite", ".|, veuillez réessayer.| lors du chargement.| lors de l’affichage."),
-    ("La página |El documento |El servicio |La ficha |El registro ", "no existe|ya no existe|no está disponible|no se puede mostrar|no se pudo cargar|está en mantenimiento", ".|. Inténtelo más tarde."),
-    ("Error al |Se produjo un error al ", "cargar |mostrar |abrir |procesar ", "la página|el documento|el registro|la ficha|la solicitud", ".| solicitado.| solicitada."),
-]
-_SCRIPT_RULES = [
-    ("You need to |Please |You must |To continue, |To view this page, ", "enable |activate |allow |turn on |switch on ", "JavaScript |scripts |scripts in your browser ", "to view this page.|to see this content.|to run this app.|to use this viewer.|to see the results.|to use this site.|to display the peptide map.|in your browser settings."),
-    ("This site |This page |This app |This viewer |This browser tool |The application |This module ", "requires |needs |does not work without |works only with |depends on ", "JavaScript|scripts|JavaScript to be enabled", ".|. Change your settings and try again.|. Please enable it and reload."),
-    ("JavaScript |Scripting ", "is not available |is off |is not enabled ", "in your browser", ".|, so this cannot be shown."),
-    ("Your browser has |Your browser blocks |Your browser does not support |Looks like you have ", "JavaScript |scripts |scripting ", "switched off|disabled|turned off|blocked", ", so the map cannot be drawn.|, so the table cannot be shown.|, so this page cannot be shown.|.|. Please enable it."),
-    ("<noscript>", "The map |The peak viewer |This page ", "does not work without JavaScript.|needs JavaScript.", "</noscript>"),
-    ("JavaScript |Scripts ", "is disabled |is switched off |are blocked |must be enabled ", "in your browser", ".|. Please turn it on to continue."),
-    ("Bitte |Sie müssen ", "aktivieren Sie |erlauben Sie |schalten Sie ", "JavaScript|Skripte|JavaScript in Ihrem Browser", ", um diese Seite anzuzeigen.| um den Inhalt zu sehen.|, um den Inhalt zu laden.|, um das Bild anzuzeigen.|, um den Eintrag anzuzeigen.| ein, um fortzufahren.|, damit diese Anwendung läuft."),
-    ("Für diese Seite |Für diese Ansicht |Für diese Anwendung ", "müssen ", "Skripte |JavaScript ", "aktiviert sein.|erlaubt sein.|eingeschaltet sein."),
-    ("Diese Seite |Diese Anwendung |Dieses Modul |Dieser Viewer ", "benötigt |erfordert |braucht |funktioniert nicht ohne ", "JavaScript|aktivierte Skripte|die Ausführung von Skripten", "."),
-    ("In Ihrem Browser ", "ist JavaScript |sind Skripte ", "deaktiviert|abgeschaltet|ausgeschaltet", ".|, daher kann die Karte nicht gezeichnet werden."),
-    ("Veuillez |Vous devez ", "activer |autoriser ", "JavaScript |les scripts |JavaScript dans votre navigateur ", "pour afficher ce contenu.|pour voir cette fiche.|pour utiliser cette page.|pour continuer."),
-    ("Ce site |Cette page |Ce module |Cette application ", "nécessite |requiert |ne fonctionne pas sans ", "JavaScript|l’exécution de scripts|l’activation de scripts", "."),
-    ("JavaScript est |Les scripts sont ", "désactivé |désactivés |bloqués ", "dans votre navigateur", ".|, la carte ne peut être affichée."),
-    ("Habilite |Active |Debe activar |Por favor, active |Permita ", "JavaScript |los scripts ", "para ver |para usar |para mostrar ", "esta página.|este espectro.|este contenido.|esta ficha.|esta aplicación."),
-    ("Es necesario ", "habilitar |activar |permitir ", "los scripts |JavaScript ", "en su navegador.|para ver este contenido."),
-    ("Este sitio |Esta página |Este módulo |Esta aplicación ", "necesita |requiere |no funciona sin ", "JavaScript|la ejecución de scripts", "."),
-    ("Su navegador tiene ", "JavaScript |los scripts ", "desactivado|desactivados|bloqueados", ".|, por lo que no se puede dibujar el mapa."),
-]
-
-
-def examples() -> dict[str, list[str]]:
-    """The example texts of each kind."""
-    slots = []
-    for w in _WRAPPERS:
-        for f in _FIELDS:
-            snake = f.replace(" ", "_")
-            if "@" in w.replace("@@@S@@", "@S"):
-                inner = "@@" + snake.upper() + "@@" if w == "@@@S@@" else w.replace("@U", f.upper()).replace("@P", f).replace("@S", snake.upper()).replace("(@s)", f"({snake})").replace("@", snake)
-            elif w == "{%%}":
-                inner = "{%" + snake + "%}"
-            else:
-                inner = w.replace("%", snake)
-            slots += [f"{inner}", f" {inner} ", f": {inner}."]
-    slots += [f"{f.capitalize()}: {u}" for f in _FIELDS for u in _UNFILLED]
-    rng = np.random.default_rng(7)
-    lorem = [" ".join(rng.choice(_LOREM, 12)).capitalize() + "." for _ in range(400)]
-    status = [form.replace("%", str(code)).replace("@", x) for form in _STATUS_FORMS for code, text in _STATUS.items() for x in (text, text.title(), text.upper())]
-    spell = lambda rules: ["".join(p) for rule in rules for p in itertools.product(*(part.split("|") for part in rule))]
-    nouns = [(form.replace("@", n))[0].upper() + form.replace("@", n)[1:] for form in _NOUN_FORMS for n in _NOUNS]
-    keys = [" ".join(rng.choice(_KEYS, 8)) for _ in range(150)]
-    return {"slot": slots, "filler": lorem + keys + nouns * 3 + _FILLER * 8, "error": status * 4 + _ERROR * 12 + spell(_ERROR_RULES), "script": spell(_SCRIPT_RULES)}
-
-
-_DROPPED = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+
+# soft hyphens, zero-width and direction signs in UTF-8
+_DROPPED = re.compile(rb"\xc2\xad|\xe2\x80[\x8b-\x8f\xaa-\xae]|\xe2\x81[\xa0-\xa4]|\xef\xbb\xbf")
+# guillemets and escaped angle brackets become single bytes, so that delimiters are bytes
+def _delimited(raw: bytes) -> bytes:
+    if not raw.isascii():
+        raw = _DROPPED.sub(b"", raw).replace("«".encode(), b"\1").replace("»".encode(), b"\2")
+    if b"&" in raw:
+        raw = raw.replace(b"&lt;", b"\3").replace(b"&gt;", b"\4")
+    return raw.replace(b"\0", b" ")
+
+
 _PAD = b"\0" * 24
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
-_FOLD[ord("0") : ord("9") + 1] = ord("0")
-
-# Bytes of which one stands in every slot; a form field has a colon and at most so many bytes.
-_MARK = np.isin(np.arange(256), np.frombuffer("{[<%$@_«".encode(), np.uint8))
-_FORM_BYTES = 160
-
-
-def gram_buckets(buf: np.ndarray) -> np.ndarray:
-    """Hash bucket of the 5-gram that begins at each byte (letters in lower case, digits as 0); the last four belong to shorter ones."""
-    f = _FOLD[buf].astype(np.uint64)
-    f = np.concatenate([f, np.full(GRAM - 1, 10, np.uint64)])
-    code = np.zeros(len(buf), np.uint64)
-    for k in range(GRAM):
-        code = (code << np.uint64(8)) | f[k : k + len(buf)]
-    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-
-
-def whole_grams(buf: np.ndarray) -> np.ndarray:
-    """Which 5-grams lie in one text: none of their bytes is padding (0) or beyond the end."""
-    pad = np.concatenate([buf == 0, np.ones(GRAM - 1, bool)])
-    out = ~pad[: len(buf)]
-    for k in range(1, GRAM):
-        out &= ~pad[k : k + len(buf)]
-    return out
 
 
-def _counts(texts: list[str]) -> np.ndarray:
-    raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
-    return np.bincount(gram_buckets(raw), minlength=1 << BUCKET_BITS) if len(raw) else np.zeros(1 << BUCKET_BITS, np.int64)
+def _bytes(chars: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(chars)] = True
+    return table
 
 
-def example_grams() -> np.ndarray:
-    """Which buckets the examples of each kind hold."""
-    seeds = examples()
-    return np.array([_counts(seeds[kind]) > 0 for kind in KINDS])
+_CODES = np.arange(256)
+_DIGIT = (_CODES >= 48) & (_CODES <= 57)
+_UPPER = (_CODES >= 65) & (_CODES <= 90)
+_LOWER = ((_CODES >= 97) & (_CODES <= 122)) | (_CODES >= 128)
+_WORD = _DIGIT | _UPPER | _LOWER
+_NAME = _WORD | _bytes(b" _-.")
+_OPEN, _SHUT, _SIGN = _bytes(b"{[<\1\3"), _bytes(b"}]>\2\4"), _bytes(b"%$#@|*~^")
+# character classes of delimiters, and the byte that mirrors each
+_CLASS = np.where(_OPEN, 1, np.where(_SHUT, 2, np.where(_SIGN | (_CODES == 95), 3, _CODES))).astype(np.uint64)
+_MIRROR = _CODES.copy()
+for _a, _b in ("{}", "[]", "<>", "\1\2", "\3\4", "()"):
+    _MIRROR[ord(_a)] = ord(_b)
+# letters in lower case, digits as 0, delimiters as blanks
+_FOLD = np.where(_UPPER, _CODES + 32, np.where(_DIGIT, 48, np.where(_OPEN | _SHUT | _bytes(b"%$#@_|*~"), 32, _CODES))).astype(np.uint32)
+_QUOTE = _bytes(b"\"'`")
+_STOP = _bytes(b".!?")
+_STOP_OR_COLON = _STOP | _bytes(b":")
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 
 
-def natural_grams(buf: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Which 5-grams count for natural text: those of one text, without the sentences that no look at
-    the corpus is needed for: most of their 5-grams are in the examples of one kind, or they hold slots.
+def _bucket(code: np.ndarray, bits: int) -> np.ndarray:
+    return ((code * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
 
-    Residue therefore never becomes natural by being frequent.
-    """
-    whole = whole_grams(buf)
-    begin = sentence_starts(buf)
-    end = np.append(begin[1:], len(buf))
-    inner = whole.copy()
-    inner[np.maximum(end[:, None] - np.arange(1, GRAM), begin[:, None]).ravel()] = False
-    n = np.add.reduceat(inner, begin, dtype=np.int64)
-    buckets = gram_buckets(buf)
-    left_out = np.zeros(len(begin), bool)
-    for table in seen:
-        left_out |= np.add.reduceat(table[buckets] & inner, begin, dtype=np.int64) > LEFT_OUT * n
-    marks = np.logical_or.reduceat(_MARK[buf], begin) | (np.logical_or.reduceat(buf == ord(":"), begin) & (end - begin < _FORM_BYTES))
-    for i in np.flatnonzero(marks & ~left_out):
-        left_out[i] = is_residue("slot", buf[begin[i] : end[i]].tobytes().decode(errors="replace").strip().strip("\0"), 1.0, False)
-    return whole & ~np.repeat(left_out, end - begin)
-
-
-def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """5-gram counts of all natural text (``natural_grams``): one vector per task, added up on the executors to COUNT_SLOTS vectors and then here.
-
-    A text that is repeated n times counts as often as n has binary digits.
-    """
-    size = 1 << BUCKET_BITS
-    seen = docs.sparkSession.sparkContext.broadcast(example_grams())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            weights = np.array([n.bit_length() for n in batch.column(1).to_pylist()], np.int64)
-            for buf, starts, owners in _slices(batch.column(0)):
-                natural, buckets = natural_grams(buf, seen.value), gram_buckets(buf)
-                weight = np.repeat(weights[owners], np.diff(starts))
-                for w in np.unique(weights[owners]):
-                    total += w * np.bincount(buckets[natural & (weight == w)], minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
+def gram_buckets(buf: np.ndarray) -> list[np.ndarray]:
+    """Buckets of the folded n-grams of each order that begin at each byte."""
+    f = np.concatenate([_FOLD[buf], np.full(3, 10, np.uint32)])
+    n = len(buf)
+    three = (f[:n] << np.uint32(16)) | (f[1 : n + 1] << np.uint32(8)) | f[2 : n + 2]
+    four = (three << np.uint32(8)) | f[3 : n + 3]
+    return [(code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits) for code, (_, bits) in zip((three, four), ORDERS)]
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for v in batch.column(0).to_pylist():
-                total += np.frombuffer(v, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["v"])
 
-    texts = docs.select(text_col).filter(F.length(text_col) > 0).groupBy(text_col).agg(F.count("*").alias("n"))
-    vectors = texts.mapInArrow(count, "v binary").repartition(COUNT_SLOTS).mapInArrow(add, "v binary")
-    return np.sum([np.frombuffer(r[0], np.int64) for r in vectors.collect()] or [np.zeros(size, np.int64)], axis=0)
+def slot_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, raw bucket, class bucket) of every name between two runs of delimiters.
+
+    The class bucket knows of each delimiter only what kind of sign it is, whether the two mirror each
+    other, how the name is written and whether letters or quotes touch the whole from outside.
+    """
+    word = _WORD[buf]
+    before, after = np.r_[False, word[:-1]], np.r_[word[1:], False]
+    sign = _OPEN[buf] | _SHUT[buf] | _SIGN[buf] | ((buf == 95) & ~(before & after)) | (buf == 41)
+    left, right = np.r_[np.uint8(0), buf[:-1]], np.r_[buf[1:], np.uint8(0)]
+    sign |= (buf == 40) & ((left == 37) | (left == 36))  # %(name)s, $(name)
+    sign |= ((buf == 33) | (buf == 63)) & (_OPEN[left] | _SHUT[right])  # {!name!}, <?name?>
+    sign |= (buf == 61) & ((left == 37) | (left == 63))  # <%=name%>
+    begin, end = np.flatnonzero(sign & ~np.r_[False, sign[:-1]]), np.flatnonzero(sign & ~np.r_[sign[1:], False]) + 1
+    none = np.zeros(0, np.int64)
+    if len(begin) < 2:
+        return none, none, none, none
+    a, b = end[:-1], begin[1:]
+    i = np.flatnonzero((b - a <= NAME_BYTES) & ~_SHUT[buf[a - 1]] & (buf[a - 1] != 41) & ~_OPEN[buf[b]])
+    if len(i):
+        strange, letters = (np.cumsum(np.r_[False, x[buf]], dtype=np.int32) for x in (~_NAME, _UPPER | _LOWER))
+        a, b = a[i], b[i]
+        i = i[(strange[b] == strange[a]) & (letters[b] > letters[a])]
+        a, b = end[:-1], begin[1:]
+    if not len(i):
+        return none, none, none, none
+    a, b, first, last = a[i], b[i], begin[i], end[i + 1]
+    left, right = np.minimum(a - first, DELIMITER_BYTES), np.minimum(last - b, DELIMITER_BYTES)
+    lead, trail = buf[a] == 32, buf[b - 1] == 32
+    lower, blanks = (np.cumsum(np.r_[False, x], dtype=np.int32) for x in (_LOWER[buf], buf == 32))
+    style = np.where(lower[b] == lower[a], 3, np.where(_UPPER[buf[np.minimum(a + lead, len(buf) - 1)]], 2, 1))
+    words = blanks[b] - blanks[a] - lead - trail > 0
+    side = np.where(word, 1, np.where(_QUOTE[buf], 2, 0)).astype(np.uint64)
+    outside = np.where(first > 0, side[np.maximum(first - 1, 0)], 0).astype(np.uint64) * np.uint64(4) + np.where(last < len(buf), side[np.minimum(last, len(buf) - 1)], 0).astype(np.uint64)
+    short = b - a - lead - trail <= 2  # as of markup
+    shape = style.astype(np.uint64) * np.uint64(64) + short * np.uint64(32) + words.astype(np.uint64) * np.uint64(16) + outside
+    raw, kind, mirrored = shape * _STEP + lead * np.uint64(2) + trail, shape, np.ones(len(i), bool)
+    for k in range(DELIMITER_BYTES):  # both read outwards from the name
+        x = np.where(k < left, buf[np.maximum(a - 1 - k, 0)], 0)
+        y = np.where(k < right, buf[np.minimum(b + k, len(buf) - 1)], 0)
+        raw = (raw * _STEP + x.astype(np.uint64)) * _STEP + y.astype(np.uint64)
+        mirrored &= _MIRROR[x] == y
+        if k < 2:
+            kind = (kind * _STEP + _CLASS[x]) * _STEP + _CLASS[y]
+    return first, last, _bucket(raw, SLOT_BITS), _bucket(kind * _STEP + mirrored, SLOT_BITS)
+
+
+def sentence_starts(buf: np.ndarray, fields: bool = False) -> np.ndarray:
+    """Begins of lines and of sentences within lines; with ``fields`` also behind each ': '."""
+    at = np.zeros(len(buf) + 2, bool)
+    at[0] = True
+    stop = _STOP_OR_COLON[buf] if fields else _STOP[buf]
+    at[2 : len(buf) + 1] |= stop[:-1] & (buf[1:] == 32)
+    at[1 : len(buf) + 1] |= buf == 10
+    at[1 : len(buf)] |= (buf[:-1] == 0) & (buf[1:] != 0)
+    return np.flatnonzero(at[: len(buf)])
+
+
+def _bounds(buf: np.ndarray, fields: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of every sentence, and for every byte those of its own."""
+    begin = sentence_starts(buf, fields)
+    end = np.append(begin[1:], len(buf))
+    n = end - begin
+    return begin, end, np.repeat(begin.astype(np.int32), n), np.repeat(end.astype(np.int32), n)
 
 
 def _parts(raw: bytes) -> Iterator[bytes]:
@@ -225,12 +183,12 @@ def _parts(raw: bytes) -> Iterator[bytes]:
 def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """A text column as byte buffers of bounded size: (buffer, begin of each part and end, number of each part's text).
 
-    Each text ends with a line feed and is parted from the next by padding as long as the longest
-    window, so that no result depends on which texts lie beside it; very long texts are several parts.
+    Each text ends with a line feed and is parted from the next by padding; windows end with their
+    sentence, so that no result depends on which texts lie beside it. Very long texts are several parts.
     """
     parts, starts, owners, n = [_PAD], [0], [], len(_PAD)
-    for i, value in enumerate(texts):
-        raw = _DROPPED.sub("", value.as_py() or "").replace("\0", " ").encode() + b"\n"
+    for i, value in enumerate(pc.fill_null(texts.cast(pa.large_binary()), b"").to_pylist()):
+        raw = _delimited(value) + b"\n"
         for part in _parts(raw):
             parts += [part, _PAD]
             n += len(part) + len(_PAD)
@@ -243,134 +201,256 @@ def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(owners)
 
 
+def _inside(first: np.ndarray, last: np.ndarray, buf: np.ndarray) -> np.ndarray:
+    """Which bytes lie in slots or touch them."""
+    edge = np.zeros(len(buf) + 1, np.int32)
+    np.add.at(edge, np.maximum(first - 2, 0), 1)
+    np.add.at(edge, last, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def count_vectors(buf: np.ndarray, once: bool = False) -> list[np.ndarray]:
+    """Counts of the buckets of each order and of slots, in sentences; with ``once`` a sentence that the buffer repeats counts once.
+
+    So nothing becomes natural by being repeated, be it a third of all rows.
+    """
+    begin, end, _, ends = _bounds(buf)
+    keep = np.ones(len(begin), bool)
+    grams = gram_buckets(buf)
+    if once:
+        code = np.add.reduceat((grams[-1].astype(np.uint64) + np.uint64(1)) * _MIX, begin)
+        keep[:] = False
+        keep[np.unique(code, return_index=True)[1]] = True
+    kept, at, out = np.repeat(keep, end - begin) & (buf != 0), np.arange(len(buf), dtype=np.int32), []
+    for (n, bits), g in zip(ORDERS, grams):
+        out.append(np.bincount(g[kept & (at + n <= ends)], minlength=1 << bits))
+    first, last, raw, kind = slot_spans(buf)
+    whole = kept[first] & (last <= ends[first])
+    out += [np.bincount(x[whole], minlength=1 << SLOT_BITS) for x in (raw, kind)]
+    return [x.astype(np.int64) for x in out]
+
+
+def corpus_counts(docs: DataFrame, text_col: str = "text") -> list[np.ndarray]:
+    """Counts over all texts: one vector per task, added up by range of buckets in LANES lanes and then over the lanes.
+
+    A sentence counts once in each slice of SLICE_BYTES. Only the sums, which are of fixed size, reach the driver.
+    """
+    total = sum(SIZES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(total, np.int64)
+        for batch in batches:
+            for buf, _, _ in _slices(batch.column(0)):
+                sums += np.concatenate(count_vectors(buf, once=True))
+        cuts = range(0, total, RANGE)
+        lane = TaskContext.get().partitionId() % LANES
+        packed = [zlib.compress(sums[k : k + RANGE].tobytes(), 1) for k in cuts]
+        yield pa.RecordBatch.from_arrays([pa.array([k // RANGE for k in cuts], pa.int32()), pa.array([lane] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["part", "lane", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for part, lane, v in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(zlib.decompress(v), np.int64)
+                sums[part, lane] = sums[part, lane] + x if (part, lane) in sums else x
+        rows = list(sums.items())
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.int32()), pa.array([k[1] for k, _ in rows], pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for _, v in rows], pa.binary())], ["part", "lane", "v"])
+
+    schema = "part int, lane int, v binary"
+    vectors = docs.select(text_col).filter(F.length(text_col) > 0).mapInArrow(count, schema)
+    lanes = vectors.repartition("part", "lane").mapInArrow(add, schema).withColumn("lane", F.lit(0))
+    sums = np.zeros(total, np.int64)
+    for part, _, v in lanes.repartition("part").mapInArrow(add, schema).collect():
+        sums[part * RANGE : (part + 1) * RANGE] += np.frombuffer(zlib.decompress(v), np.int64)
+    return np.split(sums, np.cumsum(SIZES)[:-1])
+
+
+def _text(lines: list[str]) -> np.ndarray:
+    return np.frombuffer(_delimited(("\n".join(lines) + "\n").encode()), np.uint8)
+
+
+def _flat(groups: dict[str, list[str]]) -> list[str]:
+    return [line for lines in groups.values() for line in lines]
+
+
 @dataclass
 class ResidueModel:
-    """Log-likelihood ratios (residue against natural text) of each kind and bucket, and how they are read."""
+    """Log-likelihood ratios against natural text, and how they are read.
+
+    ``tables``: thousandths, one table per order, TEXT_KINDS x buckets. ``slots``: log-probability per byte of a slot's
+    raw and class bucket in natural text, slots and code. ``half_window``: bytes on both sides of a place.
+    ``threshold``: mean ratio of a window that speaks for residue. ``coverage`` and ``evidence``: share of the
+    sentence under such windows, and the sum of their ratios. ``slot_ratio``: ratio of a slot; ``talk``: window
+    of the contrast model in the rest of its sentence beyond which the slot is only talked about.
+    """
 
-    tables: np.ndarray
-    window: tuple[int, ...] = (8, 24, 8, 24)
-    threshold: tuple[float, ...] = (0.8, 1.0, 1.0, 1.0)
-    coverage: tuple[float, ...] = (0.0, 0.5, 0.5, 0.5)
+    tables: list[np.ndarray]
+    slots: np.ndarray
+    half_window: int = 14
+    threshold: float = 0.2
+    coverage: float = 0.65
+    evidence: float = 12.0
+    field_evidence: float = 10.0
+    slot_ratio: float = 2.5
+    code_ratio: float = -1.5
+    talk: float = 0.9
 
     @classmethod
-    def fit(cls, natural: np.ndarray) -> ResidueModel:
-        nat = np.log((natural + SMOOTHING) / (natural.sum() + SMOOTHING * len(natural)))
-        seeds = examples()
+    def fit(cls, natural: list[np.ndarray], examples: dict[str, dict[str, list[str]]] | None = None) -> ResidueModel:
+        """The models of ``examples`` (kind -> group -> lines) against the counts of natural text."""
+        seeds = X.examples() if examples is None else examples
+        form = {"form": seeds["slot"].get("form", [])}
+        lines = {k: _flat(form if k == "form" else seeds[k]) for k in TEXT_KINDS}
         tables = []
-        for kind in KINDS:
-            c = _counts(seeds[kind])
-            tables.append(np.log((c + SMOOTHING * 0.02) / (c.sum() + SMOOTHING * 0.02 * len(c))) - nat)
-        return cls(np.clip(np.array(tables), -4, 4).astype(np.float32))
-
-    def covered(self, buf: np.ndarray, kind: int) -> np.ndarray:
-        """Which bytes lie in a window of the kind."""
-        llr = np.where(whole_grams(buf), self.tables[kind][gram_buckets(buf)], np.float32(0))
-        w = min(self.window[kind], len(buf))
-        run = np.concatenate([[0], np.cumsum(llr, dtype=np.float64)])
-        high = (run[w:] - run[:-w]) / w > self.threshold[kind]
-        edge = np.zeros(len(buf) + 1, np.int32)
-        at = np.flatnonzero(high)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, np.minimum(at + w + GRAM - 1, len(buf)), -1)
-        return np.cumsum(edge[:-1]) > 0
-
-
-def sentence_starts(buf: np.ndarray) -> np.ndarray:
-    """Begins of lines and of sentences within lines."""
-    nl = np.flatnonzero((buf == 10) | ((buf == 0) & (np.append(buf[1:], 0) != 0))) + 1
-    stop = np.isin(buf, np.frombuffer(b".!?", np.uint8))
-    gap = np.flatnonzero(stop[:-1] & (buf[1:] == 32)) + 2 if len(buf) > 1 else nl[:0]
-    at = np.unique(np.concatenate([[0], nl, gap]))
-    return at[at < len(buf)]
-
-
-_NAME = r"[A-Za-z][\w.\- ]{0,40}?"
-_UPPER = r"[A-Z][A-Z0-9]*(?:[_ \-][A-Z0-9]+)*"
-_SLOTS = re.compile(
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}|\{{%\s*{_NAME}\s*%\}}|<%=?\s*{_NAME}\s*%>|[$#]\{{\s*{_NAME}\s*\}}|\[\[\s*{_NAME}\s*\]\]|«[a-z][a-z0-9_]*(?: [a-z0-9_]+)*»|<<\s*{_NAME}\s*>>"
-    rf"|@@{_UPPER}@@|__{_UPPER}__|%{_UPPER}%|\${_UPPER}\$|%\({_NAME}\)s|\[INSERT {_NAME} HERE\]|\[(?:YOUR |ENTER )?[A-Z]{{3,}}(?:[_ ][A-Z]+)*\]|(?<![\w$#%{{])\{{[a-z]+(?:_[a-z]+)*\}}(?!\}})|<(?:(?i:your|insert|enter)) [\w ]{{1,40}}>"
-)
-_FORM = re.compile(r"^\W*[^\W\d][\w /\-]{1,40}\s*:\s*(?:" + "|".join(re.escape(u) for u in _UNFILLED) + r")\W*$", re.I)
-# What stands for a whole text: unfilled fields and filler, without the signs around them, and words of keyboard runs.
-_EDGE = " \t.,:;!?…*#-–_()[]<>\"'"
-_ALONE = {"slot": {u.casefold().strip(_EDGE) for u in _UNFILLED} - {""}, "filler": {x.casefold().strip(_EDGE) for x in [*_FILLER, "à venir", "próximamente", "to come", "filler text", "dummy text"]}}
-_KEY_RUN = re.compile(r"x{3,}|(?:asdf|qwer|qwerty|hjkl|bla|blah|foobar)+")
-#: Bytes of the longest text that is compared as a whole.
-_LONG_LINE = 160
-#: Shorter sentences are residue only if they are nothing but a status, or the whole text (``alone``).
-_SHORT = 11
-#: Sentences up to this many bytes must be covered nearly whole.
-_BRIEF = 24
-_REASON = re.compile(r"(?i)\W*(?:http\W*)?(?:error\W*)?(?:[45][0-9]{2}\W*)?(?:" + "|".join(re.escape(r) for r in _STATUS.values()) + r")\W*")
-_ABOUT = re.compile(
-    r"(?i)\btemplat|\bplaceholder|\bpattern|\bsyntax|\brender|\bexpand|\bvariables?\b|\bmacro|\bvorlage|\bplatzhalter|\bgabarit|\bmodèle de|\bplantilla|\bmarcador|\bvariable|\blayout test|\bsubstitut|\bformat string|\bnotation|\bshorthand|\bmanual (?:explains|says|shows)|\bin the (?:docs|documentation)\b|\bescap(?:e|ed|ing)\b|\binterpolat"
-)
-_CODE = re.compile(r"print\(|\bf[\"']|%s|\bdef \w+\(|\bimport \w|\bSELECT\b|\bassert\b|\breturn\b|\bfor \w+ in\b|^\s*[\w.]+\s*=[^=]|;\s*$|\.format\(")
-
-
-def slots_in(sentence: str) -> list[str]:
-    """Unfilled slots in a sentence, those of code left out."""
-    found = _SLOTS.findall(sentence)
-    if found and _CODE.search(sentence):
-        found = [x for x in found if not x.startswith(("{", "%(", "%", "$")) or x.startswith(("{{", "{%"))]
-    return found
-
-
-def is_residue(kind: str, sentence: str, share: float, whole_line: bool) -> bool:
-    """The exact check of a sentence that windows of ``kind`` cover to ``share``."""
-    if kind == "slot":
-        if _FORM.match(sentence):
-            return True
-        found = slots_in(sentence)
-        return bool(found) and (len(found) > 2 or not _ABOUT.search(_SLOTS.sub(" ", sentence)))
-    if len(sentence.encode()) < _SHORT:
-        return whole_line and kind == "error" and _REASON.fullmatch(sentence) is not None
-    if len(sentence.encode()) < _BRIEF:
-        return share >= 0.9
-    return share >= (0.55 if whole_line else 0.6)
-
-
-def alone(text: str) -> str | None:
-    """The kind of a text that is nothing but a written-out unfilled field or filler, or keyboard runs; None for others."""
-    bare = text.casefold().strip(_EDGE)
-    if text in _UNFILLED or bare in _ALONE["slot"]:
-        return "slot"
-    words = bare.split()
-    if bare in _ALONE["filler"] or (words and all(_KEY_RUN.fullmatch(x) for x in words)) or (len(words) > 1 and all(x in _KEYS for x in words)):
-        return "filler"
-    return None
+        for j, (n, bits) in enumerate(ORDERS):
+            counts = []
+            for kind in TEXT_KINDS:
+                buf = _text(lines[kind])
+                _, _, _, ends = _bounds(buf, kind == "form")
+                inside = np.arange(len(buf)) + n <= ends
+                if kind == "contrast":
+                    inside &= ~_inside(*slot_spans(buf)[:2], buf)
+                counts.append(np.minimum(np.bincount(gram_buckets(buf)[j][inside], minlength=1 << bits), 40))
+            pool = sum(c / max(c.sum(), 1) for c in counts) / len(counts)
+            p = natural[j] + 0.5 + POOL * pool
+            p /= p.sum()
+            table = np.zeros((len(TEXT_KINDS), (1 << bits) + 1), np.int16)  # the last entry is that of no n-gram
+            for k, c in enumerate(counts):
+                prior = PRIOR * c.sum()
+                table[k, :-1] = np.round(1000 * np.clip(np.log((c / p + prior + 1e-9) / (c.sum() + prior + 1e-9)), -4, 4))
+            tables.append(table)
+        slot_lines = _flat({d: x for d, x in seeds["slot"].items() if d != "form"})
+        code = seeds["contrast"].get("code", [])
+        of = [(natural[-2], natural[-1], natural[0].sum() + 10 * POOL), *((*count_vectors(_text(x))[-2:], len(_text(x))) for x in (slot_lines, code))]
+        # a raw form that was never seen gets a small part of its class
+        return cls(tables, np.array([[0.8 * raw / size, 0.02 * (kind + 0.05) / size] for raw, kind, size in of]))
+
+    def windows(self, buf: np.ndarray, grams: list[np.ndarray], kinds: tuple[int, ...], places: np.ndarray, begins: np.ndarray, ends: np.ndarray, masked: np.ndarray | None = None, least: int = 1) -> list[np.ndarray]:
+        """For each kind the mean ratio of the window around each of ``places``, within its sentence; -4 where fewer than ``least`` n-grams lie in it.
+
+        Sums are whole numbers, so a window's mean does not depend on what stands before it.
+        """
+        n, at = len(buf), np.arange(len(buf), dtype=np.int32)
+        whole = [(at + m <= ends) & (buf != 0) for m, _ in ORDERS]
+        if masked is not None:
+            whole = [w & ~masked for w in whole]
+        grams = [np.where(w, g, np.uint32(table.shape[1] - 1)) for w, g, table in zip(whole, grams, self.tables)]
+        lo, hi = np.maximum(begins[places], places - self.half_window), np.minimum(ends[places], places + self.half_window + 1)
+        run = np.zeros(n + 1, np.int32)
+        np.cumsum(whole[0].view(np.int8) + whole[1].view(np.int8), out=run[1:])
+        count = run[hi] - run[lo]
+        few = count < least
+        count = 1000.0 * np.maximum(count, 1).astype(np.float32)
+        out = []
+        for k in kinds:
+            total = self.tables[0][k][grams[0]] + self.tables[1][k][grams[1]]
+            np.cumsum(total, out=run[1:])
+            mean = (run[hi] - run[lo]) / count
+            mean[few] = -4.0
+            out.append(mean)
+        return out
+
+    def slot_ratios(self, raw: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood ratios of slots against natural text and against code."""
+        natural, slot, code = (np.log(x[0][raw] + x[1][kind]) for x in self.slots)
+        return slot - natural, slot - code
+
+
+def _places(buf: np.ndarray, begins: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every STRIDE-th byte of each sentence, the number of its sentence, and how many bytes (without line feeds and padding) it stands for."""
+    places = np.flatnonzero(((np.arange(len(buf), dtype=np.int32) - begins) & (STRIDE - 1)) == 0).astype(np.int32)
+    weight = np.add.reduceat(((buf != 10) & (buf != 0)).view(np.int8), places, dtype=np.int32)
+    return places, np.searchsorted(begin, places, side="right") - 1, weight
 
 
 def residue_sentences(model: ResidueModel, texts: pa.Array) -> Iterator[tuple[int, str, str, float]]:
-    """(number of the text, kind, sentence, share covered) of every sentence that is residue, and of every text that is a short line of it."""
-    for i in np.flatnonzero(pc.less_equal(pc.fill_null(pc.binary_length(texts), _LONG_LINE + 1), _LONG_LINE).to_numpy(zero_copy_only=False)):
-        text = _DROPPED.sub("", texts[int(i)].as_py()).strip()
-        if text and (kind := alone(text)):
-            yield int(i), kind, text, 1.0
+    """(number of the text, kind, sentence, share of it covered) of every sentence that is residue."""
+    reported = {0: "filler", 1: "error", 2: "script"}
+    contrast = len(TEXT_KINDS) - 1
     for buf, starts, owners in _slices(texts):
-        begin = sentence_starts(buf)
-        length = np.diff(np.append(begin, len(buf)))
-        for k, kind in enumerate(KINDS):
-            inside = model.covered(buf, k)
-            share = np.add.reduceat(inside, begin, dtype=np.int64) / np.maximum(length, 1) if len(begin) else np.zeros(0)
-            for i in np.flatnonzero(share > model.coverage[k]):
-                raw = buf[begin[i] : begin[i] + length[i]].tobytes()
-                sentence = raw.decode(errors="replace").strip().strip("\0")
-                line_end = begin[i] + length[i] >= len(buf) or buf[begin[i] + length[i] - 1] == 10
-                line_start = begin[i] == 0 or buf[begin[i] - 1] in (0, 10)
-                if sentence and is_residue(kind, sentence, float(share[i]), bool(line_end and line_start)):
-                    yield int(owners[np.searchsorted(starts, begin[i], side="right") - 1]), kind, sentence, float(share[i])
-
-
-def residue_documents(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text") -> DataFrame:
+        found: dict[int, tuple[str, float]] = {}
+        begin, end, begins, ends = _bounds(buf)
+        grams = gram_buckets(buf)
+
+        # sentences of filler, error and script notices
+        places, of, weight = _places(buf, begins, begin)
+        *scores, talk = model.windows(buf, grams, (0, 1, 2, contrast), places, begins, ends)
+        best = np.maximum(np.maximum(scores[0], scores[1]), scores[2])
+        hit = (best > model.threshold) & (best > talk)
+        share = np.bincount(of, weight * hit, len(begin)) / np.maximum(np.bincount(of, weight, len(begin)), 1)
+        ratio = np.bincount(of, np.where(hit, best * weight, 0.0), len(begin))
+        taken = np.flatnonzero((share >= model.coverage) & (ratio >= model.evidence))
+        if len(taken):
+            sums = np.array([np.bincount(of, np.where(hit, x * weight, 0.0), len(begin))[taken] for x in scores])
+            for i, k in zip(taken, sums.argmax(axis=0)):
+                found[begin[i]] = (reported[int(k)], float(share[i]))
+
+        # unfilled form fields: what stands behind a colon, or alone on its line
+        f_begin, f_end, f_begins, f_ends = _bounds(buf, fields=True)
+        f_places, f_of, f_weight = _places(buf, f_begins, f_begin)
+        (form,) = model.windows(buf, grams, (3,), f_places, f_begins, f_ends)
+        marked = form > model.threshold
+        covered = np.bincount(f_of, f_weight * marked, len(f_begin)) >= 0.9 * np.maximum(np.bincount(f_of, f_weight, len(f_begin)), 1)
+        ratio = np.bincount(f_of, np.where(marked, form * f_weight, 0.0), len(f_begin))
+        line_end = (buf[f_end - 1] == 10) | (f_end >= len(buf))
+        for i in np.flatnonzero(covered & line_end & (ratio >= model.field_evidence)):
+            at = f_begin[i]
+            if at == 0 or buf[at - 1] in (0, 10) or buf[at - 2] == 58:
+                found.setdefault(begin[np.searchsorted(begin, at, side="right") - 1], ("slot", 1.0))
+
+        # slots in sentences that do not talk about them
+        first, last, raw, kind = slot_spans(buf)
+        if len(first):
+            against_text, against_code = model.slot_ratios(raw, kind)
+            keep = (against_text > model.slot_ratio) & (against_code > model.code_ratio) & (last <= ends[first])
+            if keep.any():
+                (talk,) = model.windows(buf, grams, (contrast,), places, begins, ends, _inside(first, last, buf), least=13)
+                worst = np.full(len(begin), -4.0)
+                np.maximum.at(worst, of, talk)
+                for at in np.unique(begins[first[keep]]):
+                    if worst[np.searchsorted(begin, at)] < model.talk:
+                        found[at] = ("slot", found.get(at, ("", 0.0))[1])
+        for at, (name, part) in sorted(found.items()):
+            stop = end[np.searchsorted(begin, at)]
+            sentence = buf[at:stop].tobytes().decode(errors="replace").strip().strip("\0")
+            if sentence:
+                yield int(owners[np.searchsorted(starts, at, side="right") - 1]), name, sentence, part
+
+
+def held_out(natural: list[np.ndarray], folds: int = 10, examples: dict[str, dict[str, list[str]]] | None = None, by_delimiter: bool = False) -> dict[tuple[str, str], tuple[int, int]]:
+    """Cross-validation over the written examples: (kind, group) -> (lines found as residue, lines).
+
+    Each fold of lines (or of delimiters of slots) is judged by a model fitted on the other folds. Lines of
+    the kind 'contrast' ought not to be found.
+    """
+    seeds = X.examples() if examples is None else examples
+    out: dict[tuple[str, str], tuple[int, int]] = {}
+    for f in range(folds):
+        rest: dict[str, dict[str, list[str]]] = {}
+        tested: list[tuple[str, str, str]] = []
+        for kind, groups in seeds.items():
+            rest[kind] = {}
+            for g, (group, lines) in enumerate(groups.items()):
+                leave = by_delimiter and kind == "slot" and group != "form"
+                rest[kind][group] = [x for i, x in enumerate(lines) if (g if leave else i) % folds != f]
+                tested += [(kind, group, x) for i, x in enumerate(lines) if (g if leave else i) % folds == f]
+        model = ResidueModel.fit(natural, rest)
+        hits = {i for i, _, _, _ in residue_sentences(model, pa.array([x for _, _, x in tested], pa.large_string()))}
+        for i, (kind, group, _) in enumerate(tested):
+            n, m = out.get((kind, group), (0, 0))
+            out[kind, group] = (n + (i in hits), m + 1)
+    return out
+
+
+def residue_documents(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", examples: dict[str, dict[str, list[str]]] | None = None) -> DataFrame:
     """Documents in which residue stands in place of content: doc_id and kinds (sorted).
 
     The natural model is counted over all texts (see ``corpus_counts``), and every text is scored whole. Null, empty and
-    blank texts are no cases; a repeated document counts once; other columns are ignored.
+    blank texts are no cases; a repeated document counts once; other columns are ignored. ``examples`` replaces the
+    written examples (kind -> group -> lines), for other languages or kinds of sites.
     """
     spark = docs.sparkSession
-    model = ResidueModel.fit(corpus_counts(docs, text_col))
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(ResidueModel.fit(corpus_counts(docs, text_col), examples))
     out_type = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("kind", T.StringType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pepspark.llm import residue as R
@@ -28,6 +29,12 @@ RESIDUE = {
 }
 
 
+@pytest.fixture(scope="module")
+def background():
+    """Texts of the test data, for a natural model of ordinary size."""
+    return [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t]
+
+
 @pytest.fixture(scope="module")
 def rows():
     out = [(i, " ".join(PROSE[:5] * 3) + "\n\n" + p, False) for i, p in enumerate(PROSE * 20)]
@@ -38,39 +45,47 @@ def rows():
     return out
 
 
-def test_found_and_not_found(spark, rows):
+def test_found_and_not_found(spark, rows, background):
     extra = [(90001, None, False), (90002, "", False), (90003, " \n\t ", False), (90004, PROSE[1] + " " + "A" * 200_000, False), (90005, "x" + "\n\n" + "403 Forbidden\n" + " ".join(PROSE[:6] * 2000), True)]
-    df = spark.createDataFrame(rows + extra + rows[-1:], "doc_id bigint, text string, kind boolean")
-    found = {r.doc_id for r in R.residue_documents(df).collect()}
+    df = spark.createDataFrame(rows + extra + rows[-1:] + [(-1, t, False) for t in background], "doc_id bigint, text string, kind boolean")
+    found = {r.doc_id for r in R.residue_documents(df).collect()} - {-1}
     want = {i for i, _, bad in rows + extra if bad}
     text = {i: t for i, t, _ in rows + extra}
     assert not [text[i][:200] for i in found - want]
     assert not [text[i] for i in want - found]
-    assert R.residue_documents(df).count() == len(found)
 
 
 def test_empty_table(spark):
     assert R.residue_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def counts_of(texts):
+    total = None
+    for buf, _, _ in R._slices(pa.array(texts, pa.large_string())):
+        v = R.count_vectors(buf, once=True)
+        total = v if total is None else [a + b for a, b in zip(total, v)]
+    return total
+
+
 def test_counts_cover_all_texts(spark):
-    texts = ["abc def ghi", "xyz", None, "é" * 50]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    want = np.zeros(1 << R.BUCKET_BITS, np.int64)
-    for t in texts:
-        if t:
-            want += np.bincount(R.gram_buckets(np.frombuffer(t.encode() + b"\n", np.uint8))[: 1 - R.GRAM], minlength=len(want))
-    assert (R.corpus_counts(df) == want).all() and want.sum() == 8 + 97
+    texts = ["abc def ghi", "xyz", None, "é" * 50, "a {{ b_c }} d"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    for got, want in zip(R.corpus_counts(df), counts_of([t for t in texts if t])):
+        assert (got == want).all() and got.sum() > 0
+
+
+def test_a_repeated_sentence_counts_once(spark):
+    one = R.corpus_counts(spark.createDataFrame([(PROSE[0],)], "text string"))
+    many = R.corpus_counts(spark.createDataFrame([(PROSE[0],)] * 200, "text string").coalesce(1))
+    assert all((a == b).all() for a, b in zip(one, many)) and one[0].sum() > 50
 
 
 def test_slices_do_not_change_the_result(rows, monkeypatch):
-    col = pa.array([t for _, t, _ in rows], pa.large_string())
-    counts = np.zeros(1 << R.BUCKET_BITS, np.int64)
-    for buf, _, _ in R._slices(col):
-        counts += np.bincount(R.gram_buckets(buf)[R.whole_grams(buf)], minlength=len(counts))
-    model = R.ResidueModel.fit(counts)
+    texts = [t for _, t, _ in rows]
+    col = pa.array(texts, pa.large_string())
+    model = R.ResidueModel.fit(counts_of(texts))
     whole = {(i, k) for i, k, _, _ in R.residue_sentences(model, col)}
-    longest = max(len(t) for _, t, _ in rows)
+    longest = max(len(t.encode()) for t in texts)
     monkeypatch.setattr(R, "SLICE_BYTES", 2 * longest)
     assert {(i, k) for i, k, _, _ in R.residue_sentences(model, col)} == whole
     monkeypatch.setattr(R, "SLICE_BYTES", 400)  # texts fall into several parts
@@ -84,11 +99,47 @@ def test_parts_make_up_the_text(monkeypatch):
         assert b"".join(parts) == raw and all(len(p) <= 50 for p in parts)
 
 
-def test_code_and_talk_about_templates():
-    assert R.slots_in('print(f"{spectrum.scan}")') == [] and R.slots_in('print("%(name)s" % d)') == []
-    assert R.slots_in("a {{ gene }} b ${x} c [SAMPLE]") == ["{{ gene }}", "${x}", "[SAMPLE]"]
-    assert not R.is_residue("slot", "The template variable {{ gene }} is replaced.", 1.0, True)
-    assert R.is_residue("slot", "The gene {{ gene }} is conserved.", 0.2, True)
+def test_slot_spans():
+    text = "a {{ gene }} b ${x_y} c [SAMPLE] d (mass) e 50 % of 30 % f mass[a] g <b>bold</b> «le nom»"
+    buf = R._text([text])
+    first, last, _, _ = R.slot_spans(buf)
+    found = [buf[a:b].tobytes().decode() for a, b in zip(first, last)]
+    assert found[:3] == ["{{ gene }}", "${x_y}", "[SAMPLE]"] and found[-1] == "\1le nom\2" and "(mass)" not in found
+
+
+def test_windows_against_brute_force(rows):
+    model = R.ResidueModel.fit(counts_of([t for _, t, _ in rows]))
+    buf = R._text(["Please enable JavaScript. Peptides were digested.", "x", "404 Not Found"])
+    begin, end, begins, ends = R._bounds(buf)
+    grams, at = R.gram_buckets(buf), np.arange(len(buf), dtype=np.int32)
+    (got,) = model.windows(buf, grams, (2,), at, begins, ends)
+    for i in at:
+        lo, hi = max(begins[i], i - model.half_window), min(ends[i], i + model.half_window + 1)
+        values = [model.tables[j][2][grams[j][k]] / 1000 for j, (n, _) in enumerate(R.ORDERS) for k in range(lo, hi) if k + n <= ends[i]]
+        assert abs(got[i] - (sum(values) / len(values) if values else -4.0)) < 1e-4
+
+
+def test_held_out_examples(background):
+    """Lines that a model has not seen are found; lines about residue mostly are not."""
+    natural = counts_of(background)
+    got = R.held_out(natural, folds=5)
+    share = lambda kind: sum(n for (k, _), (n, _) in got.items() if k == kind) / sum(m for (k, _), (_, m) in got.items() if k == kind)
+    assert share("slot") > 0.9 and share("filler") > 0.8 and share("error") > 0.85 and share("script") > 0.95 and share("contrast") < 0.4
+
+
+UNSEEN = {
+    "slot": ["Dear *|LNAME|*, thank you.", "Bonjour [% client_name %], merci.", "The value was {!Account.Name!} today.", "Hi {{recipient.first_name}}, it was sent."],
+    "filler": ["Insert your biography here.", "Dies ist nur ein Platzhaltertext.", "Le contenu sera bientôt disponible.", "Aquí va la descripción del producto.", "At vero eos et accusam et justo duo dolores et ea rebum."],
+    "error": ["Sorry, the page you are trying to reach does not exist.", "Die Seite konnte leider nicht gefunden werden.", "Une erreur inattendue est survenue.", "No se ha podido cargar la página.", "Proxy Error: the server could not handle the request."],
+    "script": ["You must turn on JavaScript to see this map.", "Bitte schalten Sie JavaScript in Ihrem Browser ein.", "Pour voir cette page, activez les scripts.", "Habilite JavaScript en su navegador para ver la página."],
+}
+
+
+@pytest.mark.parametrize("kind", UNSEEN)
+def test_unseen_wording(kind, background):
+    natural = counts_of(background)
+    hits = {i for i, _, _, _ in R.residue_sentences(R.ResidueModel.fit(natural), pa.array(UNSEEN[kind], pa.large_string()))}
+    assert len(hits) >= 0.75 * len(UNSEEN[kind]), [x for i, x in enumerate(UNSEEN[kind]) if i not in hits]
 
 
 @pytest.mark.parametrize(
@@ -108,15 +159,9 @@ def test_residue_in_a_third_of_the_rows(spark, kind, page):
     assert sorted(found) == [1000 + k for k in range(200)] and all(kind in kinds for kinds in found.values())
 
 
-def test_repeated_texts_count_little(spark):
-    df = spark.createDataFrame([(PROSE[0],)] * 200 + [(PROSE[1],)], "text string")
-    first, second = (R.corpus_counts(spark.createDataFrame([(t,)], "text string")) for t in PROSE[:2])
-    assert (R.corpus_counts(df) == 8 * first + second).all() and first.sum() > 50
-
-
-def test_short_texts_that_are_nothing_else(spark):
-    short = {"TBD": "slot", " TODO\n": "slot", "???": "slot", "(to be filled in)": "slot", "à compléter": "slot", "xxxx xxxx": "filler", "à venir": "filler", "asdf": "filler", "foo bar": "filler", "Bla bla": "filler", "410 Gone": "error"}
-    prose = ["abc", "Sample", "ALA", "test", "bar", "Xylose", "To do", "TBDA", "yes", "x", "??", "MTBD TODO PEPTIDE"]
-    rows = [(i, t) for i, t in enumerate([*short, *prose, *PROSE])]
-    found = {r.doc_id: r.kinds for r in R.residue_documents(spark.createDataFrame(rows, "doc_id bigint, text string").union(spark.createDataFrame([(1000 + i, " ".join(PROSE) + str(i)) for i in range(50)], "doc_id bigint, text string"))).collect()}
-    assert {i: k for i, k in found.items() if i < len(short) + len(prose)} == {i: [k] for i, k in enumerate(short.values())}
+def test_short_texts_that_are_nothing_else(background):
+    short = {"TBD": "slot", " TODO\n": "slot", "???": "slot", "(to be filled in)": "slot", "to be completed": "slot", "xxxx xxxx": "filler", "asdf asdf": "filler", "foo bar": "filler", "Bla bla bla": "filler", "410 Gone": "error"}
+    prose = ["abc", "Sample", "ALA", "bar", "Xylose", "To do", "TBDA", "yes", "x", "??", "MTBD TODO PEPTIDE"]
+    texts = [*short, *prose]
+    got = {texts[i]: k for i, k, _, _ in R.residue_sentences(R.ResidueModel.fit(counts_of(background)), pa.array(texts, pa.large_string()))}
+    assert got == short
