@@ -7,14 +7,8 @@ from pyspark.sql import functions as F
 
 DECOY_PREFIX = "DECOY_"
 
-# Header patterns (see the flavours' public documentation).
-UNIPROT = r"^(\w+)\|([-\w]+)\|(\w+)\s+(.*?)(?:(?:\s+OS=([^=]+))|(?:\s+OX=(\d+))|(?:\s+GN=(\S+))|(?:\s+PE=(\d))|(?:\s+SV=(\d+)))*\s*$"
-UNIREF = r"^(\S+)\s+(.*?)(?:(?:\s+n=(\d+))|(?:\s+Tax=(.+?))|(?:\s+TaxID=(\S+))|(?:\s+RepID=(\S+)))*\s*$"
-UNIPARC = r"^(\S+)\s+status=(\w+)\s*$"
-UNIMES = r"^(\S+)\s+([^=]*\S)((?:\s+\w+=[^=]+(?!\w*=))+)\s*$"
-SPD = r"^([^|]+?)\s*\|\s*(([^|]+?)_([^|]+?))\s*\|\s*([^|]+?)\s*$"
-NCBI = r"^(\S+)\s+(.*\S)\s+\[(.*)\]"
-REFSEQ = r"^ref\|([^|]+)\|\s*([^\[]*\S)\s*\[(.*)\]"
+#: Keys that may follow a header's head, by flavour; None: any.
+HEADER_KEYS = {"uniprot": ("OS", "OX", "GN", "PE", "SV"), "uniref": ("n", "Tax", "TaxID", "RepID"), "uniparc": ("status",), "unimes": None}
 FLAVORS = ("uniprot", "uniref", "uniparc", "unimes", "spd", "ncbi", "refseq")
 
 
@@ -32,34 +26,98 @@ def _map(fields: dict[str, Column]) -> Column:
     return F.map_filter(m, lambda k, v: v.isNotNull())
 
 
+def _present(c: Column) -> Column:
+    """A text, or null if it is empty."""
+    return F.when(F.length(c) > 0, c)
+
+
+def _head_and_fields(h: Column, flavor: str) -> tuple[Column, Column]:
+    """A header cut before each of its flavour's keys: the head, and the array of 'KEY=value' pieces."""
+    keys = HEADER_KEYS[flavor]
+    pieces = F.split(h, r"\s+(?=%s=)" % (r"\w+" if keys is None else "(?:" + "|".join(keys) + ")"))
+    return F.get(pieces, F.lit(0)), F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+
+def _field(fields: Column, key: str) -> Column:
+    """Value of the last piece with the key."""
+    return _present(F.trim(F.substr(F.try_element_at(F.filter(fields, lambda x: F.startswith(x, F.lit(f"{key}="))), F.lit(-1)), F.lit(len(key) + 2))))
+
+
+def _first_word(text: Column) -> tuple[Column, Column]:
+    """The first word of a text and what follows it."""
+    word = F.get(F.split(text, r"\s+", 2), F.lit(0))
+    return word, F.trim(F.substr(text, F.length(word) + 1))
+
+
+def _before_brackets(text: Column) -> tuple[Column, Column]:
+    """What stands before the last ' [', and the text in those brackets; null without closing bracket."""
+    tail = F.element_at(F.split(text, r"\s\["), -1)
+    closed = (F.length(tail) < F.length(text)) & F.contains(tail, F.lit("]"))
+    inside = F.array_join(F.slice(F.split(tail, "\\]"), 1, F.greatest(F.size(F.split(tail, "\\]")) - 1, F.lit(1))), "]")
+    return F.when(closed, F.trim(F.substr(text, F.lit(1), F.length(text) - F.length(tail) - 2))), F.when(closed, inside)
+
+
 def parse_header(header: Column | str, flavor: str = "auto") -> Column:
     """map(field -> text) of a FASTA header (a leading '>' is allowed), with the field 'flavor'.
 
-    'auto' takes the first flavour that fits, in the order of FLAVORS; null if none does.
+    Heads are cut at bars, blanks and brackets, the tail before each known key. 'auto' takes the first
+    flavour whose required parts are there, in the order of FLAVORS; null if none does.
     """
-    h = F.regexp_replace(_col(header), "^>", "")
-    entry = F.regexp_extract(h, UNIPROT, 3)
-    tail = F.regexp_extract(h, UNIMES, 3)
-    pairs = F.regexp_extract_all(tail, F.lit(r"(\w+=[^=]+?)(?=\s+\w+=|\s*$)"))
-    extra = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^(\w+)=", 1).alias("k"), F.trim(F.regexp_extract(p, r"^\w+=(.*)$", 1)).alias("v"))))
-    key = lambda k: _g(h, rf"\s{k}=([^=]+?)(?=\s+\w+=|\s*$)")
-    by = {
-        "uniprot": F.when(
-            h.rlike(UNIPROT) & entry.rlike("^[^_]+_[^_]+$"),
-            _map({"flavor": F.lit("uniprot"), "db": _g(h, UNIPROT), "id": _g(h, UNIPROT, 2), "entry": entry, "name": _g(h, UNIPROT, 4), "OS": key("OS"), "OX": key("OX"), "GN": key("GN"), "PE": key("PE"), "SV": key("SV"), "gene_id": F.regexp_extract(entry, "^([^_]+)_", 1), "taxon": F.regexp_extract(entry, "_([^_]+)$", 1)}),
-        ),
-        "uniref": F.when(h.rlike(UNIREF) & F.contains(h, F.lit("Tax")), _map({"flavor": F.lit("uniref"), "id": _g(h, UNIREF), "cluster": _g(h, UNIREF, 2), "n": _g(h, r"\sn=(\d+)"), "Tax": _g(h, r"\sTax=(.+?)(?=\s+\w+=|\s*$)"), "TaxID": _g(h, r"\sTaxID=(\S+)"), "RepID": _g(h, r"\sRepID=(\S+)")})),
-        "uniparc": F.when(h.rlike(UNIPARC), _map({"flavor": F.lit("uniparc"), "id": _g(h, UNIPARC), "status": _g(h, UNIPARC, 2)})),
-        "unimes": F.when(h.rlike(UNIMES) & F.contains(h, F.lit("OS=")) & F.contains(h, F.lit("SV=")) & ~F.contains(h, F.lit("PE=")), F.map_concat(_map({"flavor": F.lit("unimes"), "id": _g(h, UNIMES), "name": _g(h, UNIMES, 2)}), extra)),
-        "spd": F.when(h.rlike(SPD) & ~F.contains(h, F.lit("=")), _map({"flavor": F.lit("spd"), "id": _g(h, SPD), "gene": _g(h, SPD, 2), "gene_id": _g(h, SPD, 3), "taxon": _g(h, SPD, 4), "description": _g(h, SPD, 5)})),
-        "ncbi": F.when(h.rlike(NCBI), _map({"flavor": F.lit("ncbi"), "id": _g(h, NCBI), "description": _g(h, NCBI, 2), "taxon": _g(h, NCBI, 3)})),
-        "refseq": F.when(h.rlike(REFSEQ), _map({"flavor": F.lit("refseq"), "id": _g(h, REFSEQ), "description": _g(h, REFSEQ, 2), "taxon": _g(h, REFSEQ, 3)})),
-    }
+    h = F.trim(F.ltrim(_col(header), F.lit(">")))
+    bars = F.transform(F.split(h, "\\|"), lambda x: F.trim(x))
+    word, rest = _first_word(h)
+
+    def uniprot() -> Column:
+        head, fields = _head_and_fields(h, "uniprot")
+        first, name = _first_word(head)
+        parts = F.split(first, "\\|")
+        entry = F.split(F.get(parts, F.lit(2)), "_")
+        ok = (F.size(parts) == 3) & (F.size(entry) == 2) & ~F.exists(F.concat(parts, entry), lambda x: x == "")
+        named = {"db": F.get(parts, F.lit(0)), "id": F.get(parts, F.lit(1)), "entry": F.get(parts, F.lit(2)), "name": _present(name)}
+        return F.when(ok, _map({"flavor": F.lit("uniprot"), **named, **{k: _field(fields, k) for k in HEADER_KEYS["uniprot"]}, "gene_id": F.get(entry, F.lit(0)), "taxon": F.get(entry, F.lit(1))}))
+
+    def uniref() -> Column:
+        head, fields = _head_and_fields(h, "uniref")
+        first, cluster = _first_word(head)
+        values = {k: _field(fields, k) for k in HEADER_KEYS["uniref"]}
+        return F.when(values["Tax"].isNotNull() | values["TaxID"].isNotNull(), _map({"flavor": F.lit("uniref"), "id": first, "cluster": _present(cluster), **values}))
+
+    def uniparc() -> Column:
+        head, fields = _head_and_fields(h, "uniparc")
+        status = _field(fields, "status")
+        return F.when((F.size(fields) == 1) & (F.size(F.split(head, r"\s+")) == 1) & (F.size(F.split(status, r"\s+")) == 1), _map({"flavor": F.lit("uniparc"), "id": head, "status": status}))
+
+    def unimes() -> Column:
+        head, fields = _head_and_fields(h, "unimes")
+        first, name = _first_word(head)
+        keys = F.array_distinct(F.transform(fields, lambda x: F.substring_index(x, "=", 1)))
+        values = F.map_from_arrays(keys, F.transform(keys, lambda k: F.trim(F.substr(F.try_element_at(F.filter(fields, lambda x: F.startswith(x, F.concat(k, F.lit("=")))), F.lit(-1)), F.length(k) + 2))))
+        ok = F.array_contains(keys, "OS") & F.array_contains(keys, "SV") & ~F.array_contains(keys, "PE") & (name != "") & ~F.array_contains(keys, "id") & ~F.array_contains(keys, "name") & ~F.array_contains(keys, "flavor")
+        return F.when(ok, F.map_concat(_map({"flavor": F.lit("unimes"), "id": first, "name": name}), values))
+
+    def spd() -> Column:
+        gene = F.get(bars, F.lit(1))
+        gene_id, taxon = F.substring_index(gene, "_", 1), F.substr(gene, F.locate("_", gene) + 1)
+        ok = (F.size(bars) == 3) & ~F.exists(bars, lambda x: x == "") & F.contains(gene, F.lit("_")) & (gene_id != "") & (taxon != "") & ~F.contains(h, F.lit("="))
+        return F.when(ok, _map({"flavor": F.lit("spd"), "id": F.get(bars, F.lit(0)), "gene": gene, "gene_id": gene_id, "taxon": taxon, "description": F.get(bars, F.lit(2))}))
+
+    def ncbi() -> Column:
+        text, taxon = _before_brackets(rest)
+        return F.when(_present(text).isNotNull(), _map({"flavor": F.lit("ncbi"), "id": word, "description": text, "taxon": taxon}))
+
+    def refseq() -> Column:
+        head, taxon = F.get(F.split(h, "\\[", 2), F.lit(0)), _before_brackets(h)[1]
+        parts = F.split(head, "\\|", 3)
+        text = F.trim(F.get(parts, F.lit(2)))
+        ok = (F.get(parts, F.lit(0)) == "ref") & (F.get(parts, F.lit(1)) != "") & (text != "") & taxon.isNotNull()
+        return F.when(ok, _map({"flavor": F.lit("refseq"), "id": F.get(parts, F.lit(1)), "description": text, "taxon": taxon}))
+
+    by = {"uniprot": uniprot, "uniref": uniref, "uniparc": uniparc, "unimes": unimes, "spd": spd, "ncbi": ncbi, "refseq": refseq}
     if flavor != "auto":
         if flavor not in by:
             raise ValueError(f"unknown flavor {flavor!r}")
-        return by[flavor]
-    return F.coalesce(*[by[f] for f in FLAVORS])
+        return by[flavor]()
+    return F.coalesce(*[by[f]() for f in FLAVORS])
 
 
 def reverse_decoy(seq: Column | str, keep_nterm: bool = False, keep_cterm: bool = False) -> Column:

@@ -333,6 +333,35 @@ def q27_header_uniprot(spark: SparkSession, d: str) -> DataFrame:
     return m.select("header", *[F.element_at("m", k).alias(a) for k, a in (("flavor", "flavor"), ("id", "id"), ("GN", "gene"), ("taxon", "taxon"), ("OS", "organism"))], F.element_at("m", "OX").cast("int").alias("ox"), F.element_at("m", "name").alias("name"))
 
 
+_HEADERS = """hx as (select distinct p.protein as protein from (select unnest(h.proteins) as p from (select unnest(search_hit) as h from psms)) where regexp_matches(p.protein, '^[A-Za-z_]+[|][A-Z0-9]+[|][A-Z0-9]+$')),
+hp as (select split_part(protein, '|', 2) as acc, split_part(protein, '|', 3) as gene from hx)"""
+# flavour -> header and expected fields, all made of an accession (acc) and a gene
+_FLAVOURS = {
+    "uniprot": ("'tr|' || acc || '|' || gene || '_WHEAT Beta=' || lower(gene) || '-gliadin (Fragment) OS=Triticum aestivum (cv. A / B) OX=4565 GN=' || gene || '-3 PE=1 SV=2'", {"id": "acc", "description": "'Beta=' || lower(gene) || '-gliadin (Fragment)'", "taxon": "'WHEAT'", "gene_id": "gene", "extra": "gene || '-3'"}),
+    "uniref": ("'UniRef100_' || acc || ' Factor ' || gene || ' n=12 Tax=Pichia guilliermondii RepID=' || gene || '_PICGU'", {"id": "'UniRef100_' || acc", "description": "'Factor ' || gene", "taxon": "'Pichia guilliermondii'", "extra": "gene || '_PICGU'"}),
+    "uniparc": ("'UPI' || acc || ' status=inactive'", {"id": "'UPI' || acc", "extra": "'inactive'"}),
+    "unimes": ("'MES' || acc || ' Protein ' || gene || ' (Fragment) OS=marine metagenome Pep=J_' || gene || ' SV=1'", {"id": "'MES' || acc", "description": "'Protein ' || gene || ' (Fragment)'", "taxon": "'marine metagenome'", "extra": "'J_' || gene"}),
+    "spd": ("acc || '|' || gene || '_HUMAN| ' || lower(gene) || ' (Marker 1).'", {"id": "acc", "description": "lower(gene) || ' (Marker 1).'", "taxon": "'HUMAN'", "gene_id": "gene"}),
+    "ncbi": ("'NP_' || acc || '.1 factor ' || gene || ' [isoform 2] [Homo sapiens]'", {"id": "'NP_' || acc || '.1'", "description": "'factor ' || gene || ' [isoform 2]'", "taxon": "'Homo sapiens'"}),
+    "refseq": ("'ref|NP_' || acc || '.1|factor' || gene || ' [Mus musculus]'", {"id": "'NP_' || acc || '.1'", "description": "'factor' || gene", "taxon": "'Mus musculus'"}),
+}
+_HEADER_FIELDS = ("id", "description", "taxon", "gene_id", "extra")
+
+
+@query(f"with {_HEADERS} " + " union all ".join(f"select {h} as header, '{f}' as flavor, " + ", ".join(f"{e.get(k, 'null::varchar')} as {k}" for k in _HEADER_FIELDS) + " from hp" for f, (h, e) in _FLAVOURS.items()))
+def q28_header_auto(spark: SparkSession, d: str) -> DataFrame:
+    """Headers of all seven flavours, told apart and parsed; those of RefSeq by name, as their bars also fit an earlier flavour."""
+    p = table(spark, d, "psms").select(F.explode("search_hit").alias("h")).select(F.explode("h.proteins").alias("p")).select("p.protein")
+    p = p.filter(F.col("protein").rlike("^[A-Za-z_]+[|][A-Z0-9]+[|][A-Z0-9]+$")).distinct()
+    p = p.select(F.split_part("protein", F.lit("|"), F.lit(2)).alias("acc"), F.split_part("protein", F.lit("|"), F.lit(3)).alias("gene"))
+    known = p.select(F.explode(F.array(*[F.expr(h) for f, (h, _) in _FLAVOURS.items() if f != "refseq"])).alias("header")).withColumn("m", X.parse_header("header"))
+    m = known.unionByName(p.select(F.expr(_FLAVOURS["refseq"][0]).alias("header")).withColumn("m", X.parse_header("header", "refseq")))
+    any_of = lambda *keys: F.coalesce(*[F.try_element_at("m", F.lit(k)) for k in keys])
+    taxon = F.when(any_of("flavor") == "unimes", any_of("OS")).otherwise(any_of("taxon", "Tax"))
+    extra = any_of("GN", "RepID", "status", "Pep")
+    return m.select("header", any_of("flavor").alias("flavor"), any_of("id").alias("id"), any_of("description", "cluster", "name").alias("description"), taxon.alias("taxon"), any_of("gene_id").alias("gene_id"), extra.alias("extra"))
+
+
 # --- target-decoy statistics
 
 
