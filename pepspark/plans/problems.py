@@ -1,4 +1,4 @@
-"""Queries p1 to p5 on the domain tables, and their oracle SQL."""
+"""Queries p1 and p3 to p5 on the domain tables, and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pepspark.operators import nested, orphans, packed, percentiles, units
-from pepspark.session import materialize, table
+from pepspark.operators import nested, orphans, packed, units
+from pepspark.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,17 +24,6 @@ def p1_proteins(spark: SparkSession, d: str) -> DataFrame:
     return nested.search_hit_tables(table(spark, d, "psms"))["protein"].distinct()
 
 
-def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Per source and day, and per source from the days' counts put together."""
-    spectra = table(spark, d, "spectra").withColumn("day", F.date_format("acquired_at", "yyyy-MM-dd"))
-    # the counts are small and used four times: written once into the shared folder instead of counted again
-    counts = materialize(percentiles.value_counts(spectra, ["source", "day"], {"intensity": "intensity", "mz": "mz"}), "counts")
-    by_day = counts.withColumn("level", F.lit("source_day"))
-    by_source = percentiles.merge_counts(counts, ["source"]).withColumn("day", F.lit(None).cast("string")).withColumn("level", F.lit("source"))
-    out = percentiles.percentiles_of_counts(by_day.unionByName(by_source), ["level", "source", "day"])
-    return out.withColumn("value", F.round("value", 3))
-
-
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     targets = [orphans.Target(n, table(spark, d, n)) for n in ("unimod_modification", "unimod_position", "unimod_classification")]
     references = [
@@ -94,22 +83,6 @@ select distinct query_id, hit_no::int as hit_no, h.hit_rank as hit_rank, h.pepti
 _P1_PROTEINS = f"""with {_HITS}
 select distinct query_id, hit_no::int as hit_no, protein_no::int as protein_no, p.protein as protein, p.protein_descr as protein_descr, p.num_tol_term as num_tol_term, p.peptide_prev_aa as peptide_prev_aa, p.peptide_next_aa as peptide_next_aa from prot where p is not null"""
 
-_LG = percentiles._log_gamma(percentiles.DEFAULT_ERROR)
-_P2 = f"""with v as (
- select source, strftime(acquired_at, '%Y-%m-%d') as day, 'intensity' as field, unnest(intensity) as x from spectra
- union all select source, strftime(acquired_at, '%Y-%m-%d'), 'mz', unnest(mz) from spectra),
-b as (select source, day, field, case when x = 0 then 0 when isinf(x) then case when x > 0 then 2000000 else -2000000 end
-  when x > 0 then (ceil(ln(x) / {_LG!r}) + 1000000)::int else -(ceil(ln(-x) / {_LG!r}) + 1000000)::int end as bin from v where x is not null and not isnan(x)),
-c as (select 'source_day' as level, source, day, field, bin, count(*) as n from b group by all
- union all select 'source', source, null, field, bin, count(*) from b group by all),
-r as (select *, sum(n) over (partition by level, source, day, field order by bin) as upto, sum(n) over (partition by level, source, day, field) as total from c),
-t as (select unnest([1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0])::double as percent),
-k as (select *, greatest(1, ceil(total * (percent / 100))) as rank from r, t)
-select level, source, day, field, percent, total::bigint as n_values, bin, round(case when bin = 0 then 0.0::double when bin = 2000000 then 'inf'::double when bin = -2000000 then '-inf'::double
- else sign(bin) * exp((abs(bin) - 1000000) * {_LG!r}) * (2 / (1 + exp({_LG!r}))) end, 3) as value
-from k where rank > upto - n and rank <= upto"""
-
-
 def _p3(select: str) -> str:
     refs = " union all ".join(
         f"select '{t}' as src_table, id as row_id, '{f}' as ref_field, {f} as key, recorded_at as ts, '{p}' as target from {t} where {f} is not null"
@@ -174,7 +147,7 @@ _P5_VALUES = _p5(f"select param_id, quantity, a.unit as unit, unit_origin, round
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_hits, p1_proteins, p2_percentiles, p3_found, p3_monthly, p4_found, p4_charges, p5_found, p5_values)}
+    return {f.__name__: f for f in (p1_found, p1_hits, p1_proteins, p3_found, p3_monthly, p4_found, p4_charges, p5_found, p5_values)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -182,7 +155,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1,
         "p1_hits": _P1_HITS,
         "p1_proteins": _P1_PROTEINS,
-        "p2_percentiles": _P2,
         "p3_found": _p3("select * from f"),
         "p3_monthly": _p3("select src_table, ref_field, ref_month, orphan_kind, count(*) as n_orphans from f group by all"),
         "p4_found": _p4(2),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pepspark.operators import percentiles, tda
+from pepspark.operators import tda
 
 
 def watch_parquet(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
@@ -60,15 +60,6 @@ def qvalues_per_batch(score: str, is_decoy: str, sink: Callable[[DataFrame, int]
     return run
 
 
-def value_counts_per_batch(groups: list[str], values: dict[str, str], sink: Callable[[DataFrame, int], None], error: float = percentiles.DEFAULT_ERROR) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that hands on mergeable value counts; percentiles come from the merged counts."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        sink(percentiles.value_counts(batch, groups, values, error), number)
-
-    return run
-
-
 def _running(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
     n, d = state.get if state.exists else (0, 0)
     for f in frames:

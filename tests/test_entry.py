@@ -13,7 +13,7 @@ def test_names():
     import __spark_entry__ as e
 
     q, s = e.queries(), e.oracle_sql()
-    assert set(s) <= set(q) and {"p1_found", "p2_percentiles", "p3_found", "p4_found", "p5_found"} <= set(q)
+    assert set(s) <= set(q) and {"p1_found", "p3_found", "p4_found", "p5_found"} <= set(q)
     if (ROOT / "pepspark" / "llm" / "queries.py").exists():
         assert {"p6_ids", "p7_found", "p8_found"} <= set(q)
 
