@@ -1,11 +1,11 @@
 """Evaluation texts leaking into training text, by pigeonhole edit matching.
 
 Words are compared in a normal form (no markup, case, accents, punctuation or look-alike letters).
-A passage of ``passage_words`` words with at most ``budget`` edits falls into budget + 1 pieces of
-which one is untouched. Pieces are taken at every start and half as long as that needs, so that hits
-also show where a passage begins and ends near an edit; those of all test items form a small index. Documents are scanned for exact piece hits, hits that lie
-on one diagonal make a candidate passage, and Myers' bit-parallel edit distance verifies it; where the
-hits alone don't reach far enough, so it does every passage around a run of hits.
+A passage of ``passage_words`` words is there if at most ``budget`` of its words were changed, added or
+dropped, or if two parts of it that stand apart have no more edits between them. The gap is one more
+error: split into budget + 2 pieces, a passage keeps one of them whole. The pieces of all passages of
+all test items form the index. Documents are scanned for exact piece hits, and around each hit Myers'
+bit-parallel edit distance verifies the passages that hold the piece.
 """
 
 from __future__ import annotations
@@ -17,23 +17,28 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from pepspark.session import materialize
 
 PASSAGE_WORDS = 18
 BUDGET = 2
-#: Shortest part of a passage that counts when its parts stand apart; quotations of six words don't.
-PART_WORDS = 7
+#: Shortest part of a passage that counts when its parts stand apart.
+PART_WORDS = 6
 #: Words of test items that are searched for in one pass; more items are searched in several passes.
 BLOCK_WORDS = 2_000_000
-#: Characters of a text that are looked at together, and the overlap of such parts; a passage is far shorter.
+#: Characters of a text whose words are made at a time; longer texts are cut at white space.
 SEGMENT_CHARS = 1_000_000
-SEGMENT_OVERLAP = 20_000
+#: Words of texts that are searched at a time.
+BATCH_WORDS = 500_000
 
-_BLOCK_TAG = re.compile(r"</?(?:p|br|hr|div|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|pre|section|article)\b[^<>]{0,200}>", re.I)
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_BLOCK_TAG = re.compile(r"</?(?:p|br|hr|div|li|ul|ol|tr|td|th|table|h[1-6]|blockquote|pre|section|article)\b[^<>]*>", re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _HYPHEN_BREAK = re.compile(r"(?<=\w)[-‐]\s*\n\s*(?=\w)")
 _DROPPED = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 _ESCAPED_SPACE = re.compile(r"\\[nrt]")
@@ -61,19 +66,20 @@ def normal_words(text: str) -> list[str]:
     return [w for w in (w if w.isalnum() else _NOT_WORD.sub("", w) for w in text.split()) if w]
 
 
-def _segments(text: str) -> Iterator[str]:
-    """A text in parts of SEGMENT_CHARS that overlap and begin at white space; one part for all but very long texts."""
+def _words(text: str) -> list[str]:
+    """The words of a text of any length; those of very long texts are made part by part and kept once each."""
     if len(text) <= SEGMENT_CHARS:
-        yield text
-        return
+        return normal_words(text)
+    out: list[str] = []
+    known: dict[str, str] = {}
     at = 0
     while at < len(text):
-        yield text[at : at + SEGMENT_CHARS]
-        if at + SEGMENT_CHARS >= len(text):
-            return
-        step = at + SEGMENT_CHARS - SEGMENT_OVERLAP
-        gap = re.search(r"\s", text[step : step + SEGMENT_OVERLAP // 2])
-        at = step + (gap.start() if gap else 0)
+        end = at + SEGMENT_CHARS
+        gap = re.compile(r"\s").search(text, end)
+        end = gap.start() if gap else len(text)
+        out += [known.setdefault(w, w) for w in normal_words(text[at:end])]
+        at = end
+    return out
 
 
 def myers_distance(pattern: list[str], text: list[str]) -> int:
@@ -112,155 +118,140 @@ class ItemIndex:
     budget: int = BUDGET
     part_words: int = PART_WORDS
     words: dict[int, list[str]] = field(default_factory=dict)
-    pieces: dict[tuple, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
-    short: dict[tuple, list[int]] = field(default_factory=lambda: defaultdict(list))
+    vocabulary: dict[str, int] = field(default_factory=dict)
+    #: length -> hash of a piece -> [(item, word of the item)]; items shorter than a piece are one piece of their own length.
+    pieces: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=lambda: defaultdict(lambda: defaultdict(list)))
+    _sorted: dict[int, np.ndarray] = field(default_factory=dict)
 
     @property
     def piece_words(self) -> int:
-        return max(1, self.passage_words // (2 * (self.budget + 1)))
+        return max(1, self.passage_words // (self.budget + 2))
 
     def add(self, item_id: int, text: str | None) -> None:
-        w = normal_words(text or "")
-        q = self.piece_words
+        w = _words(text or "")
         if not w:
             return
         self.words[item_id] = w
-        for k in range(len(w) - q + 1):
-            self.pieces[tuple(w[k : k + q])].append((item_id, k))
-        if len(w) < q:
-            self.short[tuple(w)].append(item_id)
-
-    def allowed(self, n: int) -> int:
-        """Edits allowed in n words; a part shorter than a passage less one piece must be exact (but see _parts), one of two passages or more may have a quarter more."""
-        if n < self.passage_words - self.piece_words:
-            return 0
-        return n * self.budget * (5 if n >= 2 * self.passage_words else 4) // (4 * self.passage_words)
-
-    def needed(self, item_id: int) -> int:
-        """Words of the item that must lie between hits: a passage less one piece (lost if its end was edited), or the whole of a short item."""
-        return max(1, min(self.passage_words - self.piece_words, len(self.words[item_id])))
+        ids = np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w], np.int64)
+        q = min(self.piece_words, len(w))
+        for k, code in enumerate(self._codes(ids, q).tolist()):
+            self.pieces[q][code].append((item_id, k))
+        self._sorted.clear()
+
+    def edits(self, n: int) -> int:
+        """Edits allowed in a passage, or in the whole of an item of n words, if that is shorter."""
+        return n * self.budget // self.passage_words
+
+    @staticmethod
+    def _codes(ids: np.ndarray, q: int) -> np.ndarray:
+        """Hash of the q words that begin at each place."""
+        n = len(ids) - q + 1
+        code = np.zeros(max(n, 0), np.int64)
+        for k in range(q if n > 0 else 0):
+            code = code * np.int64(0x5851F42D4C957F2D) + ids[k : k + n] + 1
+        return code
+
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place, item, word of the item) of the exact piece hits; words that no item has are -1."""
+        known = np.cumsum(np.r_[0, ids < 0])
+        for q, table in self.pieces.items():
+            if len(ids) < q:
+                continue
+            if q not in self._sorted:
+                self._sorted[q] = np.sort(np.fromiter(table, np.int64, len(table)))
+            keys = self._sorted[q]
+            at = np.flatnonzero(known[q:] == known[:-q])
+            codes = self._codes(ids, q)[at]
+            there = keys[np.minimum(np.searchsorted(keys, codes), len(keys) - 1)] == codes
+            for j, code in zip(at[there].tolist(), codes[there].tolist()):
+                for item, i in table[code]:
+                    yield j, item, i
+
+    def search(self, texts: list[str | None]) -> list[tuple[int, int]]:
+        """(number of the text, item) of all texts that hold an item or a passage of it."""
+        out: list[tuple[int, int]] = []
+        lists: list[list[str]] = []
+        first, total = 0, 0
+        for k, text in enumerate(texts):
+            lists.append(_words(text or ""))
+            total += len(lists[-1])
+            if total >= BATCH_WORDS or k == len(texts) - 1:
+                out += [(first + t, item) for t, item in self._search(lists)]
+                first, total, lists = k + 1, 0, []
+        return out
 
     def found(self, text: str | None) -> list[int]:
-        """The items of which ``text`` holds the whole or a passage."""
-        covered: dict[int, set[int]] = defaultdict(set)
-        parts: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
-        out: list[int] = []
-        for part in _segments(text or ""):
-            w = normal_words(part)
-            for item, h in self._hits(w).items():
-                covered[item] |= self._covered(item, w, h)
-                if len(covered[item]) < self.needed(item) and self._holds_passage(item, w, h):
-                    covered[item] |= set(range(self.needed(item)))
-                if len(covered[item]) < self.needed(item):
-                    self._parts(item, w, h, parts[item], len(text) <= SEGMENT_CHARS)
-            for gram, items in self.short.items():
-                if any(tuple(w[k : k + len(gram)]) == gram for k in range(len(w) - len(gram) + 1)):
-                    out += items
-        return [*(item for item, c in covered.items() if len(c) >= self.needed(item) or self._holds_parts(parts[item])), *dict.fromkeys(out)]
-
-    def _parts(self, item: int, w: list[str], hits: list[tuple[int, int]], best: dict[tuple[int, int], int], whole: bool) -> None:
-        """Adds to ``best`` the least distance of parts (first word, words) that can make up a passage in two, at most ``budget``.
-
-        Only parts that hold a hit are looked at; in a ``whole`` text the hits must also have most of a passage.
-        """
-        words, q, m, e = self.words[item], self.piece_words, self.passage_words, self.budget
-        if len(words) < m or m < 2 * self.part_words:
-            return
-        if whole:  # each edit costs its word and at most a run shorter than a piece
-            at = sorted({i + k for _, i in hits for k in range(q)})
-            need = m - e * q
-            if not any(z - a < m for a, z in zip(at, at[need - 1 :])):
-                return
-        for n in range(self.part_words, m - self.part_words + 1):
-            near: dict[int, set[int]] = defaultdict(set)
-            for j, i in hits:
-                for a in range(max(0, i + q - n), min(i, len(words) - n) + 1):
-                    near[a].add(j + a - i)
-            for a, places in near.items():
-                d = best.get((a, n), e + 1)
-                for b in places:
-                    if d:
-                        d = min(d, myers_distance(words[a : a + n], w[max(0, b - e) : max(0, b + n + e)]))
-                if d <= e:
-                    best[a, n] = d
-
-    def _holds_parts(self, best: dict[tuple[int, int], int]) -> bool:
-        """Whether two parts side by side in the item make up a passage within the budget of both."""
-        return any(d + best.get((a + n, self.passage_words - n), self.budget + 1) <= self.budget for (a, n), d in best.items())
-
-    def _holds_passage(self, item: int, w: list[str], hits: list[tuple[int, int]]) -> bool:
-        """Whether a passage of the item (or all of a shorter item) is in the text with its allowed edits.
-
-        A passage with e edits keeps a run of at least 1/(e + 1) of its other words; around each run
-        that long every passage that holds as much of it is verified.
-        """
-        words, q = self.words[item], self.piece_words
+        return [item for _, item in self.search([text])]
+
+    def _search(self, lists: list[list[str]]) -> Iterator[tuple[int, int]]:
+        # all texts in one array, parted by words that no item has
+        get = self.vocabulary.get
+        ids = np.fromiter((i for w in lists for i in (*(get(x, -1) for x in w), -1)), np.int64, sum(len(w) + 1 for w in lists))
+        starts = np.cumsum([0] + [len(w) + 1 for w in lists])
+        by_pair: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for j, item, i in self.hits(ids):
+            t = int(np.searchsorted(starts, j, side="right")) - 1
+            by_pair[t, item].append((j - int(starts[t]), i))
+        known: dict[int, set[str]] = {}
+        for (t, item), places in by_pair.items():
+            if t not in known:
+                known = {t: set(lists[t])}
+            if self._holds(self.words[item], lists[t], known[t], sorted(places)):
+                yield t, item
+
+    def _holds(self, words: list[str], w: list[str], known: set[str], hits: list[tuple[int, int]]) -> bool:
+        """Whether the text holds a passage of the item (or all of a shorter item), in one piece or in two parts."""
         m = min(self.passage_words, len(words))
-        e = self.budget if m == self.passage_words else self.allowed(m)
-        run = max(q, -(-(m - e) // (e + 1)))
-        at = set(hits)
+        e = self.edits(m)
+        # a passage is possible only where all but e of its words occur in the text at all
+        missing = [0]
+        for x in words:
+            missing.append(missing[-1] + (x not in known))
+        possible = {a for a in range(len(words) - m + 1) if missing[a + m] - missing[a] <= e}
+        if not possible:
+            return False
+        at, done, q = set(hits), set(), min(self.piece_words, len(words))
         for j, i in hits:
             if (j - 1, i - 1) in at:
                 continue
             n = q
             while (j + n - q + 1, i + n - q + 1) in at:
                 n += 1
-            if n < run:
-                continue
-            for a in range(max(0, i - (m - run)), min(len(words) - m, i + n - run) + 1):
+            for a in range(max(0, i + n - m), min(i, len(words) - m) + 1) if n < m else range(i, i + 1):
                 b = j + a - i
-                if myers_distance(words[a : a + m], w[max(0, b - e) : max(0, b + m + e)]) <= e:
-                    return True
-        return False
+                if a in possible and (a, b) not in done:
+                    done.add((a, b))
+                    if n >= m or myers_distance(words[a : a + m], w[max(0, b - e) : max(0, b + m + e)]) <= e:
+                        return True
+        return m == self.passage_words >= 2 * self.part_words and self._apart(words, w, hits, possible)
 
-    def _hits(self, w: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """item -> [(word of the text, word of the item)] of the exact piece hits."""
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        pieces = self.pieces
-        for j, gram in enumerate(zip(*(w[k:] for k in range(self.piece_words)))):
-            got = pieces.get(gram)
-            if got:
-                for item, i in got:
-                    hits[item].append((j, i))
-        return hits
-
-    def _covered(self, item: int, w: list[str], hits: list[tuple[int, int]]) -> set[int]:
-        """Words of the item in verified parts."""
-        need = self.needed(item)
-        covered: set[int] = set()
-        for chain in self._chains(hits):
-            j0, j1 = chain[0][0], chain[-1][0] + self.piece_words
-            i0, i1 = min(i for _, i in chain), max(i for _, i in chain) + self.piece_words
-            n = i1 - i0
-            if n < min(self.part_words, need):
-                continue
-            pad = self.budget
-            if myers_distance(self.words[item][i0:i1], w[max(0, j0 - pad) : j1 + pad]) <= self.allowed(n):
-                covered.update(range(i0, i1))
-        return covered
-
-    def _chains(self, hits: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-        """Hits that follow each other in text and item with at most ``budget`` edits between them."""
-        done: list[list[tuple[int, int]]] = []
-        open_: list[list[tuple[int, int]]] = []
-        reach = self.piece_words + 2 * self.budget
-        for j, i in sorted(hits):
-            still, best, best_gap = [], None, None
-            for chain in open_:
-                pj, pi = chain[-1]
-                if j - pj > reach:
-                    done.append(chain)
-                    continue
-                still.append(chain)
-                shift = abs((j - pj) - (i - pi))
-                if 0 < i - pi <= reach and shift <= self.budget and (best is None or shift < best_gap):
-                    best, best_gap = chain, shift
-            open_ = still
-            if best is None:
-                open_.append([(j, i)])
-            else:
-                best.append((j, i))
-        return done + open_
+    def _apart(self, words: list[str], w: list[str], hits: list[tuple[int, int]], possible: set[int]) -> bool:
+        """Whether two parts side by side in the item make up a passage with the edits of both within the budget.
+
+        One of the two holds a hit and is verified around it, the other is looked for in the whole text.
+        """
+        m, e, q = self.passage_words, self.budget, self.piece_words
+        near: dict[tuple[int, int], int] = {}
+        far: dict[tuple[int, int], int] = {}
+        for j, i in hits:
+            for n in range(self.part_words, m - self.part_words + 1):
+                for a in range(max(0, i + q - n), min(i, len(words) - n) + 1):
+                    if a not in possible and a - (m - n) not in possible:
+                        continue
+                    b = j + a - i
+                    d = myers_distance(words[a : a + n], w[max(0, b - e) : max(0, b + n + e)])
+                    if d >= near.get((a, n), e + 1):
+                        continue
+                    near[a, n] = d
+                    for start, other in ((a, a + n), (a - (m - n), a - (m - n))):
+                        if start not in possible:
+                            continue
+                        key = (other, m - n)
+                        if key not in far:
+                            far[key] = myers_distance(words[other : other + m - n], w)
+                        if d + far[key] <= e:
+                            return True
+        return False
 
 
 def leaked_items(
@@ -276,14 +267,17 @@ def leaked_items(
 ) -> DataFrame:
     """Pairs of a document and a test item of which it holds the whole or a passage.
 
-    Documents are read once for each block of ``block_words`` words of items (the stated query set;
-    its index is what is sent to the tasks, so its size is bounded). Null and empty texts of either
-    side give no pairs; items shorter than a piece match only whole; a repeated document or item
+    Documents are read once for each block of about ``block_words`` words of items (the stated query set;
+    its index is what is sent to the tasks, so its size is bounded). With several blocks the pairs of each
+    are written before the next is read, so the driver holds one block at a time. Null and empty texts of either
+    side give no pairs; items of fewer words than a passage match as a whole, with edits in proportion; a repeated document or item
     counts once; other columns are ignored. The whole text of every document is searched.
     """
     sizes = items.agg(F.sum(F.length(text_col))).first()[0] or 0
     blocks = max(1, -(-int(sizes) // (block_words * 4)))
-    out_type = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
+    item_type = items.schema[item_id].dataType
+    out_type = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, item_type)])
+    out_arrow = to_arrow_type(item_type)
     result = None
     for b in range(blocks):
         part = items.filter(F.col(text_col).isNotNull()).select(item_id, text_col)
@@ -301,14 +295,12 @@ def leaked_items(
                     index.add(item, text)
                 built.append(index)
             for batch in batches:
-                ids, found = [], []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    for item in built[0].found(text):
-                        ids.append(k)
-                        found.append(item)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(found, out_arrow)], out_type.names)
-
-        out_arrow = pa.int64() if isinstance(items.schema[item_id].dataType, T.LongType) else (pa.int32() if isinstance(items.schema[item_id].dataType, T.IntegerType) else pa.string())
+                pairs = built[0].search(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k for k, _ in pairs], pa.int64())), pa.array([i for _, i in pairs], out_arrow)], out_type.names)
+
         pairs = docs.select(doc_id, text_col).filter(F.length(text_col) > 0).mapInArrow(search, out_type)
+        if blocks > 1:
+            pairs = materialize(pairs.distinct(), "leak")
+            held.destroy()
         result = pairs if result is None else result.unionByName(pairs)
     return result.distinct()
