@@ -8,7 +8,6 @@ from sorting the delimiters by depth. No record is visited in a Python loop.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +25,17 @@ for _ch, _k in (('"', _QUOTE), ("\\", _BACK), ("[", _OPEN_A), ("{", _OPEN_O), ("
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 13, 32]] = True
 
+# what a character after a backslash stands for; 0: nothing
+_ESCAPE = np.zeros(256, np.uint8)
+for _ch, _to in zip('"\\/bfnrt', '"\\/\b\f\n\r\t'):
+    _ESCAPE[ord(_ch)] = ord(_to)
+_HEX = np.full(256, -1, np.int64)
+for _ch in "0123456789abcdefABCDEF":
+    _HEX[ord(_ch)] = int(_ch, 16)
+_LITERAL = r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|null)$"
+#: Why a record is malformed.
+REASONS = ("", "quotes", "brackets", "escape", "syntax", "no container")
+
 #: Bytes of JSON text indexed at a time; bounds the worker's memory whatever the batch size is.
 SLICE_BYTES = 4_000_000
 
@@ -39,17 +49,64 @@ def _gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
+def _escapes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of the backslashes that begin an escape; runs of backslashes begin anew at each of ``starts``."""
+    back = np.flatnonzero(data == 92)
+    if not len(back):
+        return back
+    begin = np.r_[True, np.diff(back) != 1] | np.isin(back, starts)
+    run = back[np.maximum.accumulate(np.where(begin, np.arange(len(back)), 0))]
+    return back[(back - run) % 2 == 0]
+
+
+def _code_units(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """UTF-16 unit of each \\uXXXX that begins at ``at``; -1 if it isn't one."""
+    last = len(data) - 1
+    digits = [_HEX[data[np.minimum(at + k, last)]] for k in (2, 3, 4, 5)]
+    unit = ((digits[0] * 16 + digits[1]) * 16 + digits[2]) * 16 + digits[3]
+    return np.where((at + 5 <= last) & np.all([d >= 0 for d in digits], axis=0), unit, -1)
+
+
+def _unescape(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Texts (spans of ``data``) with their escapes replaced; all escapes must be valid. Half of a surrogate pair becomes U+FFFD."""
+    data = data.copy()
+    at = _escapes(data, offsets)
+    keep = np.ones(len(data), bool)
+    nxt = data[at + 1]
+    simple = at[nxt != 117]
+    data[simple] = _ESCAPE[data[simple + 1]]
+    keep[simple + 1] = False
+    u = at[nxt == 117]
+    if len(u):
+        unit = _code_units(data, u)
+        follows = np.r_[u[1:] == u[:-1] + 6, False]
+        high = (unit >= 0xD800) & (unit < 0xDC00) & follows & (np.r_[unit[1:], 0] >= 0xDC00) & (np.r_[unit[1:], 0] < 0xE000)
+        low = np.r_[False, high[:-1]]
+        point = np.where(high, 0x10000 + ((unit - 0xD800) << 10) + (np.r_[unit[1:], 0] - 0xDC00), np.where((unit >= 0xD800) & (unit < 0xE000), 0xFFFD, unit))
+        size = np.where(low, 0, np.where(point < 0x80, 1, np.where(point < 0x800, 2, np.where(point < 0x10000, 3, 4))))
+        lead = np.select([size == 1, size == 2, size == 3], [point, 0xC0 | (point >> 6), 0xE0 | (point >> 12)], 0xF0 | (point >> 18))
+        for k in range(6):
+            keep[u + k] = k < size
+        for k in range(4):
+            w = size > k
+            byte = lead if k == 0 else 0x80 | ((point >> np.maximum(6 * (size - 1 - k), 0)) & 0x3F)
+            data[u[w] + k] = byte[w]
+    ends = np.r_[0, np.cumsum(keep)]
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(ends[offsets].astype(np.int64)), pa.py_buffer(data[keep]))
+
+
 class StructuralIndex:
     """The slots (array elements and object members) of all records of one buffer.
 
     ``parent`` is the token number of the slot's container, ``child`` the token that opens the
     slot's own container (-1 for scalars), ``ordinal`` its place from 1.
-    Records that aren't valid JSON containers (unbalanced quotes or brackets) get no slots.
+    Malformed records get no slots; ``reason`` holds for every record why (0: well formed).
     """
 
     def __init__(self, buf: np.ndarray, bounds: np.ndarray):
+        self.reason = np.zeros(len(bounds) - 1, np.int8)
+        buf = self._without_malformed(buf, bounds)
         self.buf = buf
-        buf, bounds = self._without_malformed(buf, bounds)
         cls = _CLASS[buf]
         pos = np.flatnonzero(cls)
         quotes = self._quotes(buf, pos, cls)
@@ -103,32 +160,96 @@ class StructuralIndex:
         odd = (quotes - run_start[np.maximum(i, 0)]) % 2 == 1
         return quotes[~(touching & odd)]
 
-    def _without_malformed(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Blanks out records with an odd number of quotes or unbalanced brackets."""
+    def _without_malformed(self, buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Blanks out malformed records and notes why they are: odd quotes, unbalanced brackets, unknown escapes, wrong order of signs and values, no container."""
+        n = len(bounds) - 1
+        filled = np.add.reduceat(np.r_[~_SPACE[buf], False], np.minimum(bounds[:-1], len(buf)), dtype=np.int64) > 0 if n else np.zeros(0, bool)
+        filled &= np.diff(bounds) > 0
+        for check in (self._bad_quotes, self._bad_brackets, self._bad_escapes, self._bad_order):
+            reason, places = check(buf, bounds)
+            if len(places):
+                bad = np.zeros(n, bool)
+                bad[np.searchsorted(bounds, places, side="right") - 1] = True
+                self.reason[bad] = REASONS.index(reason)
+                buf = self._blank(buf, bounds, bad)
+        opened = np.zeros(n, bool)
+        opens = np.flatnonzero((_CLASS[buf] == _OPEN_A) | (_CLASS[buf] == _OPEN_O))
+        opened[np.searchsorted(bounds, opens, side="right") - 1] = True
+        bare = filled & ~opened & (self.reason == 0)
+        for i in np.flatnonzero(bare):  # a null record is none
+            bare[i] = buf[bounds[i] : bounds[i + 1]].tobytes().strip() != b"null"
+        self.reason[bare] = REASONS.index("no container")
+        return self._blank(buf, bounds, bare) if bare.any() else buf
+
+    def _bad_quotes(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[str, np.ndarray]:
+        cls = _CLASS[buf]
+        row = np.searchsorted(bounds, self._quotes(buf, np.flatnonzero(cls), cls), side="right") - 1
+        return "quotes", bounds[:-1][np.bincount(row, minlength=len(bounds) - 1) % 2 == 1]
+
+    def _tokens(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places and kinds of the structural characters outside of strings, and the quotes."""
         cls = _CLASS[buf]
         pos = np.flatnonzero(cls)
         quotes = self._quotes(buf, pos, cls)
+        tok = pos[cls[pos] > _BACK]
+        tok = tok[np.searchsorted(quotes, tok) % 2 == 0]
+        return tok, cls[tok], quotes
+
+    def _bad_brackets(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[str, np.ndarray]:
         n = len(bounds) - 1
-        row_of_q = np.searchsorted(bounds, quotes, side="right") - 1
-        bad = np.bincount(row_of_q, minlength=n)[:n] % 2 == 1
-        if bad.any():
-            buf = self._blank(buf, bounds, bad)
-            cls = _CLASS[buf]
-            pos = np.flatnonzero(cls)
-            quotes = self._quotes(buf, pos, cls)
-        br = pos[(cls[pos] >= _OPEN_A) & (cls[pos] <= _CLOSE)]
-        br = br[np.searchsorted(quotes, br) % 2 == 0]
-        row = np.searchsorted(bounds, br, side="right") - 1
-        step = np.where(cls[br] == _CLOSE, -1, 1)
+        tok, kind, _ = self._tokens(buf)
+        tok, kind = tok[kind <= _CLOSE], kind[kind <= _CLOSE]
+        row = np.searchsorted(bounds, tok, side="right") - 1
+        step = np.where(kind == _CLOSE, -1, 1)
         total = np.bincount(row, weights=step, minlength=n)[:n]
         run = np.cumsum(step)
         base = np.r_[0, np.cumsum(total)][row] if n else run
         low = np.zeros(n)
         np.minimum.at(low, row, run - base)
-        bad = (total != 0) | (low < 0)
-        if bad.any():
-            buf = self._blank(buf, bounds, bad)
-        return buf, bounds
+        return "brackets", bounds[:-1][(total != 0) | (low < 0)]
+
+    @staticmethod
+    def _bad_escapes(buf: np.ndarray, bounds: np.ndarray) -> tuple[str, np.ndarray]:
+        at = _escapes(buf, bounds[:-1])
+        nxt = buf[np.minimum(at + 1, len(buf) - 1)] if len(at) else at
+        return "escape", at[np.where(nxt == 117, _code_units(buf, at) < 0, _ESCAPE[nxt] == 0)] if len(at) else at
+
+    def _bad_order(self, buf: np.ndarray, bounds: np.ndarray) -> tuple[str, np.ndarray]:
+        """Tokens that are followed by what may not follow them, and values that are none."""
+        tok, kind, quotes = self._tokens(buf)
+        if not len(tok):
+            return "syntax", tok
+        is_open = (kind == _OPEN_A) | (kind == _OPEN_O)
+        depth = np.cumsum(np.where(is_open, 1, np.where(kind == _CLOSE, -1, 0)))
+        order = np.lexsort((np.arange(len(tok)), depth))
+        holder = np.empty(len(tok), np.int64)
+        holder[order] = order[np.maximum.accumulate(np.where(is_open[order], np.arange(len(tok)), 0))]
+        opener = np.empty(len(tok), np.int64)
+        order = np.lexsort((np.arange(len(tok)), depth + (kind == _CLOSE)))
+        opener[order] = order[np.maximum.accumulate(np.where(is_open[order], np.arange(len(tok)), 0))]
+        wrong_close = (kind == _CLOSE) & ((buf[tok] == 125) != (kind[opener] == _OPEN_O))
+        t = np.flatnonzero(depth > 0)
+        start, end = self._trim(buf, tok[t] + 1, tok[t + 1])
+        blank, here, after, in_object = start >= end, kind[t], kind[t + 1], kind[holder[t]] == _OPEN_O
+        opens = (after == _OPEN_A) | (after == _OPEN_O)
+        stops = (after == _COMMA) | (after == _CLOSE)
+        value = (stops & ~blank) | (opens & blank)
+        names = (after == _COLON) & ~blank
+        ok = np.select(
+            [here == _CLOSE, here == _COLON, in_object & (here == _COMMA), in_object, here == _COMMA],
+            [stops & blank, in_object & value, names, names | ((after == _CLOSE) & blank), value],
+            value | ((after == _CLOSE) & blank),
+        )
+        # what stands between two signs is one quoted text, or (but for names) a number, true, false or null
+        inside = np.searchsorted(quotes, end) - np.searchsorted(quotes, start)
+        first, last = buf[np.minimum(start, len(buf) - 1)], buf[np.maximum(end - 1, 0)]
+        quoted = (inside == 2) & (first == 34) & (last == 34)
+        plain = ok & ~blank & ~quoted
+        ok &= ~(plain & ((inside > 0) | (after == _COLON)))
+        check = np.flatnonzero(plain & ok)
+        if len(check):
+            ok[check] = np.asarray(pc.match_substring_regex(_gather(buf, start[check], end[check]), _LITERAL), dtype=bool)
+        return "syntax", np.concatenate([tok[t][~ok], tok[wrong_close]])
 
     @staticmethod
     def _blank(buf: np.ndarray, bounds: np.ndarray, bad: np.ndarray) -> np.ndarray:
@@ -148,12 +269,14 @@ class StructuralIndex:
 
     def _text(self, start: np.ndarray, end: np.ndarray) -> pa.Array:
         out = _gather(self.buf, start, end)
-        hit = pc.fill_null(pc.match_substring(out, "\\"), False)
-        if pc.any(hit).as_py():
-            values = out.to_pylist()
-            for i in np.flatnonzero(np.asarray(hit)):
-                values[i] = json.loads(f'"{values[i]}"')
-            out = pa.array(values, pa.large_string())
+        hit = np.flatnonzero(np.asarray(pc.match_substring(out, "\\"), dtype=bool))
+        if len(hit):
+            lens = (end - start)[hit]
+            offsets = np.r_[0, np.cumsum(lens)]
+            data = self.buf[np.repeat(start[hit] - offsets[:-1], lens) + np.arange(offsets[-1])]
+            mask = np.zeros(len(out), bool)
+            mask[hit] = True
+            out = pc.replace_with_mask(out, pa.array(mask), _unescape(data, offsets))
         return out
 
     def step(self, cur: np.ndarray, name: str) -> np.ndarray:
@@ -232,7 +355,7 @@ def _emit(ix: StructuralIndex, t: FlatTable) -> tuple[np.ndarray, np.ndarray, li
     return row, ords, columns
 
 
-def _shred_batches(batches: Iterator[pa.RecordBatch], tables: tuple[FlatTable, ...], n_ids: int, depth: int, width: int) -> Iterator[pa.RecordBatch]:
+def _shred_batches(batches: Iterator[pa.RecordBatch], tables: tuple[FlatTable, ...], n_ids: int, depth: int, width: int, malformed: str | None = None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(n_ids).cast(pa.large_string())
         text = pc.fill_null(text, "")
@@ -256,16 +379,24 @@ def _shred_batches(batches: Iterator[pa.RecordBatch], tables: tuple[FlatTable, .
                     cells = [columns[k].cast(pa.string()) if k < len(columns) else pa.nulls(len(row), pa.string()) for k in range(width)]
                     names = [batch.schema.names[k] for k in range(n_ids)] + ["table"] + [f"ord{d + 1}" for d in range(depth)] + [f"v{k + 1}" for k in range(width)]
                     yield pa.RecordBatch.from_arrays([*ids, pa.array([t.name] * len(row)), *place, *cells], names)
+                bad = np.flatnonzero(ix.reason)
+                if malformed and len(bad):
+                    ids = [batch.column(k).take(pa.array(bad + lo)) for k in range(n_ids)]
+                    why = pa.array([REASONS[r] for r in ix.reason[bad]])
+                    names = [batch.schema.names[k] for k in range(n_ids)] + ["table"] + [f"ord{d + 1}" for d in range(depth)] + [f"v{k + 1}" for k in range(width)]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array([malformed] * len(bad)), *[pa.nulls(len(bad), pa.int32())] * depth, why, *[pa.nulls(len(bad), pa.string())] * (width - 1)], names)
             lo = hi
 
 
-def shred(df: DataFrame, ids: list[str], record: Column | str, tables: list[FlatTable]) -> DataFrame:
+def shred(df: DataFrame, ids: list[str], record: Column | str, tables: list[FlatTable], malformed: str | None = "malformed") -> DataFrame:
     """Turn one nested column into linked flat rows in a single pass over ``df``.
 
     ``record`` is a JSON text, or a struct, array or map column (then serialised by the JVM).
     Result: the ``ids`` columns, ``table``, ``ord1..`` (places from 1 of each array level on the
     way, the link to the parent row) and ``v1..`` (the table's columns as text).
-    Null, empty and malformed records give no rows; null elements keep their place but give none;
+    A record that isn't a well-formed JSON array or object gives one row of the table ``malformed`` with the
+    reason (one of REASONS) in ``v1`` and no others; with ``malformed`` None it gives none.
+    Null and empty records give no rows; null elements keep their place but give none;
     repeated records give repeated rows; other columns of ``df`` are ignored, whatever their names.
     """
     col = F.col(record) if isinstance(record, str) else record
@@ -274,7 +405,7 @@ def shred(df: DataFrame, ids: list[str], record: Column | str, tables: list[Flat
         col = F.to_json(col, {"ignoreNullFields": "false"})
     src = df.select(*ids, col.alias("__record"))
     depth = max(t.path.count("[]") for t in tables)
-    width = max(len(t.columns) for t in tables)
+    width = max(1, *(len(t.columns) for t in tables))
     schema = T.StructType(
         [src.schema[k] for k in range(len(ids))]
         + [T.StructField("table", T.StringType())]
@@ -284,7 +415,7 @@ def shred(df: DataFrame, ids: list[str], record: Column | str, tables: list[Flat
     spec, n_ids = tuple(tables), len(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _shred_batches(batches, spec, n_ids, depth, width)
+        return _shred_batches(batches, spec, n_ids, depth, width, malformed)
 
     return src.mapInArrow(run, schema)
 
@@ -297,12 +428,14 @@ SEARCH_HIT_TABLES = [
     FlatTable("protein", ("[]", "proteins", "[]"), tuple((c,) for c in PROTEIN_COLUMNS)),
     FlatTable("score", ("[]", "search_score", "*"), (("$key",), ()), containers=False),
     FlatTable("modification", ("[]", "modification_info", "mod_aminoacid_mass", "[]"), (("mod_position",), ("mass",))),
+    FlatTable("analysis", ("[]", "analysis_result", "[]"), (("analysis",), ("probability",))),
+    FlatTable("ntt", ("[]", "analysis_result", "[]", "all_ntt_prob", "[]"), ((),), containers=False),
 ]
 
 
-def search_hit_rows(psms: DataFrame) -> DataFrame:
-    """All flat rows of ``psms.search_hit`` keyed by ``query_id``, tagged by table."""
-    return shred(psms, ["query_id"], "search_hit", SEARCH_HIT_TABLES)
+def search_hit_rows(psms: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The flat rows of ``psms.search_hit`` keyed by ``query_id``, tagged by table; of the tables ``names`` only, if given."""
+    return shred(psms, ["query_id"], "search_hit", [t for t in SEARCH_HIT_TABLES if names is None or t.name in names])
 
 
 def search_hit_children(psms: DataFrame) -> DataFrame:
@@ -322,6 +455,7 @@ def search_hit_children(psms: DataFrame) -> DataFrame:
             FlatTable("score", ("[]", "search_score", "*"), (("$key",),), containers=False),
             FlatTable("modification", ("[]", "modification_info", "mod_aminoacid_mass", "[]"), (("mod_position",), ("mass",))),
         ],
+        malformed=None,
     )
     t = F.col("table")
 
@@ -346,18 +480,31 @@ def search_hit_children(psms: DataFrame) -> DataFrame:
     )
 
 
-def search_hit_tables(psms: DataFrame) -> dict[str, DataFrame]:
-    """The typed flat tables hit, protein, score and modification; (query_id, hit_no) leads back to the hit."""
-    rows = search_hit_rows(psms)
+def search_hit_tables(psms: DataFrame, names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """The typed flat tables hit, protein, score, modification, analysis and ntt (or those of ``names``), and malformed.
+
+    (query_id, hit_no) leads back to the hit, (query_id, hit_no, analysis_no) from ntt to its analysis. Only the tables that are
+    asked for are emitted.
+    """
+    rows = search_hit_rows(psms, names)
 
     def cells(names: tuple[str, ...], types: dict[str, str]) -> list[Column]:
         return [F.col(f"v{i + 1}").try_cast(types.get(c, "string")).alias(c) for i, c in enumerate(names)]
 
     hit_types = {"hit_rank": "int", "calc_neutral_pep_mass": "double", "massdiff": "double", "num_tot_proteins": "int", "num_missed_cleavages": "int", "is_rejected": "boolean", "mod_nterm_mass": "double", "mod_cterm_mass": "double"}
-    link = ["query_id", F.col("ord1").alias("hit_no")]
-    return {
-        "hit": rows.filter("table = 'hit'").select(*link, *cells((*HIT_COLUMNS, "mod_nterm_mass", "mod_cterm_mass"), hit_types)),
-        "protein": rows.filter("table = 'protein'").select(*link, F.col("ord2").alias("protein_no"), *cells(PROTEIN_COLUMNS, {"num_tol_term": "int"})),
-        "score": rows.filter("table = 'score'").select(*link, *cells(("score_name", "score"), {"score": "double"})),
-        "modification": rows.filter("table = 'modification'").select(*link, F.col("ord2").alias("modification_no"), *cells(("mod_position", "mass"), {"mod_position": "int", "mass": "double"})),
+    second = {"protein": "protein_no", "modification": "modification_no", "analysis": "analysis_no", "ntt": "analysis_no"}
+    columns = {
+        "hit": ((*HIT_COLUMNS, "mod_nterm_mass", "mod_cterm_mass"), hit_types),
+        "protein": (PROTEIN_COLUMNS, {"num_tol_term": "int"}),
+        "score": (("score_name", "score"), {"score": "double"}),
+        "modification": (("mod_position", "mass"), {"mod_position": "int", "mass": "double"}),
+        "analysis": (("analysis", "probability"), {"probability": "double"}),
+        "ntt": (("probability",), {"probability": "double"}),
     }
+    out = {}
+    for name, (fields, types) in columns.items():
+        if names is None or name in names:
+            link = ["query_id", F.col("ord1").alias("hit_no")] + ([F.col("ord2").alias(second[name])] if name in second else []) + ([F.col("ord3").alias("ntt_no")] if name == "ntt" else [])
+            out[name] = rows.filter(F.col("table") == name).select(*link, *cells(fields, types))
+    out["malformed"] = rows.filter("table = 'malformed'").select("query_id", F.col("v1").alias("reason"))
+    return out

@@ -16,12 +16,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_hits(spark: SparkSession, d: str) -> DataFrame:
-    hits = nested.search_hit_tables(table(spark, d, "psms"))["hit"].distinct()
+    hits = nested.search_hit_tables(table(spark, d, "psms"), ("hit",))["hit"].distinct()
     return hits.select("query_id", "hit_no", "hit_rank", "peptide", "modified_peptide", "num_tot_proteins", "num_missed_cleavages", "is_rejected", *[F.round(c, 6).alias(c) for c in ("calc_neutral_pep_mass", "massdiff", "mod_nterm_mass", "mod_cterm_mass")])
 
 
 def p1_proteins(spark: SparkSession, d: str) -> DataFrame:
-    return nested.search_hit_tables(table(spark, d, "psms"))["protein"].distinct()
+    return nested.search_hit_tables(table(spark, d, "psms"), ("protein",))["protein"].distinct()
+
+
+def p1_scores(spark: SparkSession, d: str) -> DataFrame:
+    return nested.search_hit_tables(table(spark, d, "psms"), ("score",))["score"].distinct()
+
+
+def p1_modifications(spark: SparkSession, d: str) -> DataFrame:
+    return nested.search_hit_tables(table(spark, d, "psms"), ("modification",))["modification"].distinct()
+
+
+def p1_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Analyses with the probabilities of their list below them (ntt_no 0: the analysis itself)."""
+    t = nested.search_hit_tables(table(spark, d, "psms"), ("analysis", "ntt"))
+    own = t["analysis"].select("query_id", "hit_no", "analysis_no", F.lit(0).alias("ntt_no"), "analysis", "probability")
+    return own.unionByName(t["ntt"].withColumn("analysis", F.lit(None).cast("string"))).distinct()
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +98,14 @@ select distinct query_id, hit_no::int as hit_no, h.hit_rank as hit_rank, h.pepti
 _P1_PROTEINS = f"""with {_HITS}
 select distinct query_id, hit_no::int as hit_no, protein_no::int as protein_no, p.protein as protein, p.protein_descr as protein_descr, p.num_tol_term as num_tol_term, p.peptide_prev_aa as peptide_prev_aa, p.peptide_next_aa as peptide_next_aa from prot where p is not null"""
 
+_P1_SCORES = f"""with {_HITS}, s as (select query_id, hit_no, unnest(map_entries(h.search_score)) as e from live) select distinct query_id, hit_no::int as hit_no, e.key as score_name, e.value as score from s"""
+_P1_MODIFICATIONS = f"""with {_HITS}, n as (select query_id, hit_no, generate_subscripts(h.modification_info.mod_aminoacid_mass, 1) as k, unnest(h.modification_info.mod_aminoacid_mass) as m from live)
+select distinct query_id, hit_no::int as hit_no, k::int as modification_no, m.mod_position as mod_position, m.mass as mass from n where m is not null"""
+_P1_ANALYSIS = f"""with {_HITS}, a as (select query_id, hit_no, generate_subscripts(h.analysis_result, 1) as k, unnest(h.analysis_result) as a from live), b as (select * from a where a is not null)
+select query_id, hit_no::int as hit_no, k::int as analysis_no, 0::int as ntt_no, a.analysis as analysis, a.probability as probability from b
+union select query_id, hit_no::int, k::int, generate_subscripts(a.all_ntt_prob, 1)::int, null, unnest(a.all_ntt_prob) from b"""
+
+
 def _p3(select: str) -> str:
     refs = " union all ".join(
         f"select '{t}' as src_table, id as row_id, '{f}' as ref_field, {f} as key, recorded_at as ts, '{p}' as target from {t} where {f} is not null"
@@ -147,7 +170,7 @@ _P5_VALUES = _p5(f"select param_id, quantity, a.unit as unit, unit_origin, round
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_hits, p1_proteins, p3_found, p3_monthly, p4_found, p4_charges, p5_found, p5_values)}
+    return {f.__name__: f for f in (p1_found, p1_hits, p1_proteins, p1_scores, p1_modifications, p1_analysis, p3_found, p3_monthly, p4_found, p4_charges, p5_found, p5_values)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -155,6 +178,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1,
         "p1_hits": _P1_HITS,
         "p1_proteins": _P1_PROTEINS,
+        "p1_scores": _P1_SCORES,
+        "p1_modifications": _P1_MODIFICATIONS,
+        "p1_analysis": _P1_ANALYSIS,
         "p3_found": _p3("select * from f"),
         "p3_monthly": _p3("select src_table, ref_field, ref_month, orphan_kind, count(*) as n_orphans from f group by all"),
         "p4_found": _p4(2),

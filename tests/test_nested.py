@@ -112,3 +112,33 @@ def test_index_against_json_module():
     assert sorted(got, key=str) == sorted(want, key=str)
     members = ix.step(ix.mark(ix.child[slots]), "*")
     assert sorted(ix.key.take(pa.array(members)).to_pylist()) == sorted(k for r in records for v in r if isinstance(v, dict) for k in v)
+
+
+def test_malformed_records_are_reported(spark):
+    bad = {
+        '[{"a":"C:\\x"}]': "escape", '[{"a":"\\u12g4"}]': "escape", '[{"a":"x\\u12"}]': "escape", '[{"a" 1}]': "syntax", '[{"a":1 2}]': "syntax", '[1 2]': "syntax", '[{"a":}]': "syntax",
+        '[{a:1}]': "syntax", '[{"a":tru}]': "syntax", '[{"a":"x""y"}]': "syntax", '[1,]': "syntax", '[,1]': "syntax", '[{"a":1,}]': "syntax", '[{"a":1}}': "syntax", '["a":1]': "syntax", '[[1] 2]': "syntax",
+        '[01]': "syntax", '[{"a":[1}]': "brackets", '{"a":"unclosed}': "quotes", "3": "no container", '"a"': "no container",
+    }
+    good = ['[{"a":"ok"}]', '[{"a":"tab\there \\" \\\\ \\u00e9 \\ud83d\\ude00 \\ud800 z"}]', "[]", "{}", ' [ ] ', '[{}]', '[{"a":-1.5e+3},{"a":null},[],[[]]]', "null", None, ""]
+    df = spark.createDataFrame([(i, t, 7) for i, t in enumerate([*bad, *good])], "id int, j string, v1 int")
+    out = N.shred(df, ["id"], "j", [N.FlatTable("a", ("[]",), (("a",),))]).collect()
+    assert {r.id: r.v1 for r in out if r.table == "malformed"} == {i: why for i, why in enumerate(bad.values())}
+    n = len(bad)
+    assert {(r.id - n, r.ord1, r.v1) for r in out if r.table == "a"} == {(0, 1, "ok"), (1, 1, 'tab\there " \\ é 😀 \ufffd z'), (5, 1, None), (6, 1, "-1.5e+3"), (6, 2, None), (6, 3, None), (6, 4, None)}
+    assert N.shred(df, ["id"], "j", [N.FlatTable("a", ("[]",), (("a",),))], malformed=None).filter("table <> 'a'").count() == 0
+
+
+def test_escapes_against_json_module():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "é", "€", "😀", "\\", '"', "/", "\n", "\t", "\b", "\u2028", "ÿ"]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    raws = [json.dumps([t], ensure_ascii=rng.random() < 0.6).encode() for t in texts]
+    buf, bounds = np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+    ix = N.StructuralIndex(buf, bounds)
+    assert not ix.reason.any()
+    assert ix.scalars(ix.step(ix.mark(ix.roots), "[]")).to_pylist() == texts
+
+
+def test_analysis_and_reports(spark):
+    t = N.search_hit_tables(spark.createDataFrame(ROWS, SCHEMA), ("hit",))
+    assert set(t) == {"hit", "malformed"} and t["malformed"].count() == 0 and t["hit"].select("query_id", "hit_no").distinct().count() == 3
