@@ -1,10 +1,12 @@
 """Several values packed in one field: one row per value, with its place kept.
 
-Ordinary characters are masked (a run of digits becomes '9', or '0' if it is all zeros), which
-leaves the field's delimiter skeleton. There are few distinct skeletons; for each of them once, a
-rule says which runs of digits are values and what their sign is. The rules go back to the rows by
-a join on the skeleton, broadcast if the counted number of skeletons allows, and the values are
-taken out by place, all in the JVM.
+Ordinary characters are masked (a run of digits becomes '9', or '0' if it is all zeros; a run of
+letters 'a') and the signs, separators, blanks and quotes of one class become one sign, which
+leaves the field's delimiter skeleton. There are far fewer distinct skeletons than fields; for each
+of them once, a rule says which runs of digits are values and what their sign is. The rules go back
+to the rows by a join on the skeleton, broadcast if the counted number of skeletons allows, and the
+values are taken out by place, all in the JVM. :func:`unpack_texts` does the same for texts, where
+quotes may protect delimiters.
 """
 
 from __future__ import annotations
@@ -20,12 +22,22 @@ from pyspark.sql import functions as F
 RULE_BYTES = 32 * 1024 * 1024
 _MINUS = "-−⁻‐‑‒–﹣－"
 _PLUS = "+⁺﹢＋"
-_VALUE = re.compile(rf"(?<![\w.])(?:[^\W\d_]+\s*[=:]\s*)?([{re.escape(_PLUS + _MINUS)}]?)([09])(?:\.([09]))?([{re.escape(_PLUS + _MINUS)}]?)")
+_QUOTES = "\"'`´“”„‟‘’‚‛«»‹›"
+_SEPARATORS = ";|/&:，；、"
+_VALUE = re.compile(r"(?<![\w.])(?:a\s*=\s*)?([+-]?)([09])(?:\.([09]))?([+-]?)")
 
 
 def skeleton(text: Column) -> Column:
-    """The field with its ordinary characters masked."""
-    return F.regexp_replace(F.regexp_replace(text, "[0-9]*[1-9][0-9]*", "9"), "0+", "0")
+    """The field with its ordinary characters masked and its signs reduced to their classes.
+
+    Quotes are left out, as they protect nothing in a list of numbers; blanks beside a separator too.
+    """
+    one = F.regexp_replace(F.regexp_replace(text, "[0-9]*[1-9][0-9]*", "9"), "0+", "0")
+    one = F.regexp_replace(one, r"\p{L}+\s*[=:]\s*", "a=")
+    one = F.regexp_replace(one, r"(?<!\p{L})\p{L}+(?![\p{L}=])", "a")
+    same = _MINUS + _PLUS + _SEPARATORS + _QUOTES
+    one = F.translate(one, same, "-" * len(_MINUS) + "+" * len(_PLUS) + "," * len(_SEPARATORS))
+    return F.trim(F.regexp_replace(F.regexp_replace(one, r"\s+", " "), r" ?(?:,|\ba\b(?! ?=)) ?", ","))
 
 
 def signed_number_rule(skel: str) -> list[tuple[int, int]]:
@@ -39,7 +51,7 @@ def signed_number_rule(skel: str) -> list[tuple[int, int]]:
     out = []
     for m in _VALUE.finditer(skel):
         if m[2] == "9":
-            out.append((runs[m.start(2)], -1 if (m[1] or m[4]) in tuple(_MINUS) else 1))
+            out.append((runs[m.start(2)], -1 if (m[1] or m[4]) == "-" else 1))
     return out
 
 
@@ -70,3 +82,64 @@ def unpack_numbers(df: DataFrame, ids: list[str], field: str, at_least: int = 1,
         (F.col("__pos") + 1).alias("pos"),
         (F.expr("try_cast(element_at(__runs, __r.run) as bigint)") * F.col("__r.sign")).alias("value"),
     )
+
+
+#: Mask of a run of blanks only.
+_BLANK = "\1"
+
+
+def text_rule(skel: str, delimiters: str, quotes: str) -> list[tuple[int, int]]:
+    """The values of a skeleton of texts, as (first token from 1, number of tokens).
+
+    A quote that begins a value protects everything up to the same quote before a delimiter or the
+    end; without such a quote it is an ordinary character. Values without any ordinary run are empty and left out.
+    """
+    out, i, n = [], 0, len(skel)
+    while i < n:
+        if skel[i] == _BLANK:
+            i += 1
+            continue
+        j = i + 1
+        if skel[i] in quotes:
+            ends = [k for k in range(i + 1, n) if skel[k] == skel[i] and skel[k + 1 :].lstrip(_BLANK)[:1] in ("", *delimiters)]
+            if ends:
+                if "a" in skel[i + 1 : ends[0]]:
+                    out.append((i + 2, ends[0] - i - 1))
+                j = ends[0] + 1
+                while j < n and skel[j] not in delimiters:
+                    j += 1
+                i = j + 1
+                continue
+        j = i
+        while j < n and skel[j] not in delimiters:
+            j += 1
+        if "a" in skel[i:j]:
+            out.append((i + 1, j - i))
+        i = j + 1
+    return out
+
+
+def unpack_texts(df: DataFrame, ids: list[str], field: str, delimiters: str = ",;|\t\n", quotes: str = "\"'", at_least: int = 1, broadcast: bool | None = None) -> DataFrame:
+    """Texts packed in a field: ids, pos (from 1), value (without blanks around it and without its quotes).
+
+    Delimiters may be mixed within a field and stand inside quoted values; blanks around delimiters and quotes don't count.
+    Null, empty and blank fields give no rows, empty pieces take no place, equal values each count, a field repeated
+    under the same ids counts once.
+    """
+    special = "".join(re.escape(c) for c in delimiters + quotes)
+    src = df.select(*ids, F.regexp_replace(F.col(field), _BLANK, " ").alias("__text")).filter(F.trim("__text") != "")
+    blanks = F.regexp_replace("__text", rf"(?<![^{special}])(?:(?![{special}])\s)+(?![^{special}])", _BLANK)
+    src = src.withColumn("skel", F.regexp_replace(blanks, f"[^{special}{_BLANK}]+", "a"))
+    skels = src.select("skel").distinct()
+    if broadcast is None:
+        broadcast = (skels.agg(F.sum(F.length("skel") * 4 + 64)).first()[0] or 0) <= RULE_BYTES
+
+    def rules(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"skel": f["skel"], "rule": [[{"first": a, "n": n} for a, n in text_rule(x, delimiters, quotes)] for x in f["skel"]]})
+
+    known = skels.mapInPandas(rules, "skel string, rule array<struct<first:int,n:int>>").filter(F.size("rule") >= max(1, at_least))
+    rows = src.join(F.broadcast(known) if broadcast else known, "skel")
+    rows = rows.select(*ids, F.regexp_extract_all("__text", F.lit(f"([^{special}]+|[{special}])")).alias("__tokens"), "rule").distinct()
+    value = F.array_join(F.slice("__tokens", F.col("__r.first"), F.col("__r.n")), "")
+    return rows.select(*ids, "__tokens", F.posexplode("rule").alias("__pos", "__r")).select(*ids, (F.col("__pos") + 1).alias("pos"), F.regexp_replace(value, r"^\s+|\s+$", "").alias("value"))
