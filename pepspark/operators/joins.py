@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import ClassVar
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from pepspark.functions.seq import let
-from pepspark.session import BROADCAST_LIMIT
+from pepspark.session import BROADCAST_LIMIT, materialize
 
-#: Residues of a piece of a long sequence.
-PIECE = 96
+#: Rows of the timeline in a stretch of the nearest join, and most stretches of one timeline.
+STRETCH_ROWS = 4096
+MAX_STRETCHES = 1_000_000
 
 
 def tolerance_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, rtol: float | None = None, atol: float | None = None, on: list[str] | None = None) -> DataFrame:
@@ -47,7 +54,7 @@ def nearest_join(probes: DataFrame, timeline: DataFrame, probe_value: str, line_
     """For each probe the row of the timeline with the nearest value; ties go to the smaller value.
 
     As-of in both directions by one sort: probes and timeline are put in one order per stretch of
-    ``width`` (default: a 4096th of the timeline's span), the last and next timeline rows are carried along, and those of
+    ``width`` (default: so that a stretch holds about STRETCH_ROWS rows of the timeline), the last and next timeline rows are carried along, and those of
     the stretches before and after are added as each stretch's edge rows. Columns other than ``on``
     must differ; probes with a null value, or without any timeline row, are left out.
     """
@@ -57,7 +64,8 @@ def nearest_join(probes: DataFrame, timeline: DataFrame, probe_value: str, line_
         if not n:
             fields = [*(probes.schema[c] for c in on), *(f for f in probes.schema if f.name not in on), *(f for f in timeline.schema if f.name not in on)]
             return probes.sparkSession.createDataFrame([], StructType(fields))
-        width = max((float(hi) - float(lo)) / 4096, 1e-9)
+        stretches = min(max(int(n) // STRETCH_ROWS, 1), MAX_STRETCHES)
+        width = max((float(hi) - float(lo)) / stretches, 1e-9)
     keys = [*on, "__s"]
     cell = lambda v: F.floor(F.col(v) / F.lit(width)).cast("bigint")
     payload = F.struct(F.col(line_value).cast("double").alias("__v"), *[F.col(c) for c in timeline.columns if c not in on])
@@ -65,8 +73,10 @@ def nearest_join(probes: DataFrame, timeline: DataFrame, probe_value: str, line_
     edges = line.groupBy(*keys).agg(F.min("__row").alias("__first"), F.max("__row").alias("__last"))
     stretches = probes.filter(F.col(probe_value).isNotNull()).select(*on, cell(probe_value).alias("__s")).distinct()
     both = stretches.join(edges, keys, "full")
-    order = (Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))).orderBy("__s")
-    both = both.withColumn("__before", F.last("__last", True).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__after", F.first("__first", True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    group = Window.partitionBy(*on) if on else Window.partitionBy(F.lit(0))  # one row per stretch
+    before = F.last("__last", True).over(group.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("__first", True).over(group.orderBy(F.col("__s").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("__before", before).withColumn("__after", after)
     t = probes.filter(F.col(probe_value).isNotNull()).withColumn("__s", cell(probe_value)).withColumn("__probe", F.struct(*[F.col(c) for c in probes.columns if c not in on]))
     row_type = line.schema["__row"].dataType
     events = t.select(*keys, F.col(probe_value).cast("double").alias("__at"), F.lit(1).alias("__kind"), "__probe", F.lit(None).cast(row_type).alias("__row")).unionByName(
@@ -74,7 +84,8 @@ def nearest_join(probes: DataFrame, timeline: DataFrame, probe_value: str, line_
     )
     w = Window.partitionBy(*keys).orderBy("__at", "__kind")
     down = F.last("__row", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    up = F.first("__row", True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy(*keys).orderBy(F.col("__at").desc(), F.col("__kind").desc())  # a running frame from the other end, not one that shrinks
+    up = F.last("__row", True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     placed = events.withColumn("__down", down).withColumn("__up", up).filter("__kind = 1").join(both.select(*keys, "__before", "__after"), keys, "left")
     candidates = F.array_compact(F.array("__down", "__before", "__up", "__after"))
     best = F.array_sort(F.transform(candidates, lambda r: F.struct(F.abs(r["__v"] - F.col("__at")).alias("e"), r["__v"].alias("v"), r.alias("r"))))
@@ -111,43 +122,133 @@ def resolve_reference_lists(df: DataFrame, id_col: str, refs_col: str, table: Da
     return df.join(rows, id_col, "left")
 
 
-def coverage_counts(proteins: DataFrame, peptides: DataFrame, protein_id: str, sequence: str, peptide: str, seed_length: int = 6) -> DataFrame:
-    """Occurrences (overlapping ones too) of peptides in proteins: protein_id, start (from 0), length.
+@dataclass
+class PeptideIndex:
+    """Peptides by the length of their seed: the longest power of two of residues that they begin with.
 
-    Peptides (broadcast if their counted size allows) are joined on the hash of their first ``seed_length`` residues with those of every position of the
-    proteins, then compared in full; shorter peptides are joined by their own length. Repeated
-    peptides count once; null and empty ones match nothing.
+    A hash is a difference of prefix sums of values times powers of an odd base modulo 2^64, so the hashes of all
+    pieces of a text, of whatever length, are a few array operations. There is one pass over a text for each seed length.
+    ``by_seed``: seed length -> (sorted seed hashes, hashes of the whole peptides, their bytes' lengths, their texts).
     """
-    pep = peptides.select(F.col(peptide).alias("__pep")).filter(F.length("__pep") > 0).distinct().withColumn("__k", F.least(F.length("__pep"), F.lit(seed_length))).withColumn("__seed", F.xxhash64(F.substring(F.col("__pep"), F.lit(1), F.col("__k"))))
-    spots = proteins.select(F.col(protein_id), F.col(sequence).alias("__seq")).filter(F.length("__seq") > 0)
-    sizes = pep.agg(F.collect_set("__k"), F.max(F.length("__pep")), F.sum(F.length("__pep") + 80)).first()
-    small = (sizes[2] or 0) <= BROADCAST_LIMIT
-    lengths, longest = sizes[0] or [seed_length], sizes[1] or seed_length  # at most seed_length different ones
 
-    # substring() counts from the text's start, so long sequences are cut into overlapping pieces first
-    def pieces(seq: Column) -> Column:
-        count = F.floor((F.length(seq) - 1) / PIECE).cast("int")
-        return F.transform(F.sequence(F.lit(0), count), lambda i: F.struct((i * PIECE).alias("from"), F.substring(seq, i * PIECE + 1, F.lit(PIECE + longest - 1)).alias("text")))
+    by_seed: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]
+
+    #: Bytes of one pass over texts.
+    SLICE: ClassVar[int] = 1_000_000
+    _BASE: ClassVar[int] = 0x9E3779B97F4A7C15
+    _VALUES: ClassVar[np.ndarray] = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n + 1, np.uint64(base), np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    @classmethod
+    def _sums(cls, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums, and what takes the place out of a hash."""
+        sums = np.r_[np.uint64(0), np.cumsum(cls._VALUES[buf] * cls._powers(cls._BASE, len(buf))[:-1], dtype=np.uint64)]
+        return sums, cls._powers(pow(cls._BASE, -1, 1 << 64), len(buf))
+
+    @classmethod
+    def build(cls, peptides: list[str]) -> PeptideIndex:
+        raws = [p.encode() for p in peptides]
+        out = {}
+        if raws:
+            lens = np.array([len(r) for r in raws])
+            begins = np.cumsum(np.r_[0, lens[:-1]])
+            sums, unit = cls._sums(np.frombuffer(b"".join(raws), np.uint8))
+            seeds = 1 << np.floor(np.log2(lens)).astype(np.int64)
+            texts = pa.array(raws, pa.large_binary())
+            for k in np.unique(seeds):
+                i = np.flatnonzero(seeds == k)
+                code = (sums[begins[i] + k] - sums[begins[i]]) * unit[begins[i]]
+                i = i[np.argsort(code, kind="stable")]
+                out[int(k)] = (np.sort(code), (sums[begins[i] + lens[i]] - sums[begins[i]]) * unit[begins[i]], lens[i], texts.take(pa.array(i)))
+        return cls(out)
 
-    cut = let(F.col("__seq"), pieces)  # bound, as the optimizer would put the sequence's own expression into the loop
-    spots = spots.select(protein_id, F.explode(cut).alias("p")).select(protein_id, "p.from", "p.text")
+    def search(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+        """(row, start, length, peptide) of the hits, slice by slice; ``start`` and ``length`` count characters."""
+        rows, parts, size = [], [], 0
+        for i, text in enumerate(texts.to_pylist()):
+            rows.append(i)
+            parts.append((text or "").encode())
+            size += len(parts[-1]) + 1
+            if size >= self.SLICE or i == len(texts) - 1:
+                yield from self._search(np.array(rows), parts)
+                rows, parts, size = [], [], 0
+
+    def _search(self, rows: np.ndarray, parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+        raw = b"\n".join(parts)
+        buf = np.frombuffer(raw, np.uint8)
+        lens = np.array([len(p) for p in parts])
+        begins = np.cumsum(np.r_[0, lens[:-1] + 1])
+        sums, unit = self._sums(buf)
+        owner = np.repeat(np.arange(len(parts)), lens + 1)[: len(buf)]
+        last = (begins + lens)[owner]
+        chars = None if raw.isascii() else np.cumsum(np.r_[0, (buf & 0xC0) != 0x80])
+        for k, (codes, wholes, sizes, texts) in self.by_seed.items():
+            if k > len(buf):
+                continue
+            here = (sums[k:] - sums[:-k]) * unit[: len(buf) - k + 1]
+            first = np.minimum(np.searchsorted(codes, here), len(codes) - 1)
+            hit = np.flatnonzero((codes[first] == here) & (np.arange(len(here)) + k <= last[: len(here)]))
+            n = np.searchsorted(codes, here[hit], side="right") - first[hit]
+            which = np.repeat(first[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            hit = np.repeat(hit, n)
+            inside = hit + sizes[which] <= last[hit]
+            hit, which = hit[inside], which[inside]
+            same = (sums[hit + sizes[which]] - sums[hit]) * unit[hit] == wholes[which]
+            hit, which = hit[same], which[same]
+            if not len(hit):
+                continue
+            text, size = texts.take(pa.array(which)), sizes[which]
+            offsets = np.r_[0, np.cumsum(size)]
+            span = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(hit), [None, pa.py_buffer(offsets), pa.py_buffer(buf[np.repeat(hit - offsets[:-1], size) + np.arange(offsets[-1])])])
+            true = pc.equal(text, span)
+            hit, size, text = hit[np.asarray(true)], size[np.asarray(true)], text.filter(true)
+            row = owner[hit]
+            start = hit - begins[row] if chars is None else chars[hit] - chars[begins[row]]
+            yield rows[row], start, size if chars is None else chars[hit + size] - chars[hit], text.cast(pa.large_string()).cast(pa.string())
+
+
+def coverage_counts(proteins: DataFrame, peptides: DataFrame, protein_id: str, sequence: str, peptide: str, block_bytes: int = BROADCAST_LIMIT) -> DataFrame:
+    """Occurrences (overlapping ones too) of peptides in proteins: protein_id, start (from 0), length, peptide.
+
+    Rolling hashes of the texts are compared with those of the peptides (see PeptideIndex) in Arrow batches; hits are compared in full. The peptides' hashes are sent to the tasks in blocks of at most ``block_bytes`` of text
+    (by hash of the peptide), and the proteins are read once for each block; no row is made for a position that
+    holds no peptide. Peptides of any length count; repeated ones count once; null and empty ones match nothing.
+    """
+    pep = peptides.select(F.col(peptide).alias("peptide")).filter(F.length("peptide") > 0).distinct()
+    size = pep.agg(F.sum(F.octet_length("peptide") + 16)).first()[0] or 0
+    blocks = max(1, -(-int(size) // block_bytes))
+    if blocks > 1:
+        pep = materialize(pep, "peptides")
+    schema = StructType([proteins.schema[protein_id], StructField("start", IntegerType()), StructField("length", IntegerType()), StructField("peptide", StringType())])
+    out = None
+    for b in range(blocks):
+        part = pep if blocks == 1 else pep.filter(F.pmod(F.xxhash64("peptide"), F.lit(blocks)) == b)
+        held = proteins.sparkSession.sparkContext.broadcast(PeptideIndex.build(part.toArrow().column(0).to_pylist()))
 
-    def spots_of(k: int) -> Column:
-        last = F.least(F.length("text") - k, F.lit(PIECE - 1))
-        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct((F.col("from") + i).alias("at"), F.lit(k).alias("k"), F.xxhash64(F.substring(F.col("text"), i + 1, F.lit(k))).alias("seed"), F.substring(F.col("text"), i + 1, F.lit(longest)).alias("rest")))
+        def find(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row, start, length, text in held.value.search(batch.column(1)):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(start, pa.int32()), pa.array(length, pa.int32()), text], schema.names)
 
-    grams = F.concat(*[spots_of(k) for k in sorted(lengths)])
-    found = spots.select(protein_id, F.explode(grams).alias("g")).select(protein_id, F.col("g.at").alias("start"), F.col("g.k").alias("__k"), F.col("g.seed").alias("__seed"), F.col("g.rest").alias("__rest"))
-    hits = found.join(F.broadcast(pep) if small else pep, ["__k", "__seed"]).filter(F.startswith(F.col("__rest"), F.col("__pep")))
-    return hits.select(protein_id, "start", F.length("__pep").alias("length"), F.col("__pep").alias("peptide"))
+        hits = proteins.select(protein_id, sequence).filter(F.length(sequence) > 0).mapInArrow(find, schema)
+        if blocks > 1:
+            hits = materialize(hits, "coverage")
+            held.destroy()
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def coverage(proteins: DataFrame, peptides: DataFrame, protein_id: str, sequence: str, peptide: str) -> DataFrame:
     """protein_id, n_covered, coverage (share of residues under at least one peptide). Empty sequences have null coverage."""
     hits = coverage_counts(proteins, peptides, protein_id, sequence, peptide)
-    w = Window.partitionBy(protein_id).orderBy("start", "__end")
-    spans = hits.withColumn("__end", F.col("start") + F.col("length")).select(protein_id, "start", "__end").distinct()
+    # of the peptides that begin at one place only the longest matters
+    spans = hits.groupBy(protein_id, "start").agg(F.max(F.col("start") + F.col("length")).alias("__end"))
+    w = Window.partitionBy(protein_id).orderBy("start")
     seen = F.coalesce(F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     new = F.greatest(F.lit(0), F.col("__end") - F.greatest(F.col("start"), seen))
     total = spans.withColumn("__new", new).groupBy(protein_id).agg(F.sum("__new").alias("n_covered"))

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pepspark.session import materialize
+from pepspark.session import BROADCAST_LIMIT, materialize
 
 #: A key with more suspect references than this is spread over SPREAD tasks.
 HOT_KEY = 200_000
@@ -43,11 +44,17 @@ class Reference:
     at: str = "recorded_at"
 
 
-def _references(references: list[Reference]) -> DataFrame:
+def _key_type(targets: list[Target], references: list[Reference]) -> str:
+    """Whole numbers if all keys are; else texts."""
+    types = [t.df.schema[t.key].dataType for t in targets] + [r.df.schema[f].dataType for r in references for f in r.fields]
+    return "bigint" if all(isinstance(x, T.IntegralType) for x in types) else "string"
+
+
+def _references(references: list[Reference], key_type: str) -> DataFrame:
     """Long form: src_table, row_id, ref_field, target, key, at."""
     parts = None
     for r in references:
-        refs = F.array(*[F.struct(F.lit(f).alias("ref_field"), F.lit(t).alias("target"), F.col(f).try_cast("bigint").alias("key")) for f, t in r.fields.items()])
+        refs = F.array(*[F.struct(F.lit(f).alias("ref_field"), F.lit(t).alias("target"), F.col(f).cast(key_type).alias("key")) for f, t in r.fields.items()])
         part = r.df.select(F.lit(r.name).alias("src_table"), F.col(r.row_id).alias("row_id"), F.col(r.at).alias("at"), F.explode(refs).alias("r"))
         part = part.select("src_table", "row_id", "at", "r.*").filter("key is not null")
         parts = part if parts is None else parts.unionByName(part)
@@ -62,15 +69,16 @@ def orphan_references(targets: list[Target], references: list[Reference]) -> Dat
     Alive at time t: recorded_at <= t and (deleted_at is null or deleted_at > t). Kind 'missing': no
     row of the target table has the key; 'late': all such rows were recorded later; else 'deleted'.
     Null references are none; a reference without a time is reported only if it is 'missing' (its
-    month is null); a target row without recorded_at never lives. A repeated row counts once. Keys are
-    whole numbers; a key that is none refers to nothing and is left out. The distinct lives of one
+    month is null); a target row without recorded_at never lives. A repeated row counts once. Keys are compared
+    as whole numbers if all key columns are such, else as texts, so a key in no target's form is missing. The distinct lives of one
     key are held in one row.
     """
-    long = _references(references)
+    key_type = _key_type(targets, references)
+    long = _references(references, key_type)
     parents = None
     for t in targets:
         life = F.struct(F.col(t.recorded_at).alias("born"), (F.col(t.deleted_at) if t.deleted_at else F.lit(None)).cast("timestamp_ntz").alias("died"))
-        part = t.df.select(F.lit(t.name).alias("target"), F.col(t.key).try_cast("bigint").alias("key"), life.alias("life")).filter("key is not null")
+        part = t.df.select(F.lit(t.name).alias("target"), F.col(t.key).cast(key_type).alias("key"), life.alias("life")).filter("key is not null")
         parents = part if parents is None else parents.unionByName(part)
     if parents is None:
         raise ValueError("no targets given")
@@ -88,17 +96,19 @@ def orphan_references(targets: list[Target], references: list[Reference]) -> Dat
         F.max("at").alias("last_at"),
     )
     covered = F.exists("lives", lambda x: (x["born"] <= F.col("first_at")) & (x["died"].isNull() | (x["died"] > F.col("last_at"))))
-    suspects = keys.filter(F.col("n_refs") > 0).filter(~F.coalesce(covered, F.lit(False))).select("target", "key", "lives", "n_refs")
+    suspects = keys.filter(F.col("n_refs") > 0).filter(~F.coalesce(covered, F.lit(False))).select("target", "key", "has_parent", "lives", "n_refs")
     suspects = materialize(suspects, "suspects")  # used twice; grouped once
-    # hot keys: at most (number of references / HOT_KEY) of them, so their list may be broadcast
-    hot = F.broadcast(suspects.filter(F.col("n_refs") > HOT_KEY).select("target", "key", F.lit(True).alias("hot")))
+    # hot keys: at most (number of references / HOT_KEY) of them; broadcast while their counted size allows
+    hot = suspects.filter(F.col("n_refs") > HOT_KEY).select("target", "key", F.lit(True).alias("hot"))
+    if (hot.agg(F.sum(F.length("target") + F.length(F.col("key").cast("string")) + 64)).first()[0] or 0) <= BROADCAST_LIMIT:
+        hot = F.broadcast(hot)
     salted = long.join(hot, ["target", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row_id"), F.lit(SPREAD)).cast("int")).otherwise(0)).drop("hot")
     spread = suspects.withColumn("salt", F.explode(F.when(F.col("n_refs") > HOT_KEY, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
     joined = salted.join(spread, ["target", "key", "salt"])
     at = F.col("at")
     alive = F.exists("lives", lambda x: (x["born"] <= at) & (x["died"].isNull() | (x["died"] > at)))
     kind = (
-        F.when(F.size("lives") == 0, "missing")
+        F.when(~F.col("has_parent"), "missing")
         .when(at.isNull() | F.coalesce(alive, F.lit(False)), None)
         .when(F.coalesce(F.forall("lives", lambda x: x["born"] > at), F.lit(False)), "late")
         .otherwise("deleted")

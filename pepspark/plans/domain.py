@@ -528,19 +528,31 @@ def q81_whole_slice(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with {_PROT}, k as (select distinct unnest({_cuts('seq')}) as peptide from prot), pep as (select peptide from k where length(peptide) between 7 and 30),
-g as (select doc_id, seq, unnest(range(7, 31)) as n from prot), w as (select doc_id, n, unnest(range(0, length(seq) - n + 1)) as k, seq from g), h as (select w.doc_id, w.k, w.n from w join pep on seq[k + 1:k + n] = peptide),
-m as (select distinct doc_id, unnest(range(k, k + n)) as position from h), c as (select doc_id, count(*) as n from m group by doc_id)
+    f"""with {_PROT}, k as (select distinct unnest({_cuts('seq')}) as peptide from prot), pep as (select peptide, peptide[1:7] as seed from k where length(peptide) >= 7), g as (select doc_id, seq, unnest(range(0, length(seq) - 6)) as i from prot),
+h as (select doc_id, i, max(length(peptide)) as n from g join pep on seq[i + 1:i + 7] = pep.seed and seq[i + 1:i + length(peptide)] = peptide group by doc_id, i),
+m as (select distinct doc_id, unnest(range(i, i + n)) as position from h), c as (select doc_id, count(*) as n from m group by doc_id)
 select prot.doc_id, coalesce(c.n, 0)::bigint as n_covered, round(coalesce(c.n, 0) / length(seq), 9) as coverage from prot left join c on prot.doc_id = c.doc_id"""
 )
 def q46_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Coverage of the sequences by the distinct tryptic peptides of 7 to 30 residues of all of them."""
+    """Coverage of the sequences by the distinct tryptic peptides of seven residues or more of all of them (shorter ones say little of where they come from)."""
     p = proteins(spark, d)
-    pep = p.select(F.explode(S.cleave("seq", "trypsin", 0, 7, 30)).alias("peptide"))
+    pep = p.select(F.explode(S.fragments_of("seq", "trypsin")).alias("peptide")).filter(F.length("peptide") >= 7)
     c = joins.coverage(p, pep, "doc_id", "seq", "peptide")
     return c.select("doc_id", F.col("n_covered").cast("bigint").alias("n_covered"), F.round("coverage", 9).alias("coverage"))
 
 
+@query(
+    f"""with {_PROT}, k as (select distinct unnest({_cuts('seq')}) as peptide from prot), pep as (select peptide, peptide[1:6] as seed from k where length(peptide) >= 9), g as (select doc_id, seq, unnest(range(0, length(seq) - 8)) as i from prot),
+h as (select doc_id, i, length(peptide) as n from g join pep on seq[i + 1:i + 6] = pep.seed and seq[i + 1:i + length(peptide)] = peptide),
+m as (select doc_id, unnest(range(i, i + n))::int as position from h) select doc_id, position, count(*) as n_peptides from m group by doc_id, position"""
+)
+def q45_coverage_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Number of distinct tryptic peptides of nine residues or more over each residue."""
+    p = proteins(spark, d)
+    pep = p.select(F.explode(S.fragments_of("seq", "trypsin")).alias("peptide")).filter(F.length("peptide") >= 9)
+    return joins.coverage_mask(p, pep, "doc_id", "seq", "peptide")
+
+
 @query(
     """with s as (select distinct spectrum_id, mz, intensity from spectra), p as (select spectrum_id, unnest(list_zip(mz, intensity)) as p from s),
 c as (select spectrum_id, p[1] as mz, p[2] as i from p where p[2] is not null and not isnan(p[2]) and not isinf(p[2])), r as (select *, row_number() over (partition by spectrum_id order by i desc, mz) as rank from c)

@@ -36,14 +36,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if it is set.
+    """The folder all executors share: ``spark.checkpoint.dir`` or the context's checkpoint folder.
 
-    Only where the session has none (local tests) a temporary folder is set and used.
+    Only where the master is local (one machine) a temporary folder is made if neither is set; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="pepspark-")
+        if current.isDefined():
+            path = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            path = tempfile.mkdtemp(prefix="pepspark-")
+            spark.conf.set("spark.checkpoint.dir", path)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return path.rstrip("/")
 
 

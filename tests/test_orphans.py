@@ -58,3 +58,12 @@ def test_empty_tables(spark):
 def test_report(spark):
     r = O.orphan_report(run(spark))
     assert sum(x.n_orphans for x in r.collect()) == run(spark).count()
+
+
+def test_keys_that_are_texts(spark, monkeypatch):
+    monkeypatch.setattr(O, "BROADCAST_LIMIT", 0)
+    monkeypatch.setattr(O, "HOT_KEY", 1)
+    parents = spark.createDataFrame([("a1", D(2020, 1, 1), None)], "id string, recorded_at timestamp_ntz, deleted_at timestamp_ntz")
+    refs = spark.createDataFrame([(1, "a1", D(2020, 2, 1)), (2, "b?", D(2020, 2, 1)), (3, "b?", D(2020, 3, 1)), (4, None, D(2020, 3, 1)), (5, "a1", D(2019, 1, 1))], "id bigint, ref string, recorded_at timestamp_ntz")
+    got = {tuple(r) for r in O.orphan_references([O.Target("t", parents)], [O.Reference("r", refs, {"ref": "t"})]).collect()}
+    assert got == {("r", 2, "ref", "2020-02", "missing"), ("r", 3, "ref", "2020-03", "missing"), ("r", 5, "ref", "2019-01", "late")}
