@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from pepspark.session import materialize
 
-#: Score ranges that one global order is cut into.
+#: Distinct scores of a range, and most ranges that one order is cut into.
+RANGE_ROWS = 1_000_000
+MAX_RANGES = 4096
+#: Fewest ranges of an order that is not cut by groups.
 RANGES = 64
 
 
@@ -32,17 +35,32 @@ def _log_pi(d: float, k: np.ndarray, p: float) -> np.ndarray:
     return k * math.log(p) + log_factorial(k + d) - log_factorial(k) - math.lgamma(d + 1) + (d + 1) * math.log(1 - p)
 
 
+#: Standard deviations around the mean beyond which terms of the negative binomial are nothing in double precision.
+_TAIL = 40
+
+
+def _terms(d: int, t: int, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of false targets up to t that matter, and their probabilities: a stretch that grows with the root of d only."""
+    mean, spread = (d + 1) * p / (1 - p), math.sqrt((d + 1) * p) / (1 - p)
+    lo, hi = max(0, int(mean - _TAIL * spread)), min(int(t), int(mean + _TAIL * spread) + 2 * _TAIL)
+    m = np.arange(min(lo, hi) if hi > mean else max(0, hi - int(_TAIL * spread) - 2 * _TAIL), hi + 1)
+    # one log-gamma for the first term, ratios of neighbours for the others
+    steps = np.log(p) + np.log(m[1:] + d) - np.log(m[1:])
+    logs = _log_pi(d, m[:1], p)[0] + np.r_[0.0, np.cumsum(steps)]
+    return m, np.exp(logs - logs.max())
+
+
 def expected_false(d: int, t: int, p: float = 0.5) -> float:
     """Expected number of false targets among t, given d decoys (negative binomial, cut at t)."""
-    m = np.arange(int(t) + 1)
-    pi = np.exp(_log_pi(d, m, p))
+    m, pi = _terms(int(d), int(t), p)
     return float((m * pi).sum() / pi.sum())
 
 
 def confident_false(level: float, d: int, t: int, p: float = 0.5) -> int:
     """Number of false targets that isn't exceeded with probability ``level``."""
-    pics = np.exp(_log_pi(d, np.arange(int(t) + 1), p)).cumsum()
-    return int(np.searchsorted(pics, level * pics[-1]))
+    m, pi = _terms(int(d), int(t), p)
+    sums = pi.cumsum()
+    return int(m[np.searchsorted(sums, level * sums[-1])])
 
 
 def fdr(psms: DataFrame, is_decoy: Column | str | None = None, pep: Column | str | None = None, formula: int = 1, ratio: float = 1.0, correction: float = 0, by: list[str] | None = None) -> DataFrame:
@@ -113,7 +131,7 @@ def qvalues(
     ratio: float = 1.0,
     correction: float = 0,
     by: list[str] | None = None,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """``psms`` with the columns score, is_decoy (or pep) and q.
 
@@ -136,6 +154,8 @@ def qvalues(
     # reduce to one row per score first: all that q depends on, however many rows share a score
     # (written once, as the ranges, both windows and their offsets all read it)
     n = materialize(rows.groupBy(*by, "__key").agg(F.count("*").alias("__n"), F.sum(F.col("__mark").cast("double")).alias("__d")), "scores")
+    if ranges is None:  # by the number of distinct scores; groups share the bounds, so the largest ones are cut finely too
+        ranges = min(MAX_RANGES, max(RANGES, -(-n.count() // RANGE_ROWS)))
     n = ordered_ranges(n, "__key", by, ranges)
     w = Window.partitionBy(*by, "__range").orderBy("__key")
     totals = n.groupBy(*by, "__range").agg(F.sum("__n").alias("__tn"), F.sum("__d").alias("__td"))

@@ -415,7 +415,7 @@ def q34_filter(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_q_sql(_F1, by='source')} select source, count(*) as n, round(max(q), 9) as worst_q from o where not is_decoy and q <= 0.3 group by source")
 def q35_filter_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Each run is filtered by itself."""
-    f = tda.filter_psms(psm_table(spark, d), 0.3, "score", "is_decoy", by=["source"], ranges=16)
+    f = tda.filter_psms(psm_table(spark, d), 0.3, "score", "is_decoy", by=["source"])
     return f.groupBy("source").agg(F.count("*").alias("n"), F.round(F.max("q"), 9).alias("worst_q"))
 
 
@@ -436,7 +436,7 @@ r as (select source, score, min(case when i > d then expected / (i - d) else 'in
 select query_id, hit_no, round(q, 6) as q from psm join r on psm.score = r.score and psm.source = r.source where not is_decoy"""
 )
 def q37_qvalues_expectation(spark: SparkSession, d: str) -> DataFrame:
-    q = tda.qvalues(psm_table(spark, d), "score", "is_decoy", remove_decoy=True, correction=2, by=["source"], ranges=1)
+    q = tda.qvalues(psm_table(spark, d), "score", "is_decoy", remove_decoy=True, correction=2, by=["source"])
     return q.select("query_id", "hit_no", F.round("q", 6).alias("q"))
 
 

@@ -6,10 +6,7 @@ tasks; parsing is done by built-in expressions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pepspark.functions import text as X
@@ -31,39 +28,37 @@ def last_wins(keys: Column, values: Column) -> Column:
 def read_fasta(spark: SparkSession, path: str | list[str], flavor: str | None = None, comments: bool = False, ignore_comments: bool = False) -> DataFrame:
     """description, sequence, source (and header, a map, if a flavor or 'auto' is given).
 
-    Blank lines and a trailing '*' are dropped; an entry without sequence has an empty one. With
-    ``comments`` files may have ';' lines and adjacent header lines, which are joined with a blank
-    (or, with ``ignore_comments``, only the first is kept); such files are read one per task.
+    Files are split at headers. Blank lines and a trailing '*' are dropped; an entry without sequence has an empty one.
+    Lines with ';' after a header belong to the description: they are joined to it with a blank, or left out with
+    ``ignore_comments``. ``comments`` is for files in which ';' lines or several headers in a row begin entries: they are
+    cut there too, and adjacent heads make one description (the first one with ``ignore_comments``).
     """
     if comments:
-        whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source"))
-
-        def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                rows = []
-                for text, source in zip(f["value"], f["source"]):
-                    heads: list[str] = []
-                    seq: list[str] = []
-                    for line in [*text.splitlines(), None]:
-                        mark = line is None or line[:1] in (">", ";")
-                        if mark and seq:
-                            rows.append((heads[0] if ignore_comments and heads else " ".join(heads), "".join(seq).rstrip("*"), source))
-                            heads, seq = [], []
-                        if line is None:
-                            continue
-                        if mark:
-                            heads.append(line[1:].strip())
-                        elif line.strip():
-                            seq.append(line.strip())
-                yield pd.DataFrame(rows, columns=["description", "sequence", "source"])
-
-        out = whole.mapInPandas(parse, "description string, sequence string, source string")
-    else:
-        r = _records(spark, path, "\n>").filter(F.trim("value") != "")
-        lines = F.transform(F.split(F.regexp_replace("value", "^>", ""), "\n"), lambda x: F.trim(x))
-        r = r.select("source", lines.alias("lines"))
-        body = F.array_join(F.filter(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: x != ""), "")
-        out = r.select(F.get("lines", F.lit(0)).alias("description"), F.regexp_replace(body, r"\*$", "").alias("sequence"), "source")
+        return _commented_fasta(spark, path, flavor, ignore_comments)
+    r = _records(spark, path, "\n>").filter(F.trim("value") != "")
+    lines = F.filter(F.transform(F.split(F.regexp_replace("value", "^>", ""), "\n"), lambda x: F.trim(x)), lambda x, i: (i == 0) | (x != ""))
+    r = r.select("source", lines.alias("lines"))
+    rest = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
+    notes = F.transform(F.filter(rest, lambda x: F.startswith(x, F.lit(";"))), lambda x: F.trim(F.substr(x, F.lit(2))))
+    body = F.array_join(F.filter(rest, lambda x: ~F.startswith(x, F.lit(";"))), "")
+    head = F.slice("lines", 1, 1)
+    description = F.array_join(head if ignore_comments else F.concat(head, notes), " ")
+    out = r.select(description.alias("description"), F.regexp_replace(body, r"\*$", "").alias("sequence"), "source")
+    return out.withColumn("header", X.parse_header("description", flavor)) if flavor else out
+
+
+def _commented_fasta(spark: SparkSession, path: str | list[str], flavor: str | None, ignore_comments: bool) -> DataFrame:
+    """Files are split before each head line ('>' or ';'); heads without sequence lead the next entry. One file is read by one task."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r", "").alias("value"), F.col("_metadata.file_path").alias("source"))
+    entries = whole.select("source", F.explode(F.split("value", r"(?<=\n)(?<!^)(?=[>;])")).alias("line"))
+    # a piece is one head line with the sequence lines behind it; pieces without sequence lead the next one
+    pieces = entries.select("source", F.monotonically_increasing_id().alias("__at"), F.trim(F.substr(F.split_part("line", F.lit("\n"), F.lit(1)), F.lit(2))).alias("head"), F.regexp_replace(F.regexp_replace("line", r"^[>;][^\n]*\n?", ""), r"\s*\n\s*|^\s+|\s+$", "").alias("body"), F.col("line").rlike("^[>;]").alias("is_head"))
+    order = Window.partitionBy("source").orderBy("__at")
+    done = F.sum((F.col("body") != "").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    entry = pieces.withColumn("__entry", F.coalesce(done, F.lit(0))).groupBy("source", "__entry").agg(F.array_sort(F.collect_list(F.struct("__at", "is_head", "head", "body"))).alias("p"))
+    heads = F.transform(F.filter("p", lambda x: x["is_head"]), lambda x: x["head"])
+    body = F.array_join(F.transform("p", lambda x: x["body"]), "")
+    out = entry.select((F.coalesce(F.get(heads, F.lit(0)), F.lit("")) if ignore_comments else F.array_join(heads, " ")).alias("description"), F.regexp_replace(body, r"\*$", "").alias("sequence"), "source").filter("sequence <> ''")
     return out.withColumn("header", X.parse_header("description", flavor)) if flavor else out
 
 
@@ -212,19 +207,29 @@ def mztab_cell(cell: Column) -> Column:
 def read_mztab(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """metadata (key, value), comments, and one table of strings for each section of the file (PRT, PEP, PSM, SML, SMF, SME).
 
-    Column names come from the file's header rows; 'null' is null. Cast with :func:`cast_mztab`.
+    Column names come from each file's own header rows (a column that a file lacks is null there); 'null' is null. Cast with :func:`cast_mztab`.
     """
-    cells = spark.read.text(path).select(F.split("value", "\t").alias("c")).filter(F.size("c") > 1)
+    cells = spark.read.text(path).select(F.split("value", "\t").alias("c"), F.col("_metadata.file_path").alias("source")).filter(F.size("c") > 1)
     kind = F.get("c", F.lit(0))
     out = {
         "metadata": cells.filter(kind == "MTD").select(F.get("c", F.lit(1)).alias("key"), mztab_cell(F.get("c", F.lit(2))).alias("value")),
         "comments": cells.filter(kind == "COM").select(F.get("c", F.lit(1)).alias("comment")),
     }
-    heads = {r["k"]: r["c"] for r in cells.filter(kind.isin(*_SECTIONS.values())).groupBy(kind.alias("k")).agg(F.first("c").alias("c")).collect()}
+    head_rows = cells.filter(kind.isin(*_SECTIONS.values()))
+    heads: dict[str, list[list[str]]] = {}
+    for k, c in head_rows.select(kind.alias("k"), "c").distinct().collect():  # one row for each different header, not for each file
+        heads.setdefault(k, []).append(c[1:])
     for section, head in _SECTIONS.items():
-        if head in heads:
-            names = heads[head][1:]
-            out[section] = cells.filter(kind == section).select(*[mztab_cell(F.get("c", F.lit(i + 1))).alias(n) for i, n in enumerate(names)])
+        if head not in heads:
+            continue
+        rows = cells.filter(kind == section)
+        if len(heads[head]) == 1:
+            out[section] = rows.select(*[mztab_cell(F.get("c", F.lit(i + 1))).alias(n) for i, n in enumerate(heads[head][0])])
+            continue
+        # files with differing columns: each row is read by its own file's header
+        own = head_rows.filter(kind == head).groupBy("source").agg(F.first(F.slice("c", 2, F.size("c"))).alias("names"))
+        named = rows.join(own, "source").select(last_wins(F.col("names"), F.transform("names", lambda _, i: F.get("c", i + 1))).alias("m"))
+        out[section] = named.select(*[mztab_cell(F.try_element_at("m", F.lit(n))).alias(n) for n in dict.fromkeys(n for names in sorted(heads[head]) for n in names)])
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pepspark.functions import arrays as A
 from pepspark.functions import text as X
 from pepspark.functions.seq import let
+from pepspark.sources.text import last_wins
 
 CV = "array<struct<_accession:string,_name:string,_value:string,_unitName:string,_unitAccession:string>>"
 _CV_LIST = f"cvParam:{CV},userParam:{CV}"
@@ -52,17 +53,45 @@ def _named(params: Column, table: dict[str, str], default: str | None) -> Column
     return out
 
 
-def _arrays(df: DataFrame, id_cols: list[str]) -> DataFrame:
-    """The binary arrays of each element as map(kind -> array<double>), decoded in one Arrow pass."""
-    rows = df.select(*id_cols, F.explode_outer("binaryDataArrayList.binaryDataArray").alias("b"))
-    p = cv_params(F.col("b.cvParam"))
-    rows = rows.select(*id_cols, _named(p, _KINDS, None).alias("kind"), F.col("b.binary").alias("text"), _named(p, _COMPRESSIONS, "none").alias("compression"), _named(p, _TYPES, "f64").alias("dtype"))
-    decoded = rows.withColumn("values", A.decode_binary(F.trim("text"), "compression", "dtype"))
-    return decoded.filter("kind is not null").groupBy(*id_cols).agg(*[F.first(F.when(F.col("kind") == k, F.col("values")), True).alias(f"{k}_array") for k in _KINDS.values()])
+# Further array kinds of the PSI-MS vocabulary; others go by the name of their term.
+_MORE_KINDS = {"MS:1000517": "signal to noise array", "MS:1000617": "wavelength array", "MS:1000820": "flow rate array", "MS:1000821": "pressure array", "MS:1000822": "temperature array", "MS:1002477": "mean ion mobility drift time array", "MS:1003006": "mean inverse reduced ion mobility array", "MS:1002742": "noise array", "MS:1002743": "mass resolution array", "MS:1002744": "baseline array"}
+
+
+def _arrays(binary: Column) -> Column:
+    """The binary arrays of one element, where they stand: map(name -> array<double>), and their units as map(name -> unit).
+
+    Known kinds have short names (mz, intensity, charge, time); others the name of the parameter that ends in 'array'; a
+    non-standard array the name in its value. Of arrays with the same name the last counts. The texts of a row go through
+    one Arrow call, so nothing is exploded or joined.
+    """
+    known = {**_KINDS, **_MORE_KINDS}
+    empty = F.array().cast("array<struct<name:string,unit:string,compression:string,dtype:string,text:string>>")
+
+    def one(b: Column) -> Column:
+        p = cv_params(b["cvParam"])
+        named = F.get(F.filter(p, lambda x: x["accession"].isin(*known)), F.lit(0))
+        other = F.get(F.filter(p, lambda x: F.endswith(x["name"], F.lit("array"))), F.lit(0))
+        free = F.get(F.filter(p, lambda x: x["accession"] == "MS:1000786"), F.lit(0))
+        short = named["accession"]
+        for accession, name in known.items():
+            short = F.when(named["accession"] == accession, F.lit(name)).otherwise(short)
+        name = F.coalesce(short, F.when(free.isNotNull(), F.coalesce(F.nullif(free["value"], F.lit("")), free["name"])), other["name"], F.lit("array"))
+        return F.struct(name.alias("name"), F.coalesce(named["unit"], free["unit"], other["unit"]).alias("unit"), _named(p, _COMPRESSIONS, "none").alias("compression"), _named(p, _TYPES, "f64").alias("dtype"), F.trim(b["binary"]).alias("text"))
+
+    return F.coalesce(F.transform(binary, one), empty)
+
+
+def _decoded(df: DataFrame, arrays: str) -> DataFrame:
+    """``df`` with the columns arrays (name -> values) and array_units (name -> unit) in place of the encoded ``arrays``."""
+    values = A.decode_arrays(F.transform(arrays, lambda a: a["text"]), F.transform(arrays, lambda a: a["compression"]), F.transform(arrays, lambda a: a["dtype"]))
+    names = F.transform(F.col(arrays), lambda a: a["name"])
+    rows = df.withColumn("__values", values)
+    rows = rows.withColumn("arrays", last_wins(names, F.col("__values"))).withColumn("array_units", last_wins(names, F.transform(F.col(arrays), lambda a: a["unit"])))
+    return rows.drop("__values", arrays)
 
 
 def read_mzml(spark: SparkSession, path: str | list[str], decode: bool = True) -> DataFrame:
-    """mzML spectra: spectrum_id, idx, ms_level, rt (minutes), cv_params, scan_params, precursors, mz, intensity, charge_array.
+    """mzML spectra: spectrum_id, idx, ms_level, rt (minutes), cv_params, scan_params, precursors, mz, intensity, charge_array, arrays (all arrays by name), array_units.
 
     Referenced parameter groups are joined in; arrays may be plain, zlib or MS-Numpress. With
     ``decode`` False the arrays stay encoded in binaryDataArrayList.
@@ -97,22 +126,23 @@ def read_mzml(spark: SparkSession, path: str | list[str], decode: bool = True) -
     )
     if not decode:
         return out
-    arrays = _arrays(out, ["source", "spectrum_id"]).select("source", "spectrum_id", F.col("mz_array").alias("mz"), F.col("intensity_array").alias("intensity"), A.mask_zero("charge_array").alias("charge_array"))
-    return out.drop("binaryDataArrayList").join(arrays, ["source", "spectrum_id"], "left")
+    rows = _decoded(out.withColumn("__arrays", _arrays(F.col("binaryDataArrayList.binaryDataArray"))).drop("binaryDataArrayList"), "__arrays")
+    value = lambda k: F.element_at("arrays", k)
+    return rows.withColumn("mz", value("mz")).withColumn("intensity", value("intensity")).withColumn("charge_array", A.mask_zero(value("charge")))
 
 
 def read_chromatograms(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """mzML chromatograms: chromatogram_id, time, intensity."""
-    raw = read_xml(spark, path, "chromatogram", f"_id string, cvParam {CV}, binaryDataArrayList {_ARRAY}").select("source", F.col("_id").alias("chromatogram_id"), "binaryDataArrayList")
-    return _arrays(raw, ["source", "chromatogram_id"]).select("source", "chromatogram_id", F.col("time_array").alias("time"), F.col("intensity_array").alias("intensity"))
+    """mzML chromatograms: chromatogram_id, time, intensity, arrays (by name), array_units."""
+    raw = read_xml(spark, path, "chromatogram", f"_id string, cvParam {CV}, binaryDataArrayList {_ARRAY}").select("source", F.col("_id").alias("chromatogram_id"), _arrays(F.col("binaryDataArrayList.binaryDataArray")).alias("__arrays"))
+    return _decoded(raw, "__arrays").withColumn("time", F.element_at("arrays", "time")).withColumn("intensity", F.element_at("arrays", "intensity"))
 
 
 _SCAN = "_num:string,_msLevel:string,_peaksCount:string,_polarity:string,_retentionTime:string,_lowMz:string,_highMz:string,_basePeakMz:string,_basePeakIntensity:string,_totIonCurrent:string,precursorMz:array<struct<_VALUE:string,_precursorIntensity:string,_precursorCharge:string>>,peaks:array<struct<_VALUE:string,_precision:string,_compressionType:string,_byteOrder:string>>"
 
 
-def read_mzxml(spark: SparkSession, path: str | list[str], depth: int = 3) -> DataFrame:
-    """mzXML scans, nested ones too (up to ``depth`` levels), ordered by nothing: num, ms_level, rt (minutes), peaks_count, precursors, mz, intensity."""
-    inner = f"array<struct<{_SCAN}>>"
+def read_mzxml(spark: SparkSession, path: str | list[str], depth: int = 8) -> DataFrame:
+    """mzXML scans, nested ones too (a file nested deeper than ``depth`` levels raises an error when it is read), ordered by nothing: num, ms_level, rt (minutes), peaks_count, precursors, mz, intensity."""
+    inner = f"array<struct<{_SCAN},scan:array<struct<_num:string>>>>"
     for _ in range(depth - 1):
         inner = f"array<struct<{_SCAN},scan:{inner}>>"
     schema = ", ".join(f"{x.split(':', 1)[0]} {x.split(':', 1)[1]}" for x in _split_fields(_SCAN)) + f", scan {inner}"
@@ -121,7 +151,11 @@ def read_mzxml(spark: SparkSession, path: str | list[str], depth: int = 3) -> Da
     scans = level.select("source", *names)
     for k in range(depth):
         level = level.select("source", F.explode("scan").alias("s"))
-        scans = scans.unionByName(level.select("source", *[F.col(f"s.{n}").alias(n) for n in names]))
+        here = level
+        if k == depth - 1:
+            deeper = F.coalesce(F.size("s.scan"), F.lit(0)) > 0
+            here = level.withColumn("s", F.when(deeper, F.raise_error(F.lit(f"scans are nested deeper than {depth} levels: pass a larger depth")).cast(level.schema["s"].dataType)).otherwise(F.col("s")))
+        scans = scans.unionByName(here.select("source", *[F.col(f"s.{n}").alias(n) for n in names]))
         if k < depth - 1:
             level = level.select("source", F.col("s.scan").alias("scan"))
     peaks = F.get("peaks", F.lit(0))
