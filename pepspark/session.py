@@ -53,16 +53,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str = "stage") -> str:
+    """A new path in the shared folder, deleted by :func:`drop_materialized`."""
+    path = f"{shared_dir(spark)}/pepspark-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it back.
 
     Cuts the lineage in a way that outlives the loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pepspark-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(schema).parquet(path)
 
 
