@@ -29,6 +29,20 @@ NIST_MASS: dict[str, dict[int, tuple[float, float]]] = {
     "Si": {0: (27.9769265325, 1.0), 28: (27.9769265325, 0.92223), 29: (28.9764947, 0.04685), 30: (29.97377017, 0.03092)},
     "B": {0: (11.0093054, 1.0), 10: (10.012937, 0.199), 11: (11.0093054, 0.801)},
     "Ag": {0: (106.905097, 1.0), 107: (106.905097, 0.51839), 109: (108.904752, 0.48161)},
+    "Al": {0: (26.98153863, 1.0), 27: (26.98153863, 1.0)},
+    "As": {0: (74.9215965, 1.0), 75: (74.9215965, 1.0)},
+    "Au": {0: (196.9665687, 1.0), 197: (196.9665687, 1.0)},
+    "Co": {0: (58.933195, 1.0), 59: (58.933195, 1.0)},
+    "Cr": {0: (51.9405075, 1.0), 50: (49.9460442, 0.04345), 52: (51.9405075, 0.83789), 53: (52.9406494, 0.09501), 54: (53.9388804, 0.02365)},
+    "Cs": {0: (132.905451933, 1.0), 133: (132.905451933, 1.0)},
+    "Hg": {0: (201.970643, 1.0), 196: (195.965833, 0.0015), 198: (197.966769, 0.0997), 199: (198.9682799, 0.1687), 200: (199.968326, 0.231), 201: (200.9703023, 0.1318), 202: (201.970643, 0.2986), 204: (203.9734939, 0.0687)},
+    "Mn": {0: (54.9380451, 1.0), 55: (54.9380451, 1.0)},
+    "Mo": {0: (97.9054082, 1.0), 92: (91.906811, 0.1477), 94: (93.9050883, 0.0923), 95: (94.9058421, 0.159), 96: (95.9046795, 0.1668), 97: (96.9060215, 0.0956), 98: (97.9054082, 0.2419), 100: (99.907477, 0.0967)},
+    "Ni": {0: (57.9353429, 1.0), 58: (57.9353429, 0.680769), 60: (59.9307864, 0.262231), 61: (60.931056, 0.011399), 62: (61.9283451, 0.036345), 64: (63.927966, 0.009256)},
+    "Pt": {0: (194.9647911, 1.0), 190: (189.959932, 0.00014), 192: (191.961038, 0.00782), 194: (193.9626803, 0.32967), 195: (194.9647911, 0.33832), 196: (195.9649515, 0.25242), 198: (197.967893, 0.07163)},
+    "Rb": {0: (84.911789738, 1.0), 85: (84.911789738, 0.7217), 87: (86.909180527, 0.2783)},
+    "Ti": {0: (47.9479463, 1.0), 46: (45.9526316, 0.0825), 47: (46.9517631, 0.0744), 48: (47.9479463, 0.7372), 49: (48.94787, 0.0541), 50: (49.9447912, 0.0518)},
+    "V": {0: (50.9439595, 1.0), 50: (49.9471585, 0.0025), 51: (50.9439595, 0.9975)},
     "H+": {0: (1.00727646677, 1.0), 1: (1.00727646677, 1.0)},
     "e*": {0: (0.00054857990943, 1.0)},
 }
@@ -160,6 +174,16 @@ RC_BROWNE_TFA = {"aa": {"K": -3.7, "G": -1.2, "L": 20.0, "A": 7.3, "C": -9.2, "E
 RC_PALMBLAD = {"aa": {"K": -0.66, "G": -0.29, "L": 2.28, "A": 0.41, "C": -1.32, "E": -0.26, "D": 0.04, "F": 2.68, "I": 2.70, "H": 0.57, "M": 0.98, "N": -0.54, "Q": 1.02, "P": 0.97, "S": -0.71, "R": -0.76, "T": 0.37, "W": 4.68, "V": 2.44, "Y": 2.78, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
 RC_YOSHIDA = {"aa": {"K": 2.77, "G": -0.16, "L": -2.31, "A": 0.28, "C": 0.80, "camC": 0.80, "E": 1.58, "D": 2.45, "F": -2.94, "I": -1.34, "H": 3.44, "M": -0.14, "N": 3.25, "Q": 2.35, "P": 0.77, "S": 2.53, "R": 3.90, "T": 1.73, "W": -1.80, "V": -2.19, "Y": -0.11, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
 RC_ZUBAREV = {"aa": {"A": 6.73, "E": 5.66, "C": 3.25, "D": 5.64, "G": 2.35, "F": 27.43, "I": 20.50, "H": -0.66, "K": -4.47, "M": 17.39, "L": 23.38, "N": 2.57, "Q": 2.93, "P": 5.66, "S": 3.58, "R": -2.55, "T": 4.88, "Y": 13.22, "W": 31.27, "V": 13.05, "camC": 3.25, "oxM": -7.61, "-OH": 0.0, "H-": 0.0}, "lcp": -0.21, "const": 0.53}
+RC_BROWNE_HFBA = {"aa": {"K": -2.5, "G": -2.3, "L": 15.0, "A": 3.9, "C": -14.3, "E": -7.5, "D": -2.8, "F": 14.7, "I": 11.0, "H": 2.0, "M": 4.1, "N": -2.8, "Q": 1.8, "P": 5.6, "S": -3.5, "pS": -7.6, "R": 3.2, "T": 1.1, "pT": -3.0, "W": 17.8, "V": 2.1, "Y": 3.8, "pY": -0.3, "H-": 0.0, "-OH": 0.0}, "lcp": 0.0, "const": 0.0}
+RC_YOSHIDA_LC = {"aa": {"A": 1.29, "C": 0.94, "camC": 0.94, "D": 3.89, "E": 4.40, "F": -4.18, "G": 1.29, "H": 7.57, "I": -2.65, "K": 7.33, "L": -3.93, "M": -1.48, "N": 6.65, "P": 1.03, "Q": 6.68, "R": 7.08, "S": 5.09, "T": 3.46, "V": -2.52, "W": -1.87, "Y": -0.46, "H-": 0.0, "-OH": 0.0}, "lcp": -0.2, "const": 0.0}
+RC_GILAR_ATLANTIS_PH3_0 = {"aa": {"K": 15.90, "R": 13.64, "H": 12.94, "E": 2.97, "P": 4.77, "Q": 5.43, "D": 3.20, "C*": 4.87, "C": 4.87, "N": 3.91, "A": 3.34, "G": 3.33, "S": 3.04, "T": 2.71, "V": 1.75, "I": 0.65, "M": 1.13, "L": 0.13, "F": -1.17, "Y": -0.22, "W": -2.47}, "lcp": 0.0, "const": 21.33}
+RC_GILAR_ATLANTIS_PH4_5 = {"aa": {"K": 15.49, "R": 13.33, "H": 12.19, "E": 6.93, "P": 5.89, "Q": 5.68, "D": 5.31, "C*": 5.23, "C": 5.23, "N": 4.07, "A": 3.6, "G": 3.46, "S": 2.62, "T": 2.33, "V": 1.42, "I": 0.84, "M": 0.34, "L": 0.29, "F": -1.21, "Y": -1.62, "W": -2.08}, "lcp": 0.0, "const": 23.95}
+RC_GILAR_ATLANTIS_PH10_0 = {"aa": {"K": 25.23, "R": 23.38, "H": 5.94, "E": 0.59, "P": 4.00, "Q": 3.53, "D": -0.84, "C*": 3.52, "C": 3.52, "N": 3.26, "A": 3.64, "G": 3.02, "S": 2.28, "T": 1.74, "V": 1.05, "I": 1.51, "M": -0.61, "L": 0.25, "F": -0.17, "Y": -0.79, "W": 0.23}, "lcp": 0.0, "const": 13.78}
+RC_GILAR_BEH = {"aa": {"K": 9.49, "R": 8.56, "H": 8.40, "E": 5.95, "P": 4.73, "Q": 4.65, "D": 4.97, "C": 3.47, "C*": 3.47, "N": 3.50, "A": 2.90, "G": 2.63, "S": 2.14, "T": 2.19, "V": 1.71, "I": 1.30, "M": 1.40, "L": 0.73, "F": -0.09, "Y": -0.40, "W": 0.11}, "lcp": 0.0, "const": 18.41}
+RC_GILAR_BEH_AMIDE = {"aa": {"K": 7.19, "R": 6.68, "H": 6.16, "E": 6.11, "P": 3.18, "Q": 5.19, "D": 6.02, "C*": 3.71, "C": 3.71, "N": 4.16, "A": 2.64, "G": 3.12, "S": 3.17, "T": 3.41, "V": 0.83, "I": -0.69, "M": -0.12, "L": -1.24, "F": -1.93, "Y": 0.46, "W": -2.11}, "lcp": 0.0, "const": 24.26}
+RC_GILAR_RP = {"aa": {"K": -1.015, "R": -0.681, "H": -1.937, "E": 1.475, "P": 3.496, "Q": 1.228, "D": 1.326, "C": 1.832, "C*": 1.832, "N": 0.299, "A": 2.322, "G": 1.172, "S": 1.165, "T": 1.894, "V": 5.695, "I": 8.343, "M": 5.128, "L": 9.069, "F": 10.877, "Y": 5.603, "W": 12.183}, "lcp": 0.0, "const": -3.696}
+RC_KROKHIN_100A_FA = {"aa": {"K": -5.08, "G": -0.07, "L": 9.89, "A": 1.63, "C": 0.7, "camC": 0.7, "E": 1.75, "D": 0.95, "F": 11.92, "I": 9.06, "H": -5.05, "M": 6.96, "N": -0.59, "Q": 0.2, "P": 1.98, "S": 0.27, "R": -3.55, "T": 1.37, "W": 13.67, "V": 5.72, "Y": 5.97}, "lcp": 0.0, "const": 0.0}
+RC_KROKHIN_100A_TFA = {"aa": {"K": -3.53, "G": -0.35, "L": 9.44, "A": 1.11, "C": 0.04, "camC": 0.04, "E": 1.08, "D": -0.22, "F": 11.34, "I": 7.86, "H": -3.04, "M": 6.57, "N": -1.44, "Q": -0.53, "P": 1.62, "S": -0.33, "R": -2.58, "T": 0.48, "W": 13.12, "V": 4.86, "Y": 5.4}, "lcp": 0.0, "const": 0.0}
 
 #: Monosaccharide compositions used in glycan tags.
 MONOSACCHARIDES: dict[str, str] = {"Hex": "C6H10O5", "HexNAc": "C8H13N1O5", "HexN": "C6H11N1O4", "HexS": "C6H10O8S1", "HexP": "C6H11O8P1", "HexA": "C6H8O6", "dHex": "C6H10O4", "Fuc": "C6H10O4", "Pen": "C5H8O4", "Hep": "C7H12O6", "NeuAc": "C11H17N1O8", "NeuGc": "C11H17N1O9", "Neu": "C9H15N1O7", "Sulf": "O3S1", "Phos": "H1O3P1"}

@@ -55,6 +55,29 @@ class Vocabulary:
         return self.ids.get(key) or self.names.get(key.lower())
 
 
+    @classmethod
+    def of_table(cls, modifications, name: str = "code_name", number: str | None = "id", mass: str = "monoisotopic_mass", limit: int = 1_000_000) -> Vocabulary:
+        """A vocabulary with the rows of a table of modifications (Unimod's, or another ontology's with the same columns).
+
+        A vocabulary goes to every task, so a table of more than ``limit`` distinct rows is an error. Of rows with the same
+        name or number the one with the least mass counts; rows without mass are left out.
+        """
+        from pyspark.sql import functions as F
+
+        rows = modifications.filter(F.col(mass).isNotNull()).groupBy(name, *([number] if number else [])).agg(F.min(mass).alias("__mass"))
+        n = rows.count()
+        if n > limit:
+            raise ValueError(f"{n} modifications are too many for a vocabulary")
+        out = cls()
+        for r in rows.orderBy(F.col("__mass").desc(), name, *([number] if number else [])).toLocalIterator():
+            value = (None, float(r["__mass"]))
+            if r[name] is not None:
+                out.names[str(r[name]).lower()] = value
+            if number and r[number] is not None:
+                out.ids[str(r[number])] = value
+        return out
+
+
 STANDARD = Vocabulary()
 
 
@@ -515,25 +538,25 @@ def _row(p: Peptidoform) -> dict:
     }
 
 
-def _each(texts: pd.Series, f) -> list:
+def _each(texts: pd.Series, f, vocabulary: Vocabulary = STANDARD) -> list:
     known: dict = {}
     out = []
     for x in texts:
         if x not in known:
             try:
-                known[x] = None if x is None else f(parse(x))
+                known[x] = None if x is None else f(parse(x, vocabulary))
             except ProFormaError:
                 known[x] = None
         out.append(known[x])
     return out
 
 
-def parse_proforma(text: Column | str) -> Column:
+def parse_proforma(text: Column | str, vocabulary: Vocabulary = STANDARD) -> Column:
     """Struct (PEPTIDOFORM_TYPE) of a ProForma string; null if it is malformed or null."""
 
     @F.pandas_udf(PEPTIDOFORM_TYPE)
     def run(s: pd.Series) -> pd.DataFrame:
-        rows = _each(s, _row)
+        rows = _each(s, _row, vocabulary)
         names = PEPTIDOFORM_TYPE.fieldNames()
         return pd.DataFrame({c: pd.Series([None if r is None else r[c] for r in rows], dtype="object") for c in names})
 
@@ -541,44 +564,44 @@ def parse_proforma(text: Column | str) -> Column:
     return F.when(F.size(out["sequence"]) > 0, out)
 
 
-def proforma_mass(text: Column | str) -> Column:
+def proforma_mass(text: Column | str, vocabulary: Vocabulary = STANDARD) -> Column:
     """Neutral mass; plain upper-case sequences stay in the JVM, others go through the parser; null if malformed."""
     c = F.col(text) if isinstance(text, str) else text
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(_each(s, lambda p: p.mass), dtype="float64")
+        return pd.Series(_each(s, lambda p: p.mass, vocabulary), dtype="float64")
 
     plain = c.rlike("^[ACDEFGHIKLMNPQRSTVWY]+$")
     return F.when(plain, M.fast_mass(c)).otherwise(run(F.when(~plain, c)))
 
 
-def proforma_mz(text: Column | str, charge: int | None = None) -> Column:
+def proforma_mz(text: Column | str, charge: int | None = None, vocabulary: Vocabulary = STANDARD) -> Column:
     """m/z at ``charge``, or at the string's own charge state; null without either."""
 
     @F.pandas_udf("double")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(_each(s, lambda p: p.mz(charge)), dtype="float64")
+        return pd.Series(_each(s, lambda p: p.mz(charge), vocabulary), dtype="float64")
 
     return run(text)
 
 
-def proforma_fragments(text: Column | str, ion: str, charge: int = 1) -> Column:
+def proforma_fragments(text: Column | str, ion: str, charge: int = 1, vocabulary: Vocabulary = STANDARD) -> Column:
     """Array of fragment m/z."""
 
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(_each(s, lambda p: p.fragments(ion, charge)), dtype="object")
+        return pd.Series(_each(s, lambda p: p.fragments(ion, charge), vocabulary), dtype="object")
 
     return run(text)
 
 
-def proforma_composition(text: Column | str) -> Column:
+def proforma_composition(text: Column | str, vocabulary: Vocabulary = STANDARD) -> Column:
     """map(element -> count); null if a modification is known only by its mass."""
 
     @F.pandas_udf("map<string,int>")
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series(_each(s, lambda p: p.composition()), dtype="object")
+        return pd.Series(_each(s, lambda p: p.composition(), vocabulary), dtype="object")
 
     return run(text)
 

@@ -883,6 +883,73 @@ def q80_delivery_sessions(spark: SparkSession, d: str) -> DataFrame:
     return s.select("source", "start", "n")
 
 
+# --- every set of constants, and further notations
+
+
+_RC_SETS = {k.removeprefix("RC_").lower(): v for k, v in sorted(vars(K).items()) if k.startswith("RC_")}
+
+
+@query(f"with {_PEP} select peptide, " + ", ".join(f"round({_rt_sql('peptide', v)}, 6) as {k}" for k, v in _RC_SETS.items()) + " from pep")
+def q97_all_retention_sets(spark: SparkSession, d: str) -> DataFrame:
+    return peptides(spark, d).select("peptide", *[F.round(C.plain_retention_time("peptide", v), 6).alias(k) for k, v in _RC_SETS.items()])
+
+
+_PK_SETS = {"lehninger": K.PK_LEHNINGER, "sillero": K.PK_SILLERO, "dawson": K.PK_DAWSON, "rodwell": K.PK_RODWELL, "bjellqvist": K.PK_BJELLQVIST}
+
+
+@query(f"with {_PEP} select peptide, " + ", ".join(f"round({_charge_sql('peptide', '6.5::double', v)}, 6) as {k}" for k, v in _PK_SETS.items()) + " from pep")
+def q98_all_pk_sets(spark: SparkSession, d: str) -> DataFrame:
+    return peptides(spark, d).select("peptide", *[F.round(C.charge("peptide", F.lit(6.5), v), 6).alias(k) for k, v in _PK_SETS.items()])
+
+
+@query(
+    f"with m as (select id, min(monoisotopic_mass) as mass from unimod_modification where monoisotopic_mass is not null group by id) select id, 'M[U:' || id || ']K/2' as proforma, round({_lit(K.AA_MASS['M'] + K.AA_MASS['K'] + K.WATER)} + mass, 5) as mass, round(({_lit(K.AA_MASS['M'] + K.AA_MASS['K'] + K.WATER)} + mass) / 2 + {_lit(K.PROTON)}, 5) as mz from m"
+)
+def q99_proforma_unimod(spark: SparkSession, d: str) -> DataFrame:
+    """Every modification of the Unimod table, by its number, in a charged ProForma string."""
+    m = table(spark, d, "unimod_modification")
+    words = P.Vocabulary.of_table(m)
+    t = m.filter("monoisotopic_mass is not null and id is not null").select("id").distinct().withColumn("proforma", F.concat(F.lit("M[U:"), F.col("id").cast("string"), F.lit("]K/2")))
+    return t.select("id", "proforma", F.round(P.proforma_mass("proforma", words), 5).alias("mass"), F.round(P.proforma_mz("proforma", vocabulary=words), 5).alias("mz"))
+
+
+@query(f"with {_PEP} select peptide, " + ", ".join(f"({v} + {extra})::int as n_{e.lower()}" for (e, v), extra in zip(_elements("peptide").items(), (2, 2, 0, 1, 0))) + f", round({_MASS} + {_lit(K.composition_mass(dict(C=2, H=2, O=1)))}, 5) as mass from pep")
+def q100_proforma_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Composition and mass of acetylated peptides, by formula tag and by name."""
+    p = peptides(spark, d).withColumn("c", P.proforma_composition(F.concat(F.lit("[Formula:C2H2O]-"), "peptide")))
+    n = [F.coalesce(F.element_at("c", e), F.lit(0)).alias(f"n_{e.lower()}") for e in ("C", "H", "N", "O", "S")]
+    return p.select("peptide", *n, F.round(P.proforma_mass(F.concat(F.lit("[Acetyl]-"), "peptide")), 5).alias("mass"))
+
+
+@query(f"with {_PEP} select peptide, 'Ac-' || replace(peptide, 'M', 'oxM') || '-NH2' as modx, true as n_group, true as c_group, length(peptide)::int as n_residues, 'oxM' as label, peptide[1:1] as first from pep where contains(peptide, 'M')")
+def q101_modx_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """modX strings taken apart and put together again; their labels and terminal groups told apart."""
+    p = peptides(spark, d).filter(F.contains("peptide", F.lit("M"))).withColumn("modx", F.concat(F.lit("Ac-"), F.replace("peptide", F.lit("M"), F.lit("oxM")), F.lit("-NH2")))
+    g = p.withColumn("g", S.parse_modx("modx")).withColumn("s", S.split_groups("modx"))
+    inner = F.filter("g", lambda x: S.is_modx_label(x))
+    label = F.get(F.filter("g", lambda x: F.startswith(x, F.lit("ox"))), F.lit(0))
+    return g.select("peptide", S.to_string("g").alias("modx"), S.is_term_group(F.get("g", F.lit(0))).alias("n_group"), S.is_term_group(F.element_at("g", -1)).alias("c_group"), F.size(inner).alias("n_residues"), label.alias("label"), F.get("s", F.lit(0))["aa"].alias("first"))
+
+
+@query("with s as (select distinct spectrum_id, mz from spectra where len(mz) > 0 and len(list_filter(mz, lambda x: x is null)) = 0) select spectrum_id, unnest(['none-f64', 'zlib-f64', 'none-i32']) as kind, len(mz)::int as n, unnest([list_sum(list_transform(mz, lambda x: round(x * 10000)::bigint)), list_sum(list_transform(mz, lambda x: round(x * 10000)::bigint)), list_sum(list_transform(mz, lambda x: floor(x)::bigint * 10000))])::bigint as total from s")
+def q102_binary_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays in three encodings, decoded again; every value counts."""
+    s = table(spark, d, "spectra").select("spectrum_id", "mz").filter("size(mz) > 0").filter(~F.exists("mz", lambda x: x.isNull())).distinct()
+    kinds = {"none-f64": A.decode_binary(A.encode_binary("mz"), F.lit("none"), F.lit("f64")), "zlib-f64": A.decode_binary(A.encode_binary("mz", compress=True), F.lit("zlib"), F.lit("f64")), "none-i32": A.decode_binary(A.encode_binary(F.transform("mz", lambda x: F.floor(x).cast("double")), dtype="i32"), F.lit("none"), F.lit("i32"))}
+    rows = s.select("spectrum_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in kinds.items()])).alias("r")).select("spectrum_id", "r.*")
+    total = F.aggregate(F.transform("v", lambda x: F.round(x * 10000).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select("spectrum_id", "kind", F.size("v").alias("n"), total.alias("total"))
+
+
+@query(f"with {_PEP}, c as (select peptide, unnest([1, 2, 3]) as z from pep) select peptide, z::int as charge, z || '+' as text, -z::int as negative, '1+, ' || z || '- and 3+' as list_text from c")
+def q103_charge_text(spark: SparkSession, d: str) -> DataFrame:
+    """Charges and lists of them as text and back."""
+    c = peptides(spark, d).select("peptide", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("charge"))
+    text = X.format_charge("charge")
+    lists = X.format_charge_list(F.array(F.lit(1), -F.col("charge"), F.lit(3)))
+    return c.select("peptide", X.parse_charge(text).alias("charge"), text.alias("text"), F.get(X.parse_charge_list(lists), F.lit(1)).alias("negative"), lists.alias("list_text"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
