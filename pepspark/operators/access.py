@@ -7,12 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pepspark.session import BROADCAST_LIMIT
+
 
 def by_ids(df: DataFrame, key: str, ids: list) -> DataFrame:
     """Rows of the given ids, with 'request' (their place in the request); unknown ids give no rows."""
     spark = df.sparkSession
     wanted = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], f"request int, __id {df.schema[key].dataType.simpleString()}")
-    return df.join(F.broadcast(wanted), F.col(key) == F.col("__id")).drop("__id")
+    if sum(len(str(x)) + 16 for x in ids) <= BROADCAST_LIMIT:
+        wanted = F.broadcast(wanted)
+    return df.join(wanted, F.col(key) == F.col("__id")).drop("__id")
 
 
 def by_position(df: DataFrame, position: str, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
