@@ -57,10 +57,10 @@ def expected_false(d: int, t: int, p: float = 0.5) -> float:
 
 
 def confident_false(level: float, d: int, t: int, p: float = 0.5) -> int:
-    """Number of false targets that isn't exceeded with probability ``level``."""
+    """Number of false targets that isn't exceeded with probability ``level``; a sum that equals the level but for rounding reaches it."""
     m, pi = _terms(int(d), int(t), p)
     sums = pi.cumsum()
-    return int(m[np.searchsorted(sums, level * sums[-1])])
+    return int(m[np.searchsorted(sums, level * sums[-1] * (1 - 1e-12))])
 
 
 def fdr(psms: DataFrame, is_decoy: Column | str | None = None, pep: Column | str | None = None, formula: int = 1, ratio: float = 1.0, correction: float = 0, by: list[str] | None = None) -> DataFrame:

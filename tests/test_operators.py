@@ -1,3 +1,4 @@
+import math
 import random
 import string
 from pathlib import Path
@@ -254,3 +255,40 @@ def test_slice_query_has_the_whole_table(spark):
     want = domain.spectra(spark, d).filter("spectrum_id is not null").select("spectrum_id", "title")
     got = domain.q81_whole_slice(spark, d)
     assert got.count() == want.count() > 43 and got.exceptAll(want).count() == 0
+
+
+@pytest.mark.parametrize("d", [0, 1, 5, 40, 300, 3000])
+@pytest.mark.parametrize("t", [0, 1, 7, 100, 2000, 20000])
+@pytest.mark.parametrize("p", [0.5, 0.3, 1 / 11])
+def test_bounded_sums_against_full_ones(d, t, p):
+    m = np.arange(t + 1)
+    logs = np.array([k * math.log(p) + math.lgamma(k + d + 1) - math.lgamma(k + 1) - math.lgamma(d + 1) for k in m])
+    pi = np.exp(logs - logs.max())
+    assert abs(tda.expected_false(d, t, p) - (m * pi).sum() / pi.sum()) <= 1e-9 * max(1, t)
+    for level in (0.05, 0.5, 0.95):
+        want = int(np.searchsorted(pi.cumsum(), level * pi.sum() * (1 - 1e-9)))
+        assert tda.confident_false(level, d, t, p) == want
+
+
+def test_sums_of_a_million_decoys_are_short():
+    assert len(tda._terms(10**6, 10**9, 0.5)[0]) < 300_000 and abs(tda.expected_false(10**6, 10**9, 0.5) - (10**6 + 1)) < 1
+
+
+@pytest.mark.parametrize("slice_bytes", [10, 1_000_000])
+def test_peptide_index_against_brute_force(monkeypatch, slice_bytes):
+    import pyarrow as pa
+
+    monkeypatch.setattr(joins.PeptideIndex, "SLICE", slice_bytes)
+    rng = random.Random(2)
+    seqs = ["".join(rng.choice("ABé") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    peps = sorted({s[i : i + rng.randint(1, 30)] for s in seqs for i in range(0, len(s), 5)} - {""})
+    got = sorted((int(r), int(a), int(n), t) for rows, at, size, text in joins.PeptideIndex.build(peps).search(pa.array(seqs)) for r, a, n, t in zip(rows, at, size, text.to_pylist()))
+    assert got == sorted((i, k, len(p), p) for i, s in enumerate(seqs) for p in peps for k in range(len(s) - len(p) + 1) if s[k : k + len(p)] == p)
+    assert list(joins.PeptideIndex.build([]).search(pa.array(["AB", None]))) == []
+
+
+def test_coverage_in_several_blocks(spark):
+    prot = spark.createDataFrame([(1, "PEPTIDEKPEPTIDER"), (2, "AAAA"), (3, ""), (4, None)], "id int, s string")
+    pep = spark.createDataFrame([("PEPTIDE",), ("AA",), ("IDEK",), (None,), ("",), ("AA",)], "p string")
+    want = sorted(map(tuple, joins.coverage_counts(prot, pep, "id", "s", "p").collect()))
+    assert sorted(map(tuple, joins.coverage_counts(prot, pep, "id", "s", "p", block_bytes=20).collect())) == want and len(want) == 6
