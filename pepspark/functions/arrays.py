@@ -19,8 +19,9 @@ def _nibbles(data: bytes, start: int) -> np.ndarray:
     return np.stack([raw >> 4, raw & 15], axis=1).ravel().astype(np.int64)
 
 
-def _numpress_ints(nib: np.ndarray) -> np.ndarray:
+def _numpress_ints(nibbles: np.ndarray | list[int]) -> list[int]:
     """Variable-length signed integers of nibbles: a head tells how many leading nibbles are 0 or F."""
+    nib = np.asarray(nibbles, np.int64)
     size = np.where(nib <= 8, 8 - nib, 16 - nib)
     jump, heads, i, n = (np.arange(len(nib)) + 1 + size).tolist(), [], 0, len(nib)
     while i < n and jump[i] <= n:
@@ -32,7 +33,7 @@ def _numpress_ints(nib: np.ndarray) -> np.ndarray:
     for k in range(8):
         more = count > k
         value[more] |= nib[at[more] + 1 + k] << (4 * k)
-    return np.where(value >= 1 << 31, value - (1 << 32), value)
+    return np.where(value >= 1 << 31, value - (1 << 32), value).tolist()
 
 
 def numpress_linear(data: bytes) -> np.ndarray:
@@ -42,14 +43,14 @@ def numpress_linear(data: bytes) -> np.ndarray:
     scale = struct.unpack(">d", data[:8])[0]
     values = np.frombuffer(data[8:16][: (len(data[8:16]) // 4) * 4], "<i4").astype(np.int64)
     if len(values) == 2:  # second differences: summed up twice
-        steps = np.cumsum(np.r_[values[1] - values[0], _numpress_ints(_nibbles(data, 16))])
+        steps = np.cumsum(np.r_[values[1] - values[0], np.array(_numpress_ints(_nibbles(data, 16)), np.int64)])
         values = np.cumsum(np.r_[values[0], steps])
     return values / scale
 
 
 def numpress_pic(data: bytes) -> np.ndarray:
     """Positive integers."""
-    return _numpress_ints(_nibbles(data, 0)).astype(float)
+    return np.array(_numpress_ints(_nibbles(data, 0)), float)
 
 
 def numpress_slof(data: bytes) -> np.ndarray:
