@@ -200,13 +200,13 @@ def q89_tandem_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_HITS}, p as (select query_id, hit_no, score, generate_subscripts(proteins, 1)::int as protein_no, unnest(proteins) as protein from hits) select query_id, hit_no, score, protein_no, protein from p")
 def q90_protxml_file(spark: SparkSession, d: str) -> DataFrame:
-    """protXML: the proteins of each hit as a group, flattened to one row per protein."""
+    """protXML: the proteins of each hit as a group, flattened to one row per protein; the group has the query's number, its peptides have the hit's."""
     h = _hits(spark, d)
-    each = F.array_join(F.transform("proteins", lambda p, i: F.concat(F.lit("<protein"), _attr("protein_name", p), _attr("total_number_peptides", i + 1), F.lit("/>"))), "")
-    value = F.concat(F.lit("<protein_group"), _attr("group_number", F.col("query_id") * 1000 + F.col("hit_no")), _attr("probability", "score"), F.lit(">"), each, F.lit("</protein_group>"))
+    peptide = F.concat(F.lit("<peptide"), _attr("n_instances", "hit_no"), F.lit("/>"))
+    each = F.array_join(F.transform("proteins", lambda p, i: F.concat(F.lit("<protein"), _attr("protein_name", p), _attr("total_number_peptides", i + 1), F.lit(">"), peptide, F.lit("</protein>"))), "")
+    value = F.concat(F.lit("<protein_group"), _attr("group_number", "query_id"), _attr("probability", "score"), F.lit(">"), each, F.lit("</protein_group>"))
     flat = XML.flatten_protxml(XML.read_protxml(spark, _write_xml(h.select((value).alias("value")), "protxml")))
-    number = F.col("group_number").cast("bigint")
-    return flat.select(F.floor(number / 1000).alias("query_id"), (number % 1000).cast("int").alias("hit_no"), F.col("group_probability").cast("double").alias("score"), F.col("total_number_peptides").cast("int").alias("protein_no"), F.col("protein_name").alias("protein"))
+    return flat.select(F.col("group_number").alias("query_id"), F.get("peptide", F.lit(0))["n_instances"].alias("hit_no"), F.col("group_probability").cast("double").alias("score"), F.col("total_number_peptides").cast("int").alias("protein_no"), F.col("protein_name").alias("protein"))
 
 
 @query(f"with {_HITS} select {_HIT_ROWS} from hits")

@@ -270,7 +270,7 @@ def roc_curve(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("source", "charge", "tag", F.col("p._min_prob").alias("min_prob"), F.col("p._sensitivity").alias("sensitivity"), F.col("p._error").alias("error"), F.col("p._num_corr").alias("num_corr"), F.col("p._num_incorr").alias("num_incorr"))
 
 
-PROTXML_GROUP = "_group_number int, _probability double, protein array<struct<_protein_name:string,_n_indistinguishable_proteins:int,_probability:double,_percent_coverage:double,_unique_stripped_peptides:string,_group_sibling_id:string,_total_number_peptides:int,_pct_spectrum_ids:double,indistinguishable_protein:array<struct<_protein_name:string>>,annotation:array<struct<_protein_description:string>>,peptide:array<struct<_peptide_sequence:string,_charge:int,_initial_probability:double,_nsp_adjusted_probability:double,_weight:double,_n_instances:int,_calc_neutral_pep_mass:double>>>>"
+PROTXML_GROUP = "_group_number bigint, _probability double, protein array<struct<_protein_name:string,_n_indistinguishable_proteins:int,_probability:double,_percent_coverage:double,_unique_stripped_peptides:string,_group_sibling_id:string,_total_number_peptides:int,_pct_spectrum_ids:double,indistinguishable_protein:array<struct<_protein_name:string>>,annotation:array<struct<_protein_description:string>>,peptide:array<struct<_peptide_sequence:string,_charge:int,_initial_probability:double,_nsp_adjusted_probability:double,_weight:double,_n_instances:int,_calc_neutral_pep_mass:double>>>>"
 
 
 def read_protxml(spark: SparkSession, path: str | list[str]) -> DataFrame:

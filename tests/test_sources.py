@@ -183,6 +183,24 @@ def test_protxml(spark, put):
     assert {(r.group_number, r.protein_name) for r in X.flatten_protxml(g).collect()} == {(1, "A"), (2, "C")}
 
 
+def test_protxml_large_group_numbers(spark, put):
+    path = put("b.prot.xml", "<protein_summary><protein_group group_number='2147483648' probability='1.0'><protein protein_name='A'/></protein_group><protein_group group_number='9223372036854775807' probability='0.5'><protein protein_name='B'/></protein_group></protein_summary>")
+    assert {(r.group_number, r.protein_name) for r in X.flatten_protxml(X.read_protxml(spark, path)).collect()} == {(2147483648, "A"), (9223372036854775807, "B")}
+
+
+def test_protxml_query_of_any_key(spark, tmp_path):
+    from pepspark.plans import files
+
+    ids = [1, 2147484, 30004165, 9007199254740993, 9223372036854775807, -5, None]
+    one = lambda peptide, names: (1, peptide, {"expect": 0.5}, [(n,) for n in names])
+    hits = [one("PEPTIDE", ["A&B", "C"])] + [one("PEPK", ["D"])] * 1000
+    schema = "query_id bigint, search_hit array<struct<hit_rank:int,peptide:string,search_score:map<string,double>,proteins:array<struct<protein:string>>>>"
+    spark.createDataFrame([(i, hits) for i in ids], schema).write.parquet(str(tmp_path / "psms.parquet"))
+    got = sorted((tuple(r) for r in files.queries()["q90_protxml_file"](spark, str(tmp_path)).collect()), key=str)
+    each = [(1, 0.5, 1, "A&B"), (1, 0.5, 2, "C"), *((n, 0.5, 1, "D") for n in range(2, 1002))]
+    assert got == sorted(((i, *x) for i in ids for x in each), key=str)
+
+
 def test_tandem(spark, put):
     path = put("a.t.xml", "<bioml><group id='7' mh='782.4' z='2' rt='PT60S' expect='1.5e-07' label='P' type='model' sumI='1'><protein expect='-1' uid='1' label='sp|P1' sumI='2'><note label='description'>sp|P1 desc</note><peptide start='1' end='9'><domain id='7.1.1' start='3' end='8' expect='1.5e-07' mh='782.4' hyperscore='20.5' nextscore='10' pre='KR' post='A' seq='YLYVDK' missed_cleavages='0'><aa type='Y' at='3' modified='79.97'/></domain></peptide></protein><group label='fragment ion mass spectrum' type='support'><note label='Description'>scan=5</note></group></group><group label='parameters' type='parameters'><note label='x'>y</note></group></bioml>")
     m = X.read_tandem(spark, path).filter("id is not null")
